@@ -106,3 +106,15 @@ def feature_category(name: str | Column) -> Column:
             hit = found if hit is None else hit | found
         expr = F.when(hit, label) if expr is None else expr.when(hit, label)
     return expr.otherwise("Other")
+
+
+def stack_rows(names: Sequence[str], *rows: Sequence) -> Column:
+    """Generator of one output row per tuple, all with the same column names."""
+    return F.inline(F.array(*[
+        F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(n) for n, v in zip(names, row)]) for row in rows]))
+
+
+def numbers(first: int | Column, last: int | Column) -> Column:
+    """Generator of the 64-bit integers from first to last."""
+    a, b = (F.lit(x) if isinstance(x, int) else x for x in (first, last))
+    return F.explode(F.sequence(a.cast("long"), b.cast("long")))

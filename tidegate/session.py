@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -30,16 +33,28 @@ def build_session(master: str | None = None, app: str = "tidegate", **conf) -> S
     return builder.getOrCreate()
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a table that several jobs will read.
+def shared_folder(session: SparkSession) -> str | None:
+    """The folder the cluster names for intermediate tables.
 
-    Written to the shared checkpoint folder, so it outlives executors.  Where no
-    folder is configured the plan is returned as it is.
+    A local session without one gets a temporary folder; on a cluster nothing is
+    made up, since a machine-local folder is not visible to other executors.
     """
-    session = df.sparkSession
     folder = session.conf.get("spark.checkpoint.dir", None)
-    if not folder and session.sparkContext.getCheckpointDir() is None:
+    if not folder and session.sparkContext.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="spark-tidegate-")
+        session.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a table that several branches of a plan read, and read it back.
+
+    The file format keeps column pruning, pushed filters and size statistics,
+    and the table outlives the executors that wrote it.
+    """
+    folder = shared_folder(df.sparkSession)
+    if folder is None:
         return df
-    if session.sparkContext.getCheckpointDir() is None:
-        session.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{folder.rstrip('/')}/tidegate-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
