@@ -118,3 +118,13 @@ def numbers(first: int | Column, last: int | Column) -> Column:
     """Generator of the 64-bit integers from first to last."""
     a, b = (F.lit(x) if isinstance(x, int) else x for x in (first, last))
     return F.explode(F.sequence(a.cast("long"), b.cast("long")))
+
+
+def spread_by(df: DataFrame, *keys: str | Column) -> DataFrame:
+    """Hash rows over the session's shuffle partitions.
+
+    For work that is heavy per row: adaptive execution merges partitions by
+    their bytes and would leave a few small, slow ones.  Windows and groupings
+    on the same keys reuse this distribution.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -327,7 +327,7 @@ def cost_extrapolation(curve: DataFrame, low: float = 0.0, high: float = 5.0, to
     s = curve.groupBy(*by).agg(
         at("sharpe_ratio", low).alias("s0"), at("sharpe_ratio", high).alias("s1"),
         at("annual_return", low).alias("r0"), at("annual_return", high).alias("r1"))
-    s = s.withColumn("cost_bps", F.explode(F.sequence(F.lit(0), F.lit(top), F.lit(step))).cast("double"))
+    s = s.withColumn("cost_bps", F.explode(F.array(*[F.lit(float(c)) for c in range(0, top + 1, step)])))
     slope = lambda a, b: (F.col(b) - F.col(a)) / (high - low)
     return s.select(
         *by, "cost_bps", slope("s0", "s1").alias("sharpe_per_bp"), slope("r0", "r1").alias("return_per_bp"),

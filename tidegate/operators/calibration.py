@@ -86,6 +86,9 @@ def last_folds(values: DataFrame, n: int = 4) -> DataFrame:
 
 
 def histogram(rows: DataFrame, value: str, width: float, by: Sequence[str] = ()) -> DataFrame:
-    """Counts in bins of fixed width, labelled by their lower edge."""
+    """Counts in bins of fixed width, labelled by their lower edge.
+
+    Rounding keeps values that sit on an edge up to the last bit in one bin.
+    """
     return rows.filter(F.col(value).isNotNull()).groupBy(
-        *by, (F.floor(F.col(value) / width) * width).alias("bin_low")).agg(F.count(F.lit(1)).alias("n"))
+        *by, (F.floor(F.round(F.col(value) / width, 9)) * width).alias("bin_low")).agg(F.count(F.lit(1)).alias("n"))

@@ -41,6 +41,18 @@ def _total(x: str, w, n: int, times: int) -> Column:
     return total
 
 
+def long_average(df: DataFrame, out: str, parts: tuple[int, ...], *, column: str = "close",
+                 entity: str = "ticker", time: str = "date") -> DataFrame:
+    """Moving average over ``prod(parts)`` rows, put together from short sums."""
+    w = series(entity, time)
+    df = df.withColumn("_sum", rolling(F.sum, F.col(column), w, parts[0]))
+    n = parts[0]
+    for times in parts[1:]:
+        df = df.withColumn("_sum", _total("_sum", w, n, times))
+        n *= times
+    return df.withColumn(out, F.col("_sum") / n).drop("_sum")
+
+
 def _moments(prefix: str, w, n: int, times: int) -> tuple[Column, Column]:
     """Sum and squared deviations over ``times`` adjoining windows of ``n`` rows.
 

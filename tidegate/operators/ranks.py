@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegate.functions.columns import stack_rows
+
 SPLIT_ROWS = 1_000_000
 _EDGES = [i / 256 for i in range(1, 256)]
 
@@ -28,9 +30,9 @@ def average_rank(df: DataFrame, by: Sequence[str], value: str, out: str) -> Data
     )
 
 
-def split_average_rank(df: DataFrame, by: Sequence[str], value: str, out: str,
-                       split_rows: int = SPLIT_ROWS) -> DataFrame:
-    """The same rank for groups of any size.
+def rank_table(values: DataFrame, by: Sequence[str], value: str, out: str,
+               split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """(by, value, rank): the average rank of each distinct value, for groups of any size.
 
     Equal values are counted first, so a value shared by many rows is one row.
     The distinct values of a large group are cut into ranges at approximate
@@ -38,7 +40,7 @@ def split_average_rank(df: DataFrame, by: Sequence[str], value: str, out: str,
     ranges below.  Where the cuts fall changes the balance, never the result.
     """
     by = list(by)
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    counts = values.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
     cuts = counts.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_d"),
         F.percentile_approx(value, F.lit(_EDGES), F.lit(1000)).alias("_cut"),
@@ -55,11 +57,29 @@ def split_average_rank(df: DataFrame, by: Sequence[str], value: str, out: str,
     )
     inside = F.sum("_c").over(
         Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranks = (
+    return (
         ranged.withColumn("_upto", inside).join(below, [*by, "_range"], "left")
         .select(*by, value, (F.coalesce("_below", F.lit(0)) + F.col("_upto") - (F.col("_c") - 1) / 2).alias(out))
     )
-    return df.join(ranks, [*by, value])
+
+
+def rank_columns(rows: DataFrame, by: Sequence[str], columns: dict[str, str],
+                 split_rows: int | None = SPLIT_ROWS) -> DataFrame:
+    """Average ranks of several columns at once: ``{value column: rank column}``.
+
+    ``split_rows=None`` asserts that every group fits one task.
+    """
+    if split_rows is None:
+        for value, rank in columns.items():
+            rows = average_rank(rows, by, value, rank)
+        return rows
+    long = rows.select(*by, stack_rows(("_of", "_x"), *[(c, F.col(c)) for c in columns]))
+    table = rank_table(long, [*by, "_of"], "_x", "_rank", split_rows)
+    for value, rank in columns.items():
+        mine = table.filter(F.col("_of") == value).select(
+            *by, F.col("_x").alias(value), F.col("_rank").alias(rank))
+        rows = rows.join(mine, [*by, value])
+    return rows
 
 
 def daily_ic(
@@ -82,11 +102,7 @@ def daily_ic(
     by = list(by)
     rows = panel.select(*by, F.col(score).cast("double").alias("_s"), F.col(realised).cast("double").alias("_r")) \
         .filter(F.col("_s").isNotNull() & F.col("_r").isNotNull())
-    for value, rank in (("_s", "_rs"), ("_r", "_rr")):
-        if split_rows is None:
-            rows = average_rank(rows, by, value, rank)
-        else:
-            rows = split_average_rank(rows, by, value, rank, split_rows)
+    rows = rank_columns(rows, by, {"_s": "_rs", "_r": "_rr"}, split_rows)
     stats = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.var_pop("_s").alias("_vs"), F.var_pop("_r").alias("_vr"),
         safe_corr(F.col("_rs"), F.col("_rr")).alias("_rho"),

@@ -12,16 +12,28 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegate.functions.columns import numbers
+from tidegate.functions.columns import numbers, ratio, spread_by
 from tidegate.functions.draws import PRIME, draw_columns, key_high, key_low
-from tidegate.operators.book import COST_BPS, calendar, charge, daily_book, performance
-from tidegate.operators.ranks import SPLIT_ROWS, split_average_rank
+from tidegate.operators.book import COST_BPS, YEAR, calendar, charge, daily_book, performance
+from tidegate.operators.ranks import SPLIT_ROWS, rank_columns
 
 _LOW = 1 << 28
 
 
-def _with_draw(rows: DataFrame, reps: int) -> DataFrame:
-    rows = rows.withColumns({"_h1": key_high("date", "ticker"), "_h2": key_low("date", "ticker")})
+def _with_draw(rows: DataFrame, reps: int, split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """Rows times replicates with a draw each.
+
+    A day's rows sit together, so that the reduction after the draw happens
+    before the shuffle; a day above ``split_rows`` is spread over several tasks.
+    """
+    if "_parts" in rows.columns:
+        sized = rows
+    else:
+        sizes = rows.groupBy("date").agg(F.ceil(F.count(F.lit(1)) / split_rows).cast("long").alias("_parts"))
+        sized = rows.join(sizes, "date")
+    sized = sized.withColumns({"_h1": key_high("date", "ticker"), "_h2": key_low("date", "ticker")})
+    sized = spread_by(sized, "date", F.col("_h2") % F.col("_parts"))
+    rows = sized if "_parts" in rows.columns else sized.drop("_parts")
     rows = rows.withColumn("rep", numbers(1, reps))
     return draw_columns(rows, "rep", "_h1", "_h2", "_u")
 
@@ -47,9 +59,8 @@ def drawn_positions(rows: DataFrame, reps: int, split_rows: int = SPLIT_ROWS) ->
     A day above ``split_rows`` is cut into equal ranges of the draw; positions are
     counted inside a range and shifted by the rows below it.
     """
-    sizes = rows.groupBy("date").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.withColumn("_parts", F.ceil(F.col("_n") / split_rows).cast("long")).drop("_n")
-    drawn = _with_draw(rows.join(sizes, "date"), reps).withColumn(
+    sizes = rows.groupBy("date").agg(F.ceil(F.count(F.lit(1)) / split_rows).cast("long").alias("_parts"))
+    drawn = _with_draw(rows.join(sizes, "date"), reps, split_rows).withColumn(
         "_part", F.expr(f"_u * _parts div {PRIME}"))
     below = (
         drawn.filter(F.col("_parts") > 1).groupBy("rep", "date", "_part").agg(F.count(F.lit(1)).alias("_m"))
@@ -115,8 +126,32 @@ def replicate_metrics(picks: DataFrame, panel: DataFrame, reps: int, k: int = 1,
     return performance(charge(daily, cost_bps), ["rep"])
 
 
+def single_name_sharpes(picks: DataFrame, cost_bps: float = COST_BPS) -> DataFrame:
+    """Sharpe ratio of books that hold one name a day, one row per replicate.
+
+    With a single name the turnover is 1 on the first day, then 0 or 2, so one
+    pass in day order replaces the general book; only the final product of
+    returns is needed, not the curve.
+    """
+    before = F.lag("ticker").over(Window.partitionBy("rep").orderBy("date"))
+    rows = picks.withColumn(
+        "_turn", F.when(before.isNull(), 1.0).when(before == F.col("ticker"), 0.0).otherwise(2.0))
+    net = F.coalesce("actual_return", F.lit(0.0)) - F.col("_turn") * cost_bps / 10000.0
+    f = 1 + F.col("_net")
+    s = rows.select("rep", net.alias("_net")).groupBy("rep").agg(
+        F.count(F.lit(1)).alias("n"), F.stddev_samp("_net").alias("_sd"),
+        F.sum(F.log(F.when(f != 0, F.abs(f)))).alias("_log"),
+        F.sum((f < 0).cast("long")).alias("_neg"), F.max((f == 0).cast("int")).alias("_zero"))
+    value = F.when(F.col("_zero") == 1, 0.0).when(F.col("_neg") % 2 == 0, F.exp("_log"))
+    vol = F.col("_sd") * (YEAR ** 0.5)
+    annual = F.pow(value, YEAR / F.col("n")) - 1
+    return s.select("rep", F.when(vol > 0, ratio(annual, vol)).otherwise(0.0).alias("null_sharpe"))
+
+
 def permutation_sharpes(panel: DataFrame, reps: int = 1000, k: int = 1, cost_bps: float = COST_BPS) -> DataFrame:
     """(rep, null_sharpe) under within-day shuffles of the score."""
+    if k == 1:
+        return single_name_sharpes(permuted_top(panel, reps), cost_bps)
     m = replicate_metrics(permuted_top(panel, reps, k), panel, reps, k, cost_bps)
     return m.select("rep", F.col("sharpe_ratio").alias("null_sharpe"))
 
@@ -131,7 +166,8 @@ def null_summary(null: DataFrame, observed: DataFrame, stat: str, by: Sequence[s
         null, observed = null.withColumn("_all", F.lit(0)), observed.withColumn("_all", F.lit(0))
     rows = null.join(observed, by)
     x, o = F.col(stat), F.col("observed")
-    share = lambda c: F.avg(c.cast("double"))
+    # a replicate without a Sharpe ratio is not above anything
+    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
     s = rows.groupBy(*by).agg(
         F.first("observed").alias("observed"), F.count(F.lit(1)).alias("n_reps"), F.avg(x).alias("null_mean"),
         F.percentile(x, F.lit(0.95)).alias("null_95th"), share(x >= o).alias("p_value"),
@@ -161,7 +197,7 @@ def permuted_ic(panel: DataFrame, score: str = "prob", realised: str = "actual_r
     reduces to one sum of rank products per day.
     """
     rows = panel.select("date", "ticker", F.col(score).alias("_s"), F.col(realised).alias("_r")).dropna()
-    rows = split_average_rank(split_average_rank(rows, ["date"], "_s", "_rs"), ["date"], "_r", "_rr")
+    rows = rank_columns(rows, ["date"], {"_s": "_rs", "_r": "_rr"})
     days = rows.groupBy("date").agg(
         F.count(F.lit(1)).alias("_n"), F.var_pop("_rs").alias("_vs"), F.var_pop("_rr").alias("_vr"),
         F.var_pop("_s").alias("_rawS"), F.var_pop("_r").alias("_rawR"))

@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.functions.columns import rolling, series, change
-from tidegate.operators.features import with_holding_return, with_target
+from tidegate.functions.columns import change, series, spread_by
+from tidegate.operators.features import long_average, with_holding_return, with_target
 from tidegate.operators.folds import date_index, fold_dates, test_rows
 from tidegate.session import materialize
 from tidegate.sources.bars import bars_from_trades
@@ -28,6 +28,11 @@ def bars(spark: SparkSession, sf: str) -> DataFrame:
     return materialize(raw_bars(spark, sf))
 
 
+def series_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """Bars laid out for per-name windows."""
+    return spread_by(bars(spark, sf), "ticker")
+
+
 def raw_bars(spark: SparkSession, sf: str) -> DataFrame:
     trades = table(spark, sf, "lineitem").join(
         table(spark, sf, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
@@ -38,12 +43,13 @@ def raw_bars(spark: SparkSession, sf: str) -> DataFrame:
 
 def panel(spark: SparkSession, sf: str) -> DataFrame:
     """Scored panel after warm-up, with label and realised holding return."""
-    w = series("ticker", "date")
-    rows = raw_bars(spark, sf).select("ticker", "date", "close").withColumns({
-        "SMA_200": rolling(F.avg, F.col("close"), w, 200), "trailing_return_21d": change("close", w, 21)})
+    rows = spread_by(raw_bars(spark, sf).select("ticker", "date", "close"), "ticker")
+    rows = long_average(rows, "SMA_200", (10, 4, 5)).withColumn(
+        "trailing_return_21d", change("close", series("ticker", "date"), 21))
     rows = with_target(rows).dropna(subset=["SMA_200", "trailing_return_21d", "target"])
     rows = with_holding_return(rows).filter(F.col("actual_return").isNotNull())
-    return materialize(rows.withColumn("prob", F.round(1 / (1 + F.exp(-F.col("trailing_return_21d"))), 4)))
+    return materialize(rows.withColumn("prob", F.round(
+        0.5 + 0.5 * F.col("trailing_return_21d") / (1 + F.abs("trailing_return_21d")), 4)))
 
 
 def folds(spark: SparkSession, sf: str, frame: DataFrame | None = None) -> DataFrame:
@@ -68,6 +74,17 @@ def rounded(df: DataFrame, digits: dict[str, int] | int = 6, *keep: str) -> Data
     return df.select(*[one(c, t) for c, t in df.dtypes])
 
 
+def significant(df: DataFrame, digits: int = 9) -> DataFrame:
+    """Doubles to ``digits`` significant digits, for values of any magnitude."""
+    fmt = f"%.{digits - 1}e"
+    return df.select(*[
+        (F.format_string(fmt, F.col(c)).cast("double") + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def sig_sql(expr: str, name: str, digits: int = 9) -> str:
+    return f"CAST(printf('%.{digits - 1}e', CAST({expr} AS DOUBLE)) AS DOUBLE) + 0.0 AS {name}"
+
+
 BARS_SQL = """
 bars AS (
   SELECT p_brand AS ticker, CAST(l_shipdate AS DATE) AS date,
@@ -91,7 +108,7 @@ p0 AS (
          w200 AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)),
 p1 AS (
   SELECT *, lead(close, 2) OVER w / lead(close, 1) OVER w - 1 AS actual_return,
-         round(1 / (1 + exp(-trailing_return_21d)), 4) AS prob
+         round(0.5::DOUBLE + 0.5::DOUBLE * trailing_return_21d / (1 + abs(trailing_return_21d)), 4) AS prob
   FROM p0 WHERE SMA_200 IS NOT NULL AND trailing_return_21d IS NOT NULL AND target IS NOT NULL
   WINDOW w AS (PARTITION BY ticker ORDER BY date)),
 panel AS (SELECT * FROM p1 WHERE actual_return IS NOT NULL)"""

@@ -14,7 +14,7 @@ from tidegate.operators.regression import factor_regressions, join_factors
 from tidegate.operators.resample import (
     null_summary, permutation_sharpes, random_baseline, random_day_returns,
 )
-from tidegate.plans.base import OOS_SQL, out_of_sample, panel, rounded, sql
+from tidegate.plans.base import OOS_SQL, out_of_sample, panel, rounded, sig_sql, significant, sql
 from tidegate.plans.registry import query
 from tidegate.plans.signals import KEYED_SQL, OOS_IC_SQL, drawn_sql, hac_sql, normal_sf_sql, student_sf_sql
 from tidegate.functions.draws import draw_sql
@@ -91,7 +91,7 @@ m0_{name} AS (
          coalesce(avg(net_return) FILTER (net_return > 0), 0) AS avg_win, coalesce(avg(net_return) FILTER (net_return < 0), 0) AS avg_loss,
          sum(cost) AS total_cost, avg(cost) AS avg_daily_cost, sum(cost) / (count(*) / 252.0::DOUBLE) AS cost_drag_annual
   FROM dd_{name} GROUP BY {by}),
-m1_{name} AS (SELECT *, pow(1 + total_return, 252.0::DOUBLE / n_days) - 1 AS annual_return,
+m1_{name} AS (SELECT *, CASE WHEN total_return >= -1 THEN pow(1 + total_return, 252.0::DOUBLE / n_days) - 1 END AS annual_return,
        sqrt(greatest(0, (1 + 0.5::DOUBLE * sr * sr - rho * sr * sr + rho * rho * sr * sr) / n_days)) * sqrt(252) AS se FROM m0_{name}),
 {name} AS (SELECT *, annual_return / annual_vol AS sharpe_ratio, CASE WHEN down > 0 THEN annual_return / down ELSE 0 END AS sortino_ratio,
        CASE WHEN max_drawdown < 0 THEN annual_return / abs(max_drawdown) ELSE 0 END AS calmar_ratio,
@@ -103,12 +103,12 @@ METRICS = ("total_return", "annual_return", "avg_turnover", "avg_positions", "an
 
 
 def metric_columns(extra: bool = True) -> str:
-    cols = [_r(c, 6, c) for c in METRICS]
+    cols = [sig_sql(c, c) for c in METRICS]
     if extra:
-        cols += [_r("sharpe_ratio - 1.96::DOUBLE * se", 6, "sharpe_ci_lower"), _r("sharpe_ratio + 1.96::DOUBLE * se", 6, "sharpe_ci_upper"),
-                 _r("sharpe_ratio / se", 6, "sharpe_tstat"), _r(normal_sf_sql("(sharpe_ratio / se)"), 6, "sharpe_pvalue"),
+        cols += [sig_sql("sharpe_ratio - 1.96::DOUBLE * se", "sharpe_ci_lower"), sig_sql("sharpe_ratio + 1.96::DOUBLE * se", "sharpe_ci_upper"),
+                 sig_sql("sharpe_ratio / se", "sharpe_tstat"), _r(normal_sf_sql("(sharpe_ratio / se)"), 6, "sharpe_pvalue"),
                  f"({normal_sf_sql('(sharpe_ratio / se)')}) < 0.05 AS sharpe_significant",
-                 _r("coalesce(win_loss_ratio, 0)", 6, "win_loss_ratio")]
+                 sig_sql("coalesce(win_loss_ratio, 0)", "win_loss_ratio")]
     return ", ".join(cols)
 
 
@@ -137,7 +137,7 @@ bh AS (SELECT 'BuyHold' AS strategy, date, avg(actual_return) AS r FROM oos GROU
 every AS (SELECT * FROM daily UNION ALL SELECT strategy, date, r, 0, 1, 0, r FROM bh)""" + metrics_sql("strategy", "every") + f""",
 i AS (SELECT avg(ic) AS mi, stddev_samp(ic) AS si, count(*) AS n, avg(ic) / (stddev_samp(ic) / sqrt(count(*))) AS t FROM ic)""", f"""
 SELECT strategy, n_days, n_trades, {metric_columns()},
-       CASE WHEN strategy <> 'BuyHold' THEN round(mi, 6) + 0.0 END AS mean_ic, CASE WHEN strategy <> 'BuyHold' THEN round(mi / si, 6) + 0.0 END AS icir,
+       CASE WHEN strategy <> 'BuyHold' THEN CAST(printf('%.8e', mi) AS DOUBLE) END AS mean_ic, CASE WHEN strategy <> 'BuyHold' THEN CAST(printf('%.8e', mi / si) AS DOUBLE) END AS icir,
        CASE WHEN strategy <> 'BuyHold' THEN ({student_sf_sql('t', '(n - 1)')}) < 0.05 AND mi > 0 END AS ic_significant
 FROM met, i"""))
 def backtest_strategies(spark, sf):
@@ -145,14 +145,15 @@ def backtest_strategies(spark, sf):
     rows = out_of_sample(spark, sf)
     daily = bk.backtest(rows).unionByName(bk.benchmark_book(benchmark_ret(spark, sf), rows))
     m = bk.with_ic_fields(bk.performance(daily), daily_ic(rows, "prob", "actual_return"))
-    return rounded(m).orderBy(F.desc("sharpe_ratio"), "strategy")
+    p = F.round("sharpe_pvalue", 6) + 0.0
+    return significant(m).withColumn("sharpe_pvalue", p).orderBy(F.desc("sharpe_ratio"), "strategy")
 
 
 @query("backtest_equity", sql(OOS_SQL + weights_sql("oos", [TOP1]) + daily_sql("oos", [TOP1]) + metrics_sql("strategy"), f"""
-SELECT strategy, date, {_r('pv', 8, 'portfolio_value')}, {_r('dd', 8, 'drawdown')} FROM dd_met"""))
+SELECT strategy, date, {sig_sql('pv', 'portfolio_value')}, {_r('dd', 8, 'drawdown')} FROM dd_met"""))
 def backtest_equity(spark, sf):
     d = bk.equity_curve(bk.backtest(out_of_sample(spark, sf), [TOP1]))
-    return rounded(d.select("strategy", "date", "portfolio_value", "drawdown"), 8)
+    return rounded(significant(d.select("strategy", "date", "portfolio_value", "drawdown"), 9), 8, "portfolio_value")
 
 
 SUBS = (TOP1, bk.STRATEGIES[0], bk.STRATEGIES[8])
@@ -163,12 +164,12 @@ subs AS (SELECT o.*, sub_period FROM oos o JOIN per ON date BETWEEN lo AND hi)""
 
 @query("backtest_subperiods", sql(
     SUB_SQL + weights_sql("subs", SUBS, ["sub_period"]) + daily_sql("subs", SUBS, ["sub_period"]) + metrics_sql("strategy, sub_period"), f"""
-SELECT strategy, sub_period, n_days, {_r('annual_return', 6, 'annual_return')}, {_r('sharpe_ratio', 6, 'sharpe_ratio')},
-       {_r('max_drawdown', 6, 'max_drawdown')}, {_r('total_cost', 6, 'total_cost')} FROM met"""))
+SELECT strategy, sub_period, n_days, {sig_sql('annual_return', 'annual_return')}, {sig_sql('sharpe_ratio', 'sharpe_ratio')},
+       {sig_sql('max_drawdown', 'max_drawdown')}, {sig_sql('total_cost', 'total_cost')} FROM met"""))
 def backtest_subperiods(spark, sf):
     """Named date ranges, two of them overlapping; each starts from an empty book."""
     m = bk.subperiods(out_of_sample(spark, sf), SUBS, PERIODS)
-    return rounded(m.select("strategy", "sub_period", "n_days", "annual_return", "sharpe_ratio", "max_drawdown", "total_cost"))
+    return significant(m.select("strategy", "sub_period", "n_days", "annual_return", "sharpe_ratio", "max_drawdown", "total_cost"))
 
 
 COST_SQL = OOS_SQL + weights_sql("oos", [TOP1]) + daily_sql("oos", [TOP1]) + f""",
@@ -183,7 +184,7 @@ def cost_curve(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("cost_sensitivity", sql(COST_SQL, f"SELECT strategy, cost_bps, n_days, n_trades, {metric_columns(False)} FROM met"))
 def cost_sensitivity(spark, sf):
-    return rounded(cost_curve(spark, sf).select("strategy", "cost_bps", "n_days", "n_trades", *METRICS))
+    return significant(cost_curve(spark, sf).select("strategy", "cost_bps", "n_days", "n_trades", *METRICS))
 
 
 @query("break_even", sql(COST_SQL + """,
@@ -202,10 +203,10 @@ def break_even(spark, sf):
 e AS (SELECT a.strategy, a.sharpe_ratio AS s0, (b.sharpe_ratio - a.sharpe_ratio) / 5 AS ss, a.annual_return AS r0,
              (b.annual_return - a.annual_return) / 5 AS rs FROM met a JOIN met b ON a.strategy = b.strategy AND a.cost_bps = 0 AND b.cost_bps = 5),
 g AS (SELECT unnest([0, 5, 10, 15, 20, 25, 30])::DOUBLE AS cost_bps)""", f"""
-SELECT strategy, cost_bps, {_r('ss', 8, 'sharpe_per_bp')}, {_r('rs', 8, 'return_per_bp')},
-       {_r('s0 + ss * cost_bps', 6, 'sharpe_line')}, {_r('r0 + rs * cost_bps', 6, 'return_line')} FROM e, g"""))
+SELECT strategy, cost_bps, {sig_sql('ss', 'sharpe_per_bp')}, {sig_sql('rs', 'return_per_bp')},
+       {sig_sql('s0 + ss * cost_bps', 'sharpe_line')}, {sig_sql('r0 + rs * cost_bps', 'return_line')} FROM e, g"""))
 def cost_extrapolation(spark, sf):
-    return rounded(bk.cost_extrapolation(cost_curve(spark, sf)), {"sharpe_per_bp": 8, "return_per_bp": 8})
+    return significant(bk.cost_extrapolation(cost_curve(spark, sf)))
 
 
 KS = tuple(bk.Strategy(f"TopK{k}", "topk", k) for k in (1, 2, 3))
@@ -215,7 +216,7 @@ KS = tuple(bk.Strategy(f"TopK{k}", "topk", k) for k in (1, 2, 3))
 SELECT strategy, n_days, n_trades, {metric_columns(False)} FROM met"""))
 def k_sensitivity(spark, sf):
     m = bk.performance(bk.backtest(out_of_sample(spark, sf), KS))
-    return rounded(m.select("strategy", "n_days", "n_trades", *METRICS))
+    return significant(m.select("strategy", "n_days", "n_trades", *METRICS))
 
 
 MATRIX = (TOP1, bk.LONG_SHORT, bk.STRATEGIES[0], bk.STRATEGIES[8])
@@ -245,10 +246,10 @@ repn AS (SELECT *, turnover * 5.0::DOUBLE / 10000 AS cost, gross_return - turnov
 
 @query("random_baseline", sql(OOS_SQL + drawn_sql(100) + """,
 picks AS (SELECT * FROM drawn WHERE pos = 1)""" + REP_SQL + metrics_sql("rep", "repn"), f"""
-SELECT {', '.join(_r(f'avg({c})', 6, c) for c in METRICS)}, {_r('avg(n_trades)', 6, 'n_trades')} FROM met"""))
+SELECT {', '.join(sig_sql(f'avg({c})', c) for c in (*METRICS, 'n_trades'))} FROM met"""))
 def q_random_baseline(spark, sf):
     """Numeric metrics averaged over 100 random single-name books."""
-    return rounded(random_baseline(out_of_sample(spark, sf), 100).select(*METRICS, "n_trades"))
+    return significant(random_baseline(out_of_sample(spark, sf), 100).select(*METRICS, "n_trades"))
 
 
 PERM_SQL = OOS_SQL + drawn_sql(1000) + """,
@@ -260,16 +261,16 @@ def permutation_null(spark: SparkSession, sf: str, reps: int = 1000) -> DataFram
     return permutation_sharpes(out_of_sample(spark, sf), reps)
 
 
-@query("perm_sharpe_null", sql(PERM_SQL, f"SELECT rep, {_r('sharpe_ratio', 8, 'null_sharpe')} FROM met"))
+@query("perm_sharpe_null", sql(PERM_SQL, f"SELECT rep, {sig_sql('sharpe_ratio', 'null_sharpe')} FROM met"))
 def perm_sharpe_null(spark, sf):
     """Null Sharpe ratios of the top-1 book, 1,000 within-day shuffles of the score."""
-    return rounded(permutation_null(spark, sf), 8)
+    return significant(permutation_null(spark, sf))
 
 
 @query("perm_sharpe", sql(
     PERM_SQL + weights_sql("oos", [TOP1]) + daily_sql("oos", [TOP1]) + metrics_sql("strategy", "daily", "obs") + """,
 z AS (SELECT met.sharpe_ratio AS x, obs.sharpe_ratio AS o FROM met, obs)""", f"""
-SELECT {_r('max(o)', 6, 'observed')}, count(*) AS n_reps, {_r('avg(x)', 8, 'null_mean')}, {_r('quantile_cont(x, 0.95::DOUBLE)', 8, 'null_95th')},
+SELECT {sig_sql('max(o)', 'observed')}, count(*) AS n_reps, {sig_sql('avg(x)', 'null_mean')}, {sig_sql('quantile_cont(x, 0.95::DOUBLE)', 'null_95th')},
        {_r('avg(CASE WHEN x >= o THEN 1.0::DOUBLE ELSE 0 END)', 6, 'p_value')},
        {_r('(count(*) FILTER (x < o) + count(*) FILTER (x <= o) + CASE WHEN bool_or(x = o) THEN 1 ELSE 0 END) * 50.0::DOUBLE / count(*)', 6, 'percentile_rank')},
        avg(CASE WHEN x >= o THEN 1.0::DOUBLE ELSE 0 END) < 0.05 AS significant FROM z"""))
@@ -277,7 +278,7 @@ def perm_sharpe(spark, sf):
     """Permutation test of the top-1 Sharpe ratio."""
     rows = out_of_sample(spark, sf)
     observed = bk.performance(bk.backtest(rows, [TOP1])).select(F.col("sharpe_ratio").alias("observed"))
-    return rounded(null_summary(permutation_sharpes(rows, 1000), observed, "null_sharpe"), {"null_mean": 8, "null_95th": 8})
+    return significant(null_summary(permutation_sharpes(rows, 1000), observed, "null_sharpe"))
 
 
 TOP2 = bk.Strategy("TopK2", "topk", 2)
@@ -287,9 +288,9 @@ TOP2 = bk.Strategy("TopK2", "topk", 2)
 pk AS (SELECT * FROM shuffled QUALIFY row_number() OVER (PARTITION BY rep, date ORDER BY prob DESC, ticker) <= 2),
 w AS (SELECT rep, 'null' AS strategy, date, ticker, actual_return, 1.0::DOUBLE / count(*) OVER (PARTITION BY rep, date) AS w FROM pk),
 src AS (SELECT DISTINCT rep, date FROM pk)""" + daily_sql("src", [bk.Strategy("null", "topk")], ["rep"]) + metrics_sql("rep"), f"""
-SELECT rep, {_r('sharpe_ratio', 8, 'null_sharpe')} FROM met"""))
+SELECT rep, {sig_sql('sharpe_ratio', 'null_sharpe')} FROM met"""))
 def perm_sharpe_top2(spark, sf):
-    return rounded(permutation_sharpes(out_of_sample(spark, sf), 100, k=2), 8)
+    return significant(permutation_sharpes(out_of_sample(spark, sf), 100, k=2))
 
 
 @query("gated_backtest", sql(OOS_IC_SQL + hac_sql("fold") + weights_sql("oos", [TOP1], (), "w0") + """,
@@ -360,7 +361,7 @@ def factor_table(spark, sf):
     return rounded(factors(spark, sf), 8)
 
 
-REG = (TOP1, bk.STRATEGIES[0], bk.STRATEGIES[8])
+REG = (TOP1, bk.STRATEGIES[0], bk.STRATEGIES[7])
 
 
 def book_returns(spark: SparkSession, sf: str) -> DataFrame:

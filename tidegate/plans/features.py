@@ -13,7 +13,7 @@ from tidegate.operators.quality import (
     in_range, integrity_audit, missing_entities, prediction_audit, quality_by_entity, reconcile_sources, select_entities,
     universe_screen, without_entity,
 )
-from tidegate.plans.base import BARS_SQL, PANEL_SQL, bars, panel, rounded, sql, table
+from tidegate.plans.base import BARS_SQL, PANEL_SQL, bars, panel, rounded, series_bars, sql, table
 from tidegate.plans.registry import query
 from tidegate.sources.bars import bars_from_trades, daily_returns
 
@@ -83,7 +83,7 @@ SELECT ticker, date, {', '.join(_r(e, 8, n) for n, e in RETURNS.items())},
        {_r('lag(close, 11) OVER w - lag(sma20, 11) OVER w', 5, 'DPO_20')}
 FROM s WINDOW w AS (PARTITION BY ticker ORDER BY date)"""))
 def feat_returns_roc_dpo(spark, sf):
-    f = rolling_features(bars(spark, sf)).select(*KEY, *RETURNS, "ROC_10", "ROC_21", "DPO_20")
+    f = rolling_features(series_bars(spark, sf)).select(*KEY, *RETURNS, "ROC_10", "ROC_21", "DPO_20")
     return rounded(f, {n: 8 for n in RETURNS} | {"DPO_20": 5})
 
 
@@ -99,7 +99,7 @@ FROM s"""))
 def feat_sma_bollinger(spark, sf):
     level = ("BB_upper", "BB_lower", "BB_mid", "SMA_50", "SMA_200")
     share = ("BB_width", "BB_pct_b", "price_to_SMA50", "price_to_SMA200")
-    f = rolling_features(bars(spark, sf)).select(*KEY, *level, *share)
+    f = rolling_features(series_bars(spark, sf)).select(*KEY, *level, *share)
     return rounded(f, {c: 5 for c in level} | {c: 7 for c in share})
 
 
@@ -113,7 +113,7 @@ FROM i2"""))
 def feat_candles_vol(spark, sf):
     names = ("OC_body_norm", "upper_shadow_ratio", "lower_shadow_ratio", "HL_range_norm",
              "rolling_vol_5d", "rolling_vol_21d", "rolling_vol_63d")
-    return rounded(rolling_features(bars(spark, sf)).select(*KEY, *names), 7)
+    return rounded(rolling_features(series_bars(spark, sf)).select(*KEY, *names), 7)
 
 
 @query("feat_stoch_williams_cci", sql(INPUTS_SQL + f""",
@@ -125,7 +125,7 @@ SELECT ticker, date, {_r('k', 6, 'stoch_K')}, {_r(_full('avg', 'k', 3), 6, 'stoc
        {_r(f'(tp - tpm) / (0.015::DOUBLE * list_avg(list_transform(tps, lambda x: abs(x - tpm))) + {EPS})', 5, 'CCI_20')}
 FROM k"""))
 def feat_stoch_williams_cci(spark, sf):
-    f = rolling_features(bars(spark, sf)).select(*KEY, "stoch_K", "stoch_D", "Williams_R", "CCI_20")
+    f = rolling_features(series_bars(spark, sf)).select(*KEY, "stoch_K", "stoch_D", "Williams_R", "CCI_20")
     return rounded(f, {"CCI_20": 5})
 
 
@@ -138,7 +138,7 @@ SELECT ticker, date,
                   for n in (5, 21))}
 FROM s"""))
 def feat_mfi_vwap_zvol(spark, sf):
-    f = rolling_features(bars(spark, sf)).select(*KEY, "MFI_14", "VWAP_deviation", "volume_zscore_5d", "volume_zscore_21d")
+    f = rolling_features(series_bars(spark, sf)).select(*KEY, "MFI_14", "VWAP_deviation", "volume_zscore_5d", "volume_zscore_21d")
     return rounded(f, {"VWAP_deviation": 7})
 
 
@@ -172,7 +172,7 @@ e AS (
 SELECT ticker, date, {', '.join(_r(f'CASE WHEN rn >= {n} THEN e{n} END', 5, f'EMA_{n}') for n in (9, 21, 50, 200))}
 FROM e"""))
 def feat_ewm(spark, sf):
-    f = smoothed_features(bars(spark, sf), gaps=False)
+    f = smoothed_features(series_bars(spark, sf), gaps=False)
     return rounded(f.select(*KEY, "EMA_9", "EMA_21", "EMA_50", "EMA_200"), 5)
 
 
@@ -189,7 +189,7 @@ SELECT m.ticker, m.date,
        {_r('CASE WHEN m.rn >= 34 THEN macd - sig END', 5, 'MACD_hist')}
 FROM m LEFT JOIN sg ON m.ticker = sg.ticker AND m.rn = sg.rn"""))
 def feat_rsi_macd(spark, sf):
-    f = smoothed_features(bars(spark, sf), gaps=False)
+    f = smoothed_features(series_bars(spark, sf), gaps=False)
     return rounded(f.select(*KEY, "RSI_14", "RSI_21", "MACD_12_26", "MACD_signal_9", "MACD_hist"),
                    {"MACD_12_26": 5, "MACD_signal_9": 5, "MACD_hist": 5})
 
@@ -207,7 +207,7 @@ SELECT y.ticker, y.date, {_r('CASE WHEN y.rn >= 14 THEN a14 END', 5, 'ATR_14')},
        {_r('CASE WHEN y.rn >= 27 THEN adx END', 6, 'ADX_14')}
 FROM y LEFT JOIN ax ON y.ticker = ax.ticker AND y.rn = ax.rn"""))
 def feat_atr_adx(spark, sf):
-    f = smoothed_features(bars(spark, sf), gaps=False)
+    f = smoothed_features(series_bars(spark, sf), gaps=False)
     return rounded(f.select(*KEY, "ATR_14", "ATR_21", "DI_plus", "DI_minus", "ADX_14"), {"ATR_14": 5, "ATR_21": 5})
 
 
@@ -215,7 +215,7 @@ def feat_atr_adx(spark, sf):
 SELECT ticker, date, {_r('obv', 3, 'OBV')}, {_r('CASE WHEN rn >= 21 THEN o21 END', 3, 'OBV_EMA')} FROM e"""))
 def feat_obv(spark, sf):
     """Volume balance and its mean through the path that allows gaps."""
-    f = rolling_features(smoothed_features(bars(spark, sf)))
+    f = rolling_features(smoothed_features(series_bars(spark, sf)))
     return rounded(f.select(*KEY, "OBV", "OBV_EMA"), 3)
 
 
@@ -245,14 +245,14 @@ def quality_entity(spark, sf):
 @query("quality_audit")
 def quality_audit(spark, sf):
     """Integrity checks of the full feature panel."""
-    b = bars(spark, sf)
+    b = series_bars(spark, sf)
     return integrity_audit(model_panel(b, gaps=False), b, rolling_features(b).select("ticker", "date", "SMA_200"))
 
 
 @query("feature_panel_summary")
 def feature_panel_summary(spark, sf):
     """Rows, range and mean per feature of the warmed-up 49-column panel."""
-    p = finite_or_zero(model_panel(bars(spark, sf), gaps=False), FEATURES)
+    p = finite_or_zero(model_panel(series_bars(spark, sf), gaps=False), FEATURES)
     long = p.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).alias("x")) for c in FEATURES])))
     return long.groupBy("feature").agg(

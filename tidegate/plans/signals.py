@@ -188,7 +188,7 @@ def q_daily_ic_skip(spark, sf):
 
 
 @query("ic_histogram", sql(SIGNAL_IC_SQL, """
-SELECT signal, round(floor(ic / 0.05::DOUBLE) * 0.05::DOUBLE, 4) + 0.0 AS bin_low, count(*) AS n FROM ic GROUP BY ALL"""))
+SELECT signal, round(floor(round(ic / 0.05::DOUBLE, 9)) * 0.05::DOUBLE, 4) + 0.0 AS bin_low, count(*) AS n FROM ic GROUP BY ALL"""))
 def ic_histogram(spark, sf):
     from tidegate.operators.calibration import histogram
     return rounded(histogram(signal_ic(spark, sf), "ic", 0.05, ["signal"]), 4)
