@@ -222,7 +222,7 @@ def performance(daily: DataFrame, by: Sequence[str] = ("strategy",)) -> DataFram
     r, turn = F.col("net_return"), F.col("turnover")
     s = d.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_days"),
-        (F.max_by("portfolio_value", "date") - 1).alias("total_return"),
+        F.max_by("portfolio_value", "date").alias("_last"),
         F.sum((turn > 0.001).cast("long")).alias("n_trades"),
         F.avg(turn).alias("avg_turnover"), F.avg("n_positions").alias("avg_positions"),
         F.avg(r).alias("_mean"), F.stddev_samp(r).alias("_sd"),
@@ -236,7 +236,8 @@ def performance(daily: DataFrame, by: Sequence[str] = ("strategy",)) -> DataFram
     n = F.col("n_days")
     year = math.sqrt(YEAR)
     s = s.withColumns({
-        "annual_return": F.when(F.col("total_return") >= -1, F.pow(1 + F.col("total_return"), YEAR / n) - 1),
+        "total_return": F.col("_last") - 1,
+        "annual_return": F.when(F.col("_last") >= 0, F.pow("_last", YEAR / n) - 1),
         "annual_vol": F.col("_sd") * year,
         "_down": F.coalesce(F.col("_down") * year, F.lit(0.0)),
         "_sr": F.when(F.col("_sd") > 0, F.col("_mean") / F.when(F.col("_sd") > 0, F.col("_sd"))).otherwise(0.0),

@@ -78,7 +78,8 @@ def significant(df: DataFrame, digits: int = 9) -> DataFrame:
     """Doubles to ``digits`` significant digits, for values of any magnitude."""
     fmt = f"%.{digits - 1}e"
     return df.select(*[
-        (F.format_string(fmt, F.col(c)).cast("double") + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+        (F.format_string(fmt, F.col(c)).try_cast("double") + 0.0).alias(c) if t == "double" else F.col(c)
+        for c, t in df.dtypes])
 
 
 def sig_sql(expr: str, name: str, digits: int = 9) -> str:

@@ -84,14 +84,14 @@ eq_{name} AS (SELECT *, product(1 + net_return) OVER w AS pv, lag(net_return) OV
        WINDOW w AS (PARTITION BY {by} ORDER BY date)),
 dd_{name} AS (SELECT *, pv / max(pv) OVER (PARTITION BY {by} ORDER BY date) - 1 AS dd FROM eq_{name}),
 m0_{name} AS (
-  SELECT {by}, count(*) AS n_days, arg_max(pv, date) - 1 AS total_return, count(*) FILTER (turnover > 0.001::DOUBLE) AS n_trades,
+  SELECT {by}, count(*) AS n_days, arg_max(pv, date) AS last_pv, arg_max(pv, date) - 1 AS total_return, count(*) FILTER (turnover > 0.001::DOUBLE) AS n_trades,
          avg(turnover) AS avg_turnover, avg(n_positions) AS avg_positions, stddev_samp(net_return) * sqrt(252) AS annual_vol,
          avg(net_return) / stddev_samp(net_return) AS sr, coalesce(stddev_samp(net_return) FILTER (net_return < 0) * sqrt(252), 0) AS down,
          min(dd) AS max_drawdown, coalesce({corr}, 0) AS rho, count(*) FILTER (net_return > 0) / count(*)::DOUBLE AS win_rate,
          coalesce(avg(net_return) FILTER (net_return > 0), 0) AS avg_win, coalesce(avg(net_return) FILTER (net_return < 0), 0) AS avg_loss,
          sum(cost) AS total_cost, avg(cost) AS avg_daily_cost, sum(cost) / (count(*) / 252.0::DOUBLE) AS cost_drag_annual
   FROM dd_{name} GROUP BY {by}),
-m1_{name} AS (SELECT *, CASE WHEN total_return >= -1 THEN pow(1 + total_return, 252.0::DOUBLE / n_days) - 1 END AS annual_return,
+m1_{name} AS (SELECT *, CASE WHEN last_pv >= 0 THEN pow(last_pv, 252.0::DOUBLE / n_days) - 1 END AS annual_return,
        sqrt(greatest(0, (1 + 0.5::DOUBLE * sr * sr - rho * sr * sr + rho * rho * sr * sr) / n_days)) * sqrt(252) AS se FROM m0_{name}),
 {name} AS (SELECT *, annual_return / annual_vol AS sharpe_ratio, CASE WHEN down > 0 THEN annual_return / down ELSE 0 END AS sortino_ratio,
        CASE WHEN max_drawdown < 0 THEN annual_return / abs(max_drawdown) ELSE 0 END AS calmar_ratio,
@@ -150,10 +150,10 @@ def backtest_strategies(spark, sf):
 
 
 @query("backtest_equity", sql(OOS_SQL + weights_sql("oos", [TOP1]) + daily_sql("oos", [TOP1]) + metrics_sql("strategy"), f"""
-SELECT strategy, date, {sig_sql('pv', 'portfolio_value')}, {_r('dd', 8, 'drawdown')} FROM dd_met"""))
+SELECT strategy, date, {sig_sql('pv', 'portfolio_value')}, {_r('dd', 6, 'drawdown')} FROM dd_met"""))
 def backtest_equity(spark, sf):
     d = bk.equity_curve(bk.backtest(out_of_sample(spark, sf), [TOP1]))
-    return rounded(significant(d.select("strategy", "date", "portfolio_value", "drawdown"), 9), 8, "portfolio_value")
+    return rounded(significant(d.select("strategy", "date", "portfolio_value", "drawdown"), 9), 6, "portfolio_value")
 
 
 SUBS = (TOP1, bk.STRATEGIES[0], bk.STRATEGIES[8])

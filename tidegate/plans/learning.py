@@ -70,12 +70,10 @@ def ensemble_average(spark, sf):
 
 # importance of a feature in a fold: absolute mean of its product with the label
 IMPORTANCE_SQL = FOLDS_SQL + """,
-imp AS (
-  SELECT fold, feature, abs(avg(v * (target - 0.5::DOUBLE))) AS mean_abs FROM (
-    SELECT f.fold, target, unnest([{'n': 'prob', 'v': prob}, {'n': 'close', 'v': close / 1000}, {'n': 'trend', 'v': close / SMA_200},
-                           {'n': 'momentum', 'v': trailing_return_21d}, {'n': 'gap', 'v': (close - SMA_200) / 1000}]) AS s,
-           s.n AS feature, s.v AS v
-    FROM panel JOIN fold_dates f ON panel.date = f.date AND role = 'test') GROUP BY 1, 2),
+v AS (SELECT f.fold, target, unnest(['prob', 'close', 'trend', 'momentum', 'gap']) AS feature,
+             unnest([prob, close / 1000, close / SMA_200, trailing_return_21d, (close - SMA_200) / 1000]) AS v
+      FROM panel JOIN fold_dates f ON panel.date = f.date AND role = 'test'),
+imp AS (SELECT fold, feature, abs(avg(v * (target - 0.5::DOUBLE))) AS mean_abs FROM v GROUP BY 1, 2),
 rk AS (SELECT *, rank() OVER (PARTITION BY fold ORDER BY mean_abs) + (count(*) OVER (PARTITION BY fold, mean_abs) - 1) / 2.0::DOUBLE AS rk FROM imp),
 rho AS (SELECT a.fold AS fold_i, b.fold AS fold_j, CASE WHEN a.fold = b.fold THEN 1.0::DOUBLE ELSE
           covar_pop(a.rk, b.rk) / (stddev_pop(a.rk) * stddev_pop(b.rk)) END AS rho
