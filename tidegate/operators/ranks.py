@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegate.functions.columns import stack_rows
+from tidegate.session import estimated_bytes
 
 SPLIT_ROWS = 1_000_000
+SMALL_BYTES = 64 * 1024 * 1024
 _EDGES = [i / 256 for i in range(1, 256)]
 
 
@@ -67,9 +69,12 @@ def rank_columns(rows: DataFrame, by: Sequence[str], columns: dict[str, str],
                  split_rows: int | None = SPLIT_ROWS) -> DataFrame:
     """Average ranks of several columns at once: ``{value column: rank column}``.
 
-    ``split_rows=None`` asserts that every group fits one task.
+    Where the whole table is small by the optimizer's estimate, a group cannot be
+    large and plain windows do; otherwise groups are split.  ``split_rows=None``
+    asserts that every group fits one task.
     """
-    if split_rows is None:
+    size = estimated_bytes(rows)
+    if split_rows is None or (split_rows == SPLIT_ROWS and size is not None and size <= SMALL_BYTES):
         for value, rank in columns.items():
             rows = average_rank(rows, by, value, rank)
         return rows

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegate.functions.tails import normal_two_sided
 
@@ -25,7 +26,7 @@ MODELS: Mapping[str, Sequence[str]] = {
 HAC_LAGS = 5
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _solve(xtx: pd.Series, xty: pd.Series) -> pd.Series:
     def one(a, b):
         p = len(b)
@@ -33,7 +34,7 @@ def _solve(xtx: pd.Series, xty: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(xtx, xty)])
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _sandwich_se(xtx: pd.Series, meat: pd.Series) -> pd.Series:
     def one(a, m):
         p = int(round(len(a) ** 0.5))

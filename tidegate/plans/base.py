@@ -14,9 +14,10 @@ from tidegate.functions.columns import change, series, spread_by
 from tidegate.operators.features import long_average, with_holding_return, with_target
 from tidegate.operators.folds import date_index, fold_dates, test_rows
 from tidegate.session import materialize
-from tidegate.sources.bars import bars_from_trades
+from tidegate.sources.bars import bars_from_trades, packed_order
 
-ORDER_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+# digits suffice for 100 TB of these tables; more would raise, not misorder
+ORDER_KEY = (("l_orderkey", 13), ("l_linenumber", 1), ("l_partkey", 12), ("l_suppkey", 11))
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -38,7 +39,7 @@ def raw_bars(spark: SparkSession, sf: str) -> DataFrame:
         table(spark, sf, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     return bars_from_trades(
         trades, entity="p_brand", time="l_shipdate", price=F.col("l_extendedprice") / F.col("l_quantity"),
-        quantity="l_quantity", order=ORDER_KEY)
+        quantity="l_quantity", order=packed_order(*ORDER_KEY))
 
 
 def panel(spark: SparkSession, sf: str) -> DataFrame:
@@ -60,7 +61,7 @@ def folds(spark: SparkSession, sf: str, frame: DataFrame | None = None) -> DataF
 def out_of_sample(spark: SparkSession, sf: str) -> DataFrame:
     """Panel rows on test days, tagged with their fold."""
     p = panel(spark, sf)
-    return test_rows(p, folds(spark, sf, p))
+    return materialize(test_rows(p, folds(spark, sf, p)))
 
 
 def rounded(df: DataFrame, digits: dict[str, int] | int = 6, *keep: str) -> DataFrame:

@@ -80,7 +80,8 @@ def metrics_sql(by: str, source: str = "daily", name: str = "met") -> str:
     corr = """CASE WHEN stddev_pop(pr) > 0 AND stddev_pop(CASE WHEN pr IS NOT NULL THEN net_return END) > 0
       THEN covar_pop(net_return, pr) / (stddev_pop(pr) * stddev_pop(CASE WHEN pr IS NOT NULL THEN net_return END)) END"""
     return f""",
-eq_{name} AS (SELECT *, product(1 + net_return) OVER w AS pv, lag(net_return) OVER w AS pr FROM {source}
+eq_{name} AS (SELECT *, CASE WHEN min(abs(1 + net_return)) OVER w = 0 THEN 0 ELSE exp(sum(ln(nullif(abs(1 + net_return), 0))) OVER w)
+         * CASE WHEN (sum(CASE WHEN 1 + net_return < 0 THEN 1 ELSE 0 END) OVER w) % 2 = 1 THEN -1 ELSE 1 END END AS pv, lag(net_return) OVER w AS pr FROM {source}
        WINDOW w AS (PARTITION BY {by} ORDER BY date)),
 dd_{name} AS (SELECT *, pv / max(pv) OVER (PARTITION BY {by} ORDER BY date) - 1 AS dd FROM eq_{name}),
 m0_{name} AS (

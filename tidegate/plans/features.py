@@ -13,9 +13,9 @@ from tidegate.operators.quality import (
     in_range, integrity_audit, missing_entities, prediction_audit, quality_by_entity, reconcile_sources, select_entities,
     universe_screen, without_entity,
 )
-from tidegate.plans.base import BARS_SQL, PANEL_SQL, bars, panel, rounded, series_bars, sql, table
+from tidegate.plans.base import BARS_SQL, ORDER_KEY, PANEL_SQL, bars, panel, rounded, series_bars, sql, table
 from tidegate.plans.registry import query
-from tidegate.sources.bars import bars_from_trades, daily_returns
+from tidegate.sources.bars import bars_from_trades, daily_returns, packed_order
 
 KEY = ("ticker", "date")
 EPS = "1e-10::DOUBLE"
@@ -68,7 +68,7 @@ def bars_nation(spark, sf):
         .join(table(spark, sf, "nation").select("n_nationkey", "n_name"), F.col("s_nationkey") == F.col("n_nationkey")))
     b = bars_from_trades(
         trades, entity="n_name", time="l_shipdate", price=F.col("l_extendedprice") / F.col("l_quantity"),
-        quantity="l_quantity", order=("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+        quantity="l_quantity", order=packed_order(*ORDER_KEY))
     return b.select("ticker", "date", "high", "low", "volume")
 
 

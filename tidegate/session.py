@@ -58,3 +58,15 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{folder.rstrip('/')}/tidegate-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """The optimizer's size estimate of a plan; no job is run.
+
+    For a written table this is its file size; joins multiply, so an unknown plan
+    errs to the large side.
+    """
+    plan = getattr(df, "_jdf", None)
+    if plan is None:
+        return None
+    return int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))

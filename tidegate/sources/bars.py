@@ -17,16 +17,18 @@ def bars_from_trades(
     time: str,
     price: str | Column,
     quantity: str,
-    order: Sequence[str],
+    order: Sequence[str] | Column,
 ) -> DataFrame:
     """Open/high/low/close/volume per entity and day.
 
     One grouped aggregation with map-side combine: an entity that holds a third
     of all trades costs one partial row per task.  ``order`` must be unique
-    within an entity and day for the open and close to be well defined.
+    within an entity and day for the open and close to be well defined.  A single
+    numeric order column keeps the aggregation hash-based; several columns are
+    compared as a struct, which Spark aggregates by sorting.
     """
     price = F.col(price) if isinstance(price, str) else price
-    key = F.struct(*order)
+    key = order if isinstance(order, Column) else F.struct(*order)
     return (
         trades.select(
             F.col(entity).alias("ticker"), F.to_date(time).alias("date"),
@@ -43,6 +45,20 @@ def bars_from_trades(
     )
 
 
+def packed_order(*columns: tuple[str, int]) -> Column:
+    """One decimal that orders like the columns, given the digits each may have.
+
+    A value with more digits than stated would change the order, so it raises.
+    """
+    total = None
+    for name, digits in columns:
+        fits = F.when(F.col(name).between(0, 10 ** digits - 1), F.col(name)).otherwise(
+            F.raise_error(F.concat(F.lit(f"{name} needs more than {digits} digits: "), F.col(name).cast("string"))).cast("long"))
+        part = fits.cast("decimal(38,0)")
+        total = part if total is None else (total * F.lit(10 ** digits).cast("decimal(19,0)") + part).cast("decimal(38,0)")
+    return total
+
+
 def daily_returns(levels: DataFrame, *, time: str = "date", level: str = "close",
                   by: str | None = None, out: str = "ret") -> DataFrame:
     """Simple returns of a benchmark level, first row dropped.
