@@ -16,6 +16,7 @@ from tidegate.operators.quality import (
 from tidegate.plans.base import BARS_SQL, ORDER_KEY, PANEL_SQL, bars, panel, rounded, series_bars, sql, table
 from tidegate.plans.registry import query
 from tidegate.sources.bars import bars_from_trades, daily_returns, packed_order
+from tidegate.sources.readers import entity_names, long_to_wide, parse_factor_text, wide_to_long
 
 KEY = ("ticker", "date")
 EPS = "1e-10::DOUBLE"
@@ -331,3 +332,26 @@ SELECT ticker, date, {_r('close / lag(close, 252) OVER w - 1', 8, 'momentum')},
 FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date)"""))
 def momentum_signal(spark, sf):
     return rounded(with_momentum(bars(spark, sf)).select("ticker", "date", "momentum", "next_return"), 8)
+
+
+@query("factor_text_parse", """
+WITH d AS (SELECT CAST(o_orderdate AS DATE) AS date, count(*) AS a, count(DISTINCT o_custkey) AS b FROM orders GROUP BY 1)
+SELECT date, round(a / 100.0::DOUBLE, 6) AS A, CASE WHEN b % 3 <> 0 THEN round(b / 100.0::DOUBLE, 6) END AS B FROM d""")
+def factor_text_parse(spark, sf):
+    """Daily rows recovered from text that also holds monthly rows, prose and empty fields."""
+    o = table(spark, sf, "orders").withColumn("date", F.to_date("o_orderdate"))
+    daily = o.groupBy("date").agg(F.count(F.lit(1)).alias("a"), F.countDistinct("o_custkey").alias("b"))
+    field = F.when(F.col("b") % 3 != 0, F.col("b").cast("string")).otherwise("")
+    lines = daily.select(F.explode(F.array(
+        F.concat_ws(",", F.date_format("date", "yyyyMMdd"), F.concat(F.lit("  "), F.col("a").cast("string")), field),
+        F.concat_ws(",", F.date_format("date", "yyyyMM"), F.lit("9"), F.lit("9")),
+        F.concat(F.lit("Note on "), F.col("date").cast("string")))).alias("value"))
+    return rounded(parse_factor_text(lines, ["A", "B"]))
+
+
+@query("wide_prices_round_trip", sql(BARS_SQL, "SELECT ticker, date, close FROM bars"))
+def wide_prices_round_trip(spark, sf):
+    """Closing prices to one column per name and back."""
+    b = bars(spark, sf)
+    wide = long_to_wide(b, entity_names(b))
+    return wide_to_long(wide).select("ticker", "date", "close")

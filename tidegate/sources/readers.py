@@ -48,6 +48,14 @@ def wide_to_long(prices: DataFrame, time: str = "date") -> DataFrame:
     )
 
 
+def entity_names(bars: DataFrame, most: int = 1000) -> list[str]:
+    """Column names for a wide export; more names than a table can be wide raises."""
+    names = [r[0] for r in bars.select("ticker").distinct().limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} names: stay with the long form")
+    return sorted(names)
+
+
 def long_to_wide(bars: DataFrame, entities: Sequence[str], value: str = "close") -> DataFrame:
     """Export form.  The column list is given, so no distinct scan is needed."""
     return bars.groupBy("date").pivot("ticker", list(entities)).agg(F.first(value))
