@@ -173,8 +173,8 @@ SELECT count(*) AS n_folds, count(*) FILTER (t_naive > 1.645 AND mean > 0) AS op
 def gate_open_counts(spark, sf):
     g = inf.hac_test(oos_ic(spark, sf), ["fold"])
     return g.agg(F.count(F.lit(1)).alias("n_folds"),
-                 F.sum(inf.condition_a("t_naive").cast("long")).alias("open_naive"),
-                 F.sum(inf.condition_a("t_hac").cast("long")).alias("open_hac"))
+                 F.count_if(inf.condition_a("t_naive")).alias("open_naive"),
+                 F.count_if(inf.condition_a("t_hac")).alias("open_hac"))
 
 
 @query("daily_ic", sql(OOS_IC_SQL, f"SELECT fold, date, n, {_r('ic', 8, 'ic')} FROM ic"))

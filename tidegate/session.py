@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def build_session(master: str | None = None, app: str = "tidegate", **conf) -> SparkSession:
     """A session with adaptive execution on and UTC dates.
 
@@ -39,10 +42,13 @@ def shared_folder(session: SparkSession) -> str | None:
     A local session without one gets a temporary folder; on a cluster nothing is
     made up, since a machine-local folder is not visible to other executors.
     """
-    folder = session.conf.get("spark.checkpoint.dir", None)
-    if not folder and session.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="spark-tidegate-")
-        session.conf.set("spark.checkpoint.dir", folder)
+    context = session.sparkContext
+    folder = session.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if not folder and context.master.startswith("local"):
+        app = context.applicationId
+        if app not in _LOCAL_FOLDERS:
+            _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="spark-tidegate-")
+        folder = _LOCAL_FOLDERS[app]
     return folder
 
 
