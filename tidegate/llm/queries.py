@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegate.llm.common import table
-from tidegate.llm import substring_dedup
+from tidegate.llm import bpe, decontamination, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,3 +27,16 @@ def query(name: str, oracle: str | None = None):
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that stay when 50-word windows of documents with smaller ids are taken out."""
     return substring_dedup.removal(table(spark, sf_dir, "documents"), 50)
+
+
+@query("op7_benchmark_decontamination")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the score of the alignment."""
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op9_byte_bpe")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every document, decoded again."""
+    return bpe.digests(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

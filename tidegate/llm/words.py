@@ -24,6 +24,10 @@ U64 = np.uint64
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
+PLAIN = np.arange(256, dtype=np.uint8)
+PLAIN[[b for b in range(128) if not chr(b).isalnum()]] = 32
+PLAIN[65:91] += 32
+
 _BYTE_BASE = 0x9E3779B97F4A7C15 | 1
 _WORD_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -132,8 +136,11 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return out
 
 
-def words_of(column: pa.Array | pa.ChunkedArray) -> Words:
+def words_of(column: pa.Array | pa.ChunkedArray, plain: bool = False) -> Words:
+    """Words of the rows; with ``plain``, ASCII capitals count as small and ASCII marks as white space."""
     offsets, data = text_bytes(column)
+    if plain:
+        data = PLAIN[data]
     start, end = _boundaries(offsets, data) if len(data) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     return Words(offsets, data, start, end, word_hashes(data, start, end), np.searchsorted(start, offsets))
 
