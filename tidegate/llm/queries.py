@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegate.llm.common import table
-from tidegate.llm import bpe, decontamination, substring_dedup
+from tidegate.llm import bpe, decontamination, quality_rules, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +29,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removal(table(spark, sf_dir, "documents"), 50)
 
 
+@query("op4_quality_rules")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every document and the verdict of the line labelling."""
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op7_benchmark_decontamination")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, with the score of the alignment."""
