@@ -67,8 +67,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     links = written(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "links")
-    before = None
     while True:
+        ends = links.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+            links.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter(
+                "up > 1 or (up = 1 and down = 1)").isEmpty():  # stars: every node has one link up or only links down
+            return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+                links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -78,10 +83,3 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         links = written(
             small.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "links")
-        state = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"),
-                          F.count_distinct("u").alias("d")).first()
-        if (state.n, state.s) == before and state.n == state.d:
-            roots = links.groupBy("u").agg(F.min("v").alias("root"))
-            return roots.select(F.col("u").alias("node"), "root").unionByName(
-                roots.select(F.col("root").alias("node"), "root").distinct())
-        before = (state.n, state.s)

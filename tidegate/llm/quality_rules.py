@@ -40,7 +40,7 @@ TAILS = np.zeros(256, dtype=bool)
 TAILS[128:192] = True  # bytes of a character after its first
 
 FEATURES = ("bias", "symbols", "pipes", "capitals", "shouts", "digits", "other_marks", "twins", "few_words",
-            "few_kinds", "long_words", "repeated_line", "no_stop", "first")
+            "few_kinds", "long_words", "repeated_line", "first")
 #: Where the fit starts and what it is drawn to: boilerplate is symbols, capitals, shouting, digits and repetition.
 PRIOR = dict(bias=-2.0, symbols=4.0, pipes=2.0, capitals=2.0, shouts=3.0, digits=2.0, other_marks=1.0, twins=3.0,
              few_kinds=2.0, repeated_line=1.0)
@@ -96,15 +96,14 @@ def lines_of(w: Words) -> Lines:
     twins = _count(twin, first, first + n) / n
     line = np.repeat(np.arange(len(n)), n)
     kinds = 1 - np.bincount(line, _seen_before(line, w.hash), minlength=len(n)) / n
-    last = data[np.maximum(w.end[first + n - 1] - 1, 0)]
     new_row = np.ones(len(row), bool)
     new_row[1:] = row[1:] != row[:-1]
     marks = 1 - (_count(LETTERS[data] & ~TAILS[data], start, end) / size) - symbols - digits - shouts
     table = np.stack([
         np.ones(len(n)), np.minimum(1, 8 * symbols), np.minimum(1, 2 * pipes), share(CAPITALS, letters),
-        np.minimum(1, 10 * shouts), np.minimum(1, 4 * digits), np.clip(4 * marks, 0, 1), np.minimum(1, 2 * twins), n < 3,
+        np.minimum(1, 10 * shouts), np.minimum(1, 2 * digits), np.clip(4 * marks, 0, 1), np.minimum(1, 2 * twins), n < 3,
         np.where(n >= 20, np.clip(1 - 1.25 * kinds, 0, 1), 0), size / n > 12, repeated,
-        ~np.isin(last, list(b".!?:;\"')")), new_row,
+        new_row,
     ], axis=1).astype(float) if len(n) else np.zeros((0, len(FEATURES)))
     return Lines(row, n, table, repeated)
 
