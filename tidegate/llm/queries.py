@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegate.llm.common import table
-from tidegate.llm import bpe, decontamination, near_dedup, quality_rules, substring_dedup
+from tidegate.llm import bpe, decontamination, near_dedup, quality_rules, sharding, substring_dedup, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,6 +35,18 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op5_token_ids")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document as the written store holds them."""
+    return token_store.stored(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op6_sharding")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every document in eight shuffled shards, as read back from them."""
+    return sharding.digest(table(spark, sf_dir, "documents"), 8)
+
+
 @query("op7_benchmark_decontamination")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, with the score of the alignment."""
