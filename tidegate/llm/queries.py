@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegate.llm.common import table
-from tidegate.llm import bpe, decontamination, near_dedup, quality_rules, sharding, substring_dedup, token_store
+from tidegate.llm import bpe, decontamination, language_id, near_dedup, quality_rules, sharding, substring_dedup, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +64,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every document, decoded again."""
     return bpe.digests(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op10_language_id")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the documents that are not held out."""
+    return language_id.predicted(table(spark, sf_dir, "documents"))
