@@ -4,21 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidegate.llm import substring_dedup
+from tidegate.llm import bpe, decontamination, near_dedup, quality_rules, substring_dedup
 from tidegate.llm.common import table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line labelling and the base rules keep."""
+    return quality_rules.retained(docs, table(spark, sf_dir, "labels"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each class of near duplicates."""
+    return near_dedup.one_of_each(docs)
+
+
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes out words of 50-word passages that stand in a document with a smaller id."""
-    return substring_dedup.without_repeats(docs, 50)
+    """Texts without the words of 50-word passages that stand in a document with a smaller id; ``n_chars`` follows."""
+    return substring_dedup.without_repeats(docs, 50).withColumn(
+        "n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontamination.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their token ids, and the text as the ids decode to it."""
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return bpe.encoded(docs, path, pattern).withColumn("text", bpe.decoder(path, pattern)("ids").cast("string"))
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", keep_good),
+    ("near_dedup", one_of_each),
     ("substring_dedup", drop_repeats),
+    ("decontamination", drop_leaks),
+    ("byte_bpe", encode),
 ]
 
 #: The stages' methods (labelling, sketching, alignment, merges) have no SQL form; tests compare with brute force.

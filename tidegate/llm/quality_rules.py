@@ -63,7 +63,7 @@ def _count(mask: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return sums[end] - sums[start]
 
 
-def _seen_before(row: np.ndarray, h: np.ndarray) -> np.ndarray:
+def seen_before(row: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Which entries equal an earlier one of their row; entries come in reading order."""
     key = mix(h ^ mix(row.astype(U64) + U64(1)))
     order = np.argsort(key, kind="stable")
@@ -83,7 +83,7 @@ def lines_of(w: Words) -> Lines:
     with_word = n > 0
     start, end, first, n = start[with_word], end[with_word], first[with_word], n[with_word]
     row = np.searchsorted(w.offsets, start, side="right") - 1
-    repeated = _seen_before(row, word_hashes(data, start, end))
+    repeated = seen_before(row, word_hashes(data, start, end))
 
     size = np.maximum(1, _count(~TAILS[data], start, end) - (n - 1)).astype(float)
     letters = np.maximum(1, _count(LETTERS[data] & ~TAILS[data], start, end)).astype(float)
@@ -95,7 +95,7 @@ def lines_of(w: Words) -> Lines:
     twin[first] = False
     twins = _count(twin, first, first + n) / n
     line = np.repeat(np.arange(len(n)), n)
-    kinds = 1 - np.bincount(line, _seen_before(line, w.hash), minlength=len(n)) / n
+    kinds = 1 - np.bincount(line, seen_before(line, w.hash), minlength=len(n)) / n
     new_row = np.ones(len(row), bool)
     new_row[1:] = row[1:] != row[:-1]
     marks = 1 - (_count(LETTERS[data] & ~TAILS[data], start, end) / size) - symbols - digits - shouts
@@ -249,6 +249,20 @@ SCORES = ("struct<n_words: long, word_chars: long, n_symbols: long, n_dup_lines:
           "base_failed: boolean, content_words: long, kept: boolean>")
 
 
+def repeated_words(w: Words, size: int = 5) -> np.ndarray:
+    """Per row: words in windows of ``size`` words that stand twice or more in it, the first time included."""
+    at = np.flatnonzero(inside(w, size))
+    key = mix(window_hashes(w.hash, size)[at] ^ mix(w.row()[at].astype(U64) + U64(1)))
+    order = np.argsort(key, kind="stable")
+    equal = key[order[1:]] == key[order[:-1]]
+    twice = np.zeros(len(at), bool)
+    twice[order[1:][equal]] = twice[order[:-1][equal]] = True
+    edge = np.zeros(len(w.hash) + 1, np.int64)
+    np.add.at(edge, at[twice], 1)
+    np.add.at(edge, at[twice] + size, -1)
+    return _count(np.cumsum(edge[:-1]) > 0, w.first[:-1], w.first[1:])
+
+
 def score_block(w: Words, field: Field, share: float) -> list[np.ndarray]:
     n_rows = len(w.first) - 1
     per_row = lambda mask: _count(mask, w.offsets[:-1], w.offsets[1:])
@@ -256,18 +270,7 @@ def score_block(w: Words, field: Field, share: float) -> list[np.ndarray]:
     symbols = per_row(SYMBOLS[w.data])
     lines = lines_of(w)
     dup = np.bincount(lines.row, lines.repeated, minlength=n_rows).astype(np.int64)
-    # words of windows of five that stand twice or more
-    edge = np.zeros(len(w.hash) + 1, np.int64)
-    g, ok = window_hashes(w.hash, 5), inside(w, 5)
-    at = np.flatnonzero(ok)
-    key = mix(g[at] ^ mix(w.row()[at].astype(U64) + U64(1)))
-    order = np.argsort(key, kind="stable")
-    equal = key[order[1:]] == key[order[:-1]]
-    twice = np.zeros(len(at), bool)
-    twice[order[1:][equal]] = twice[order[:-1][equal]] = True
-    np.add.at(edge, at[twice], 1)
-    np.add.at(edge, at[twice] + 5, -1)
-    repeat = _count(np.cumsum(edge[:-1]) > 0, w.first[:-1], w.first[1:])
+    repeat = repeated_words(w)
     n = w.n.astype(np.int64)
     failed = (n < 10) | (100 * repeat > 20 * n)
     state = viterbi(lines.features @ field.weights, lines.row, n_rows, field.change)

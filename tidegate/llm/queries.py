@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegate.llm.common import table
-from tidegate.llm import bpe, decontamination, language_id, near_dedup, quality_rules, sharding, substring_dedup, token_store
+from tidegate.llm import bpe, decontamination, html_extraction, language_id, near_dedup, quality_classifier, quality_rules, sharding, substring_dedup, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +23,18 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+@query("op1_html_extraction")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extraction.extracted(table(spark, sf_dir, "pages"))
+
+
+@query("op2_quality_classifier")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes, posterior, score and verdict of every document."""
+    return quality_classifier.classified(table(spark, sf_dir, "documents"))
+
+
 @query("op3_substring_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that stay when 50-word windows of documents with smaller ids are taken out."""
