@@ -116,10 +116,13 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Machines for the languages of the learning documents (known id, text and language, not held out)."""
     known = docs.select("doc_id", "text", "lang").filter(
         "doc_id is not null and text is not null and lang is not null").filter(~held_out())
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    # the smallest hashes of each language; ranked before the texts are fetched, and cut in every task first
     ids = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    chosen = ids.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= sample).select("doc_id", "lang")
+    # one row for each language; ids whose hash is too large to be among the smallest drop out before the ranking
+    shares = ids.groupBy("lang").agg(F.count("*").alias("n"))
+    near = ids.join(F.broadcast(shares), "lang").filter(
+        F.pmod(F.shiftrightunsigned("h", 1), F.lit(1 << 30)) * F.col("n") <= F.lit((1 << 30) * (2 * sample + 100)))
+    order = Window.partitionBy("lang").orderBy(F.pmod(F.shiftrightunsigned("h", 1), F.lit(1 << 30)), "h", "doc_id")
+    chosen = near.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= sample).select("doc_id", "lang")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -12,7 +12,8 @@ drawn in order of time and only up to the time by which every component is fille
 
 *Verification.*  Multiset overlap is counted exactly.  In each bucket the members are compared with one leader; what is
 connected by then needs no further comparison.  Buckets that still hold several components get further leaders, and in the
-end every pair of a bucket that lies in different components and was not compared yet, so that no link between
+end, in blocks of a fixed size, every pair of a bucket that lies in different components and was not compared yet: sizes
+and profiles (an upper bound of the overlap) rule most of them out before the multisets are fetched.  So no link between
 components is lost, and no bucket emits all its pairs.  Texts with equal multisets are one representative throughout.
 """
 
@@ -35,6 +36,9 @@ BANDS, ROWS = 26, 5
 SIMILAR = (4, 5)
 #: Rounds of further leaders before the rest is compared pair by pair.
 LEADER_ROUNDS = 2
+#: Members of a bucket that are compared with one another in one go, and cells of the first comparison.
+BLOCK = 1_024
+CELLS = 256
 
 
 def shingles(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -129,11 +133,92 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in blocks(batch):
             row, h = shingles(words_of(block.column("text")))
-            end = np.searchsorted(row, np.arange(block.num_rows), side="right")
-            start = np.searchsorted(row, np.arange(block.num_rows))
+            n = np.bincount(row, minlength=block.num_rows)
+            end = np.cumsum(n)
+            bags = [h[e - k: e] for e, k in zip(end.tolist(), n.tolist())]
             yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id"), pa.array([h[s:e].tobytes() for s, e in zip(start, end)], pa.binary())],
-                names=["doc_id", "bag"])
+                [block.column("doc_id"), pa.array([x.tobytes() for x in bags], pa.binary()),
+                 pa.array([profile(x) for x in bags], pa.binary())], names=["doc_id", "bag", "profile"])
+
+
+def profile(bag: np.ndarray) -> bytes:
+    """The multiset under a 16-bit hash, sorted: the overlap of two profiles is never below the multisets' overlap."""
+    return np.sort((bag >> U64(48)).astype(np.uint16)).tobytes()
+
+
+class Profiles:
+    """Profiles of a bucket's rows, in flat arrays; ``copy`` numbers the equal entries of a row."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        raw = [np.frombuffer(x.as_buffer(), np.uint16) for x in column]
+        self.n = np.array([len(x) for x in raw], np.int64)
+        self.first = np.cumsum(self.n) - self.n
+        self.flat = np.concatenate(raw) if raw else np.zeros(0, np.uint16)
+        row = np.repeat(np.arange(len(raw)), self.n)
+        new = np.ones(len(self.flat), bool)
+        new[1:] = (self.flat[1:] != self.flat[:-1]) | (row[1:] != row[:-1])
+        at = np.arange(len(self.flat))
+        self.copy = at - np.maximum.accumulate(np.where(new, at, 0)) if len(at) else at
+        self.coarse = np.zeros((len(raw), CELLS), np.int32)
+        np.add.at(self.coarse, (row, self.flat.astype(np.int64) % CELLS), 1)
+
+    def overlaps(self, x: int, others: np.ndarray) -> np.ndarray:
+        have = np.bincount(self.flat[self.first[x]: self.first[x] + self.n[x]], minlength=1 << 16)
+        n = self.n[others]
+        at = np.repeat(self.first[others] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        met = np.append(0, np.cumsum(have[self.flat[at]] > self.copy[at]))
+        ends = np.cumsum(n)
+        return met[ends] - met[ends - n]
+
+
+def _open_pairs(doc: np.ndarray, n: np.ndarray, root: np.ndarray, block: np.ndarray, profiles: Profiles,
+                start: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one bucket's two blocks that lie in different components and may be similar by size and profile."""
+    up, down = SIMILAR
+    one = (block == block[0]).all()
+    left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+    a, b = [], []
+    for x in left.tolist():
+        y = right[right > x] if one else right
+        y = y[(root[y] != root[x]) & (np.minimum(n[y], n[x]) * down >= np.maximum(n[y], n[x]) * up)]
+        for bound in (lambda z: np.minimum(profiles.coarse[start + x], profiles.coarse[start + z]).sum(axis=1),
+                      lambda z: profiles.overlaps(start + x, start + z)):
+            if len(y):
+                y = y[bound(y) * (up + down) >= up * (n[x] + n[y])]
+        a.append(np.full(len(y), doc[x]))
+        b.append(doc[y])
+    a, b = np.concatenate(a), np.concatenate(b)
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by bucket and pair of blocks; what is held is two blocks of one bucket and a batch."""
+    rest: list[pa.RecordBatch] = []
+
+    def pairs(table: pa.Table) -> pa.RecordBatch:
+        cols = {c: table.column(c).to_numpy() for c in ("key", "i", "j", "doc_id", "n", "root", "block")}
+        edge = np.ones(table.num_rows, bool)
+        edge[1:] = (np.diff(cols["key"]) != 0) | (np.diff(cols["i"]) != 0) | (np.diff(cols["j"]) != 0)
+        starts = np.append(np.flatnonzero(edge), table.num_rows)
+        profiles = Profiles(table.column("profile"))
+        found = [_open_pairs(*(cols[c][s:e] for c in ("doc_id", "n", "root", "block")), profiles, s)
+                 for s, e in zip(starts[:-1].tolist(), starts[1:].tolist())]
+        once = np.unique(np.stack([np.concatenate(x) for x in zip(*found)], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(once[:, 0]), pa.array(once[:, 1])], names=["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([*rest, batch])
+        same = np.ones(table.num_rows, bool)
+        for c in ("key", "i", "j"):
+            same &= table.column(c).to_numpy() == table.column(c)[-1].as_py()
+        to = table.num_rows - int(same.sum())
+        if to:
+            yield pairs(table.slice(0, to))
+        rest = table.slice(to).to_batches()
+    if rest:
+        yield pairs(pa.Table.from_batches(rest))
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -186,7 +271,7 @@ def classes(docs: DataFrame) -> DataFrame:
         "leader < last").select("key", "leader"), "full")
     buckets = written(members.join(full, "key"), "buckets")
     bags = written(source.join(buckets.select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(
-        _bags, "doc_id long, bag binary"), "bags")
+        _bags, "doc_id long, bag binary, profile binary"), "bags")
     sizes = f"least(n, m) * {SIMILAR[1]} >= greatest(n, m) * {SIMILAR[0]}"
     heads_n = buckets.select(F.col("doc_id").alias("leader"), F.col("n").alias("m")).distinct()
     tried = written(buckets.join(heads_n, "leader").filter("doc_id <> leader").filter(sizes).select(
@@ -202,18 +287,23 @@ def classes(docs: DataFrame) -> DataFrame:
             "low < high"), "mixed")
         if mixed.isEmpty():
             break
-        open_members = written(rooted.join(mixed.select("key", "low"), "key"), "open")
+        open_members = rooted.join(mixed.select("key", "low", "size"), "key")
         if turn < LEADER_ROUNDS:
+            open_members = written(open_members, "open")
             leaders = open_members.filter("root <> low").groupBy("key").agg(
                 F.min_by(F.struct(F.col("doc_id").alias("leader"), F.col("root").alias("of"), F.col("n").alias("m")),
-                         F.xxhash64("doc_id", F.lit(turn))).alias("l")).select("key", "l.*")
+                         F.xxhash64("doc_id", "key", F.lit(turn))).alias("l")).select("key", "l.*")
             pairs = open_members.join(leaders, "key").filter("root <> of").filter(sizes).select(
                 F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b"))
         else:
-            other = open_members.select("key", F.col("doc_id").alias("other"), F.col("root").alias("of"),
-                                        F.col("n").alias("m"))
-            pairs = open_members.join(other, "key").filter("root < of").filter(sizes).select(
-                F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b"))
+            n_blocks = F.ceil(F.col("size") / BLOCK)
+            dealt = open_members.join(bags.select("doc_id", "profile"), "doc_id").withColumn(
+                "block", F.pmod(F.xxhash64("doc_id"), n_blocks)).withColumn(
+                "other", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1))).select(
+                "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "n", "root",
+                "block", "profile")
+            pairs = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(
+                _cross, "a long, b long")
         new = written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "tried")
         if new.isEmpty() and turn == LEADER_ROUNDS:
             break

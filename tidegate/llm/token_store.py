@@ -2,7 +2,7 @@
 
 *Format.*  A folder with two Parquet tables.  ``dictionary`` has one row: the dictionary's bytes and their SHA-256.
 ``segments`` has rows of at most ``SEGMENT_DOCS`` documents in ascending id order: ``part`` and ``seq`` (order of
-segments), ``before`` (ids of the part before the segment), ``first_doc`` and ``last_doc``, ``doc_ids``, ``counts`` (ids
+segments), ``before`` (ids of the part before the segment), ``first_doc`` and ``last_doc`` (of the known ids), ``doc_ids``, ``counts`` (ids
 of each document), ``offsets`` (first byte of each document's frame in ``payload``), ``payload``, ``width`` (bytes of an
 id) and ``dictionary`` (the dictionary's hash).  Every document is a frame of its own, little-endian ids compressed with
 the dictionary, so one short document is read without its neighbours (``read_document``).
@@ -164,9 +164,10 @@ def write_tokens(docs: DataFrame, path: str, folder: str) -> str:
         ids, counts, frames, held = [], [], [], 0
 
         def segment() -> pa.RecordBatch:
-            sizes = [len(f) for f in frames]
+            sizes, known = [len(f) for f in frames], [i for i in ids if i is not None]
             return pa.RecordBatch.from_pylist([{
-                "part": part, "seq": seq, "before": before, "first_doc": ids[0], "last_doc": ids[-1], "doc_ids": ids,
+                "part": part, "seq": seq, "before": before, "first_doc": min(known, default=None),
+                "last_doc": max(known, default=None), "doc_ids": ids,
                 "counts": counts, "offsets": (np.cumsum(sizes) - sizes).tolist(), "payload": b"".join(frames),
                 "width": width, "dictionary": name}], schema=_SEGMENT)
         for batch in batches:
