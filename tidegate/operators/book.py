@@ -31,6 +31,7 @@ class Strategy(NamedTuple):
     cost_bps: float = COST_BPS
 
 
+# The ten books and their parameters.
 STRATEGIES = (
     Strategy("Baseline_P50", "threshold", threshold=0.50),
     Strategy("Threshold_P60", "threshold", threshold=0.60),

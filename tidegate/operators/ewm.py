@@ -25,7 +25,8 @@ class Ewm(NamedTuple):
     """One requested mean.
 
     ``gaps=False`` promises that ``column`` is NULL before row ``first`` (counted
-    from 1) of each entity and never after it.
+    from 1) of each entity and never after it; a row that breaks the promise ends
+    the job with an error.
     """
 
     out: str
@@ -90,8 +91,15 @@ def _without_gaps(df: DataFrame, specs: Sequence[Ewm], entity: str, time: str) -
         "_blk": F.expr(f"cast((_rn - 1) div {size} as int)"),
         "_pos": F.expr(f"cast((_rn - 1) % {size} as int)"),
     })
+    def checked(s: Ewm):
+        value = F.col(s.column)
+        late = F.lit(f"a gap in {s.column}, which was said to have none (gaps=False)")
+        return F.when(value.isNull() & (F.col("_rn") >= s.first), F.raise_error(late).cast("double")).when(
+            value.isNotNull() & (F.col("_rn") < s.first),
+            F.raise_error(F.lit(f"a value of {s.column} before row {s.first}")).cast("double")).otherwise(value)
+
     entry = {
-        i: F.col(s.column) * F.when(F.col("_rn") == s.first, 1.0).otherwise(s.alpha) * power(s, -1)
+        i: checked(s) * F.when(F.col("_rn") == s.first, 1.0).otherwise(s.alpha) * power(s, -1)
         for i, s in enumerate(specs)
     }
     ends = (

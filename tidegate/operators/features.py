@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidegate.functions.columns import EPS, change, ratio, rolling, series, so_far
 from tidegate.operators.ewm import Ewm, ewm_mean
 
+# The names of the 49 features.
 ROLLING_FEATURES = (
     "BB_upper", "BB_lower", "BB_mid", "BB_width", "BB_pct_b", "OBV",
     "SMA_50", "SMA_200", "price_to_SMA200", "price_to_SMA50",

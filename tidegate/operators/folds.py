@@ -53,14 +53,22 @@ def fold_summary(dates: DataFrame) -> DataFrame:
 
 
 def fold_checks(dates: DataFrame, min_train: int = 756, embargo: int = 2) -> DataFrame:
-    """The seven fold invariants as (fold, check_name, passed) rows."""
+    """The seven fold invariants as (fold, check_name, passed) rows.
+
+    Calibration days are in the training span if they come after its first day and
+    before the test, and none of them is a model-training or embargo day as well.
+    """
     train, cal, test = (F.col("role").isin("model_train", "cal"), F.col("role") == "cal", F.col("role") == "test")
     per_date = dates.groupBy("fold", "date").agg(
-        F.max(train.cast("int")).alias("tr"), F.max(cal.cast("int")).alias("ca"), F.max(test.cast("int")).alias("te"))
+        F.max(train.cast("int")).alias("tr"), F.max(cal.cast("int")).alias("ca"), F.max(test.cast("int")).alias("te"),
+        F.max(F.col("role").isin("model_train", "embargo").cast("int")).alias("other"))
     s = per_date.groupBy("fold").agg(
         F.sum("tr").alias("n_train"), F.sum("te").alias("n_test"),
         F.sum(F.col("tr") * F.col("te")).alias("both"), F.sum(F.col("ca") * F.col("te")).alias("cal_test"),
-        F.sum(F.col("ca") * (1 - F.col("tr"))).alias("cal_out"),
+        F.sum(F.col("ca") * F.greatest("other", "te")).alias("cal_out"),
+        F.min(F.when(F.col("ca") == 1, F.col("date"))).alias("cal_start"),
+        F.max(F.when(F.col("ca") == 1, F.col("date"))).alias("cal_end"),
+        F.min(F.when(F.col("tr") == 1, F.col("date"))).alias("train_start"),
         F.max(F.when(F.col("tr") == 1, F.col("date"))).alias("train_end"),
         F.min(F.when(F.col("te") == 1, F.col("date"))).alias("test_start"),
     )
@@ -70,7 +78,8 @@ def fold_checks(dates: DataFrame, min_train: int = 756, embargo: int = 2) -> Dat
         "train_test_disjoint": F.col("both") == 0,
         "test_after_train": F.col("test_start") > F.col("train_end"),
         "embargo_gap": F.datediff("test_start", "train_end") >= embargo,
-        "cal_in_train": F.col("cal_out") == 0,
+        "cal_in_train": (F.col("cal_out") == 0) & F.coalesce(
+            (F.col("cal_start") > F.col("train_start")) & (F.col("cal_end") < F.col("test_start")), F.lit(True)),
         "cal_test_disjoint": F.col("cal_test") == 0,
     }
     rows = F.array(*[

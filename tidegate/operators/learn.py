@@ -1,8 +1,9 @@
 """Walk-forward training, calibration and scoring with ``pyspark.ml``.
 
 Folds overlap and their models are independent, so the driver loops over fold
-numbers only; fitting and scoring are distributed.  Each fold's predictions are
-written to its own partition, which is also the restart point.
+numbers only; fitting and scoring are distributed.  ``walk_forward`` with a root
+folder writes each fold's predictions to a partition of its own, where a new run
+goes on.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from tidegate.functions.columns import clip01, stack_rows
 from tidegate.functions.draws import key_high
 from tidegate.operators import folds as fo
 from tidegate.session import materialize
+from tidegate.sources.writers import pending_folds, write_predictions
 
 SEED = 42
 Factory = Callable[[int], Estimator]
@@ -50,11 +52,13 @@ MEMBERS: Mapping[str, Factory] = {"boosted": boosted_trees(), "forest": random_f
 
 def with_class_weight(rows: DataFrame, label: str = "label") -> DataFrame:
     """n / (2 * n_class), so both classes weigh the same."""
-    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
-    totals = counts.agg(F.sum("_c").alias("_t")).withColumn("_one", F.lit(1))
-    weights = counts.withColumn("_one", F.lit(1)).join(totals, "_one").select(
-        label, (F.col("_t") / (2 * F.col("_c"))).alias("weight"))
-    return rows.join(weights, label)
+    rows = rows.filter(F.col(label).isNotNull())
+    count = {r[label]: r["_c"] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("_c")).collect()}
+    total = sum(count.values())
+    weight = F.lit(None).cast("double")
+    for value, n in sorted(count.items()):
+        weight = F.when(F.col(label) == value, total / (2 * n)).otherwise(weight)
+    return rows.withColumn("weight", weight)
 
 
 def assemble(rows: DataFrame, features: Sequence[str], target: str = "target") -> DataFrame:
@@ -126,9 +130,20 @@ def run_fold(panel: DataFrame, dates: DataFrame, fold: int, features: Sequence[s
 
 
 def walk_forward(panel: DataFrame, dates: DataFrame, folds: Sequence[int], features: Sequence[str],
-                 members: Mapping[str, Factory] = MEMBERS, calibrate: bool = True) -> DataFrame:
-    """Out-of-sample predictions of the given folds."""
+                 members: Mapping[str, Factory] = MEMBERS, calibrate: bool = True, root: str | None = None) -> DataFrame:
+    """Out-of-sample predictions of the given folds.
+
+    With ``root``, each fold is written there when it is done, folds that are there
+    already are not trained again, and the result is read back.
+    """
     keep = ("fold", "model", "date", "ticker", "label", "raw", "calibrated")
+    if root is not None:
+        session, tag = panel.sparkSession, "+".join(members) + ("" if calibrate else "_raw")
+        wanted = session.createDataFrame([(int(f), tag) for f in folds], "fold int, model string")
+        for fold in sorted(r.fold for r in pending_folds(session, wanted, root).collect()):
+            _, _, test = run_fold(panel, dates, fold, features, members, calibrate)
+            write_predictions(test.select(*keep), root)
+        return session.read.parquet(root).join(F.broadcast(wanted), ["fold", "model"], "left_semi").select(*keep)
     out = None
     for fold in folds:
         _, _, test = run_fold(panel, dates, fold, features, members, calibrate)

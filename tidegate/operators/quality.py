@@ -77,7 +77,9 @@ def integrity_audit(panel: DataFrame, bars: DataFrame, warm: DataFrame | None =
     """
     one = lambda name, ok, detail: F.struct(
         F.lit(name).alias("check_name"), F.coalesce(ok, F.lit(False)).alias("passed"), detail.cast("double").alias("detail"))
-    nulls = sum((F.col(c).isNull().cast("long") for c in features[1:]), F.col(features[0]).isNull().cast("long"))
+    have = [c for c in features if c in panel.columns]
+    present = len(have)
+    nulls = sum((F.col(c).isNull().cast("long") for c in have), F.lit(0).cast("long"))
     gap = F.abs(F.col("return_1d") - change("close", series("ticker", "date"), 1))
     expected = with_target(bars.select("ticker", "date", "close")).select(
         "ticker", "date", F.col("target").alias("_want"))
@@ -94,7 +96,7 @@ def integrity_audit(panel: DataFrame, bars: DataFrame, warm: DataFrame | None =
         F.max("gap").alias("gap"), F.sum("odd").alias("odd"), F.sum("off").alias("off"), F.min("low").alias("low"))
     out = total.select(F.inline(F.array(
         one("no_null_features", F.col("nulls") == 0, F.col("nulls")),
-        one("feature_count", F.lit(len(features) == 49), F.lit(len(features))),
+        one("feature_count", F.lit(present == 49), F.lit(present)),
         one("target_recomputed", F.col("off") == 0, F.col("off")),
         one("unique_keys", F.col("dup") == 0, F.col("dup")),
         one("has_rows", F.col("n") > 0, F.col("n")),

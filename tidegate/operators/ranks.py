@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegate.functions.columns import stack_rows
-from tidegate.session import estimated_bytes
 
 SPLIT_ROWS = 1_000_000
-SMALL_BYTES = 64 * 1024 * 1024
 _EDGES = [i / 256 for i in range(1, 256)]
 
 
@@ -32,6 +32,13 @@ def average_rank(df: DataFrame, by: Sequence[str], value: str, out: str) -> Data
     )
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on columns of one name where NULL equals NULL; the left side's keys stay."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    return left.join(renamed, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]), how).drop(
+        *[f"_r_{k}" for k in keys])
+
+
 def rank_table(values: DataFrame, by: Sequence[str], value: str, out: str,
                split_rows: int = SPLIT_ROWS) -> DataFrame:
     """(by, value, rank): the average rank of each distinct value, for groups of any size.
@@ -40,6 +47,7 @@ def rank_table(values: DataFrame, by: Sequence[str], value: str, out: str,
     The distinct values of a large group are cut into ranges at approximate
     quantiles; ranks are counted inside a range and shifted by the size of the
     ranges below.  Where the cuts fall changes the balance, never the result.
+    NULL keys are a group like any other, and a NULL value is the smallest.
     """
     by = list(by)
     counts = values.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
@@ -47,9 +55,10 @@ def rank_table(values: DataFrame, by: Sequence[str], value: str, out: str,
         F.count(F.lit(1)).alias("_d"),
         F.percentile_approx(value, F.lit(_EDGES), F.lit(1000)).alias("_cut"),
     ).filter(F.col("_d") > split_rows).drop("_d")
-    ranged = counts.join(cuts, by, "left").withColumn(
+    ranged = null_safe_join(counts, cuts, by, "left").withColumn(
         "_range",
-        F.when(F.col("_cut").isNotNull(), F.size(F.filter("_cut", lambda e: e < F.col(value)))).otherwise(0),
+        F.when(F.col("_cut").isNotNull() & F.col(value).isNotNull(),
+               F.size(F.filter("_cut", lambda e: e < F.col(value)))).otherwise(0),
     ).drop("_cut")
     below = (
         ranged.groupBy(*by, "_range").agg(F.sum("_c").alias("_n"))
@@ -60,30 +69,24 @@ def rank_table(values: DataFrame, by: Sequence[str], value: str, out: str,
     inside = F.sum("_c").over(
         Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
     return (
-        ranged.withColumn("_upto", inside).join(below, [*by, "_range"], "left")
+        null_safe_join(ranged.withColumn("_upto", inside), below, [*by, "_range"], "left")
         .select(*by, value, (F.coalesce("_below", F.lit(0)) + F.col("_upto") - (F.col("_c") - 1) / 2).alias(out))
     )
 
 
 def rank_columns(rows: DataFrame, by: Sequence[str], columns: dict[str, str],
-                 split_rows: int | None = SPLIT_ROWS) -> DataFrame:
+                 split_rows: int = SPLIT_ROWS) -> DataFrame:
     """Average ranks of several columns at once: ``{value column: rank column}``.
 
-    Where the whole table is small by the optimizer's estimate, a group cannot be
-    large and plain windows do; otherwise groups are split.  ``split_rows=None``
-    asserts that every group fits one task.
+    One way for every size and source: distinct values are ranked, large groups in
+    ranges, and the ranks are joined back to the rows.
     """
-    size = estimated_bytes(rows)
-    if split_rows is None or (split_rows == SPLIT_ROWS and size is not None and size <= SMALL_BYTES):
-        for value, rank in columns.items():
-            rows = average_rank(rows, by, value, rank)
-        return rows
     long = rows.select(*by, stack_rows(("_of", "_x"), *[(c, F.col(c)) for c in columns]))
     table = rank_table(long, [*by, "_of"], "_x", "_rank", split_rows)
     for value, rank in columns.items():
         mine = table.filter(F.col("_of") == value).select(
             *by, F.col("_x").alias(value), F.col("_rank").alias(rank))
-        rows = rows.join(mine, [*by, value])
+        rows = null_safe_join(rows, mine, [*by, value])
     return rows
 
 
@@ -95,12 +98,12 @@ def daily_ic(
     by: Sequence[str] = ("date",),
     min_names: int = 1,
     on_degenerate: str = "zero",
-    split_rows: int | None = SPLIT_ROWS,
+    split_rows: int = SPLIT_ROWS,
 ) -> DataFrame:
     """Spearman correlation of score and realised return per cross-section.
 
     ``on_degenerate`` says what a constant side gives: ``zero`` or ``skip``.
-    ``split_rows=None`` asserts that every cross-section fits one task.
+    Rows without a score or a return are left out; a NULL key is a cross-section.
     """
     if on_degenerate not in ("zero", "skip"):
         raise ValueError("on_degenerate is 'zero' or 'skip'")

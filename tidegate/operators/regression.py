@@ -26,21 +26,25 @@ MODELS: Mapping[str, Sequence[str]] = {
 HAC_LAGS = 5
 
 
+def _inverse(flat) -> np.ndarray:
+    """Pseudo-inverse of a symmetric matrix of cross products, scaled to a unit diagonal first."""
+    p = int(round(len(flat) ** 0.5))
+    a = np.asarray(flat, float).reshape(p, p)
+    scale = np.sqrt(np.where(np.diag(a) > 0, np.diag(a), 1.0))
+    return np.linalg.pinv(a / np.outer(scale, scale), rcond=1e-12, hermitian=True) / np.outer(scale, scale)
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _solve(xtx: pd.Series, xty: pd.Series) -> pd.Series:
-    def one(a, b):
-        p = len(b)
-        return np.linalg.solve(np.asarray(a, float).reshape(p, p), np.asarray(b, float)).tolist()
-    return pd.Series([one(a, b) for a, b in zip(xtx, xty)])
+    return pd.Series([(_inverse(a) @ np.asarray(b, float)).tolist() for a, b in zip(xtx, xty)])
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _sandwich_se(xtx: pd.Series, meat: pd.Series) -> pd.Series:
     def one(a, m):
-        p = int(round(len(a) ** 0.5))
-        inv = np.linalg.inv(np.asarray(a, float).reshape(p, p))
-        m = np.asarray(m, float).reshape(p, p)
-        return np.sqrt(np.diag(inv @ (m + m.T) @ inv)).tolist()
+        inv = _inverse(a)
+        m = np.asarray(m, float).reshape(inv.shape)
+        return np.sqrt(np.maximum(np.diag(inv @ (m + m.T) @ inv), 0)).tolist()
     return pd.Series([one(a, m) for a, m in zip(xtx, meat)])
 
 
@@ -61,7 +65,9 @@ def factor_regressions(
 ) -> DataFrame:
     """One row per (key, model, term): coefficient, HAC t, p, and model figures.
 
-    A day enters when the return and all factor columns are present.
+    A day enters when the return and all factor columns are present.  Where the
+    factors are not independent, the coefficients are the shortest least-squares
+    solution; with no more days than terms, or a zero error, ``t`` and ``p`` are NULL.
     """
     by = list(by)
     names = [c for c in factors.columns if c not in ("date", risk_free)]
@@ -118,9 +124,10 @@ def factor_regressions(
     out = fitted.join(meat, keys).withColumn("se", _sandwich_se("xtx", "meat"))
     n, p = F.col("n"), F.size("terms")
     r2 = 1 - F.col("ssr") / (F.col("_yv") * n)
-    out = out.withColumn("r2_adj", 1 - (1 - r2) * (n - 1) / (n - p))
+    out = out.withColumn("r2_adj", F.when(n > p, 1 - (1 - r2) * (n - 1) / (n - p))).withColumn(
+        "se", F.when(n > p, F.col("se")).otherwise(F.transform("se", lambda _: F.lit(None).cast("double"))))
     out = out.select(*keys, "n", "r2_adj", F.inline(F.arrays_zip("terms", "beta", "se")))
-    out = out.withColumnsRenamed({"terms": "term", "beta": "coef"}).withColumn("t", F.col("coef") / F.col("se"))
+    out = out.withColumnsRenamed({"terms": "term", "beta": "coef"}).withColumn("t", F.try_divide(F.col("coef"), F.col("se")))
     return out.withColumn("p", normal_two_sided(F.col("t"))).withColumn(
         "annual", F.when(F.col("term") == "const", F.col("coef") * 252)).withColumn("stars", stars("p"))
 

@@ -42,9 +42,10 @@ def raw_bars(spark: SparkSession, sf: str) -> DataFrame:
         quantity="l_quantity", order=packed_order(*ORDER_KEY))
 
 
-def panel(spark: SparkSession, sf: str) -> DataFrame:
-    """Scored panel after warm-up, with label and realised holding return."""
-    rows = spread_by(raw_bars(spark, sf).select("ticker", "date", "close"), "ticker")
+def panel(spark: SparkSession, sf: str, frame: DataFrame | None = None) -> DataFrame:
+    """Scored panel after warm-up, with label and realised holding return, from ``frame`` if a query has bars already."""
+    frame = raw_bars(spark, sf) if frame is None else frame
+    rows = spread_by(frame.select("ticker", "date", "close"), "ticker")
     rows = long_average(rows, "SMA_200", (10, 4, 5)).withColumn(
         "trailing_return_21d", change("close", series("ticker", "date"), 21))
     rows = with_target(rows).dropna(subset=["SMA_200", "trailing_return_21d", "target"])
@@ -58,9 +59,9 @@ def folds(spark: SparkSession, sf: str, frame: DataFrame | None = None) -> DataF
     return fold_dates(date_index(frame), strict=False)
 
 
-def out_of_sample(spark: SparkSession, sf: str) -> DataFrame:
-    """Panel rows on test days, tagged with their fold."""
-    p = panel(spark, sf)
+def out_of_sample(spark: SparkSession, sf: str, frame: DataFrame | None = None) -> DataFrame:
+    """Panel rows on test days, tagged with their fold, from the panel ``frame`` if a query has one already."""
+    p = panel(spark, sf) if frame is None else frame
     return materialize(test_rows(p, folds(spark, sf, p)))
 
 

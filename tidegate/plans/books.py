@@ -128,9 +128,9 @@ def backtest_daily(spark, sf):
     return rounded(bk.backtest(out_of_sample(spark, sf), [*bk.STRATEGIES, bk.LONG_SHORT]), 8)
 
 
-def benchmark_ret(spark: SparkSession, sf: str) -> DataFrame:
-    """Equally weighted mean holding return as the buy-and-hold series."""
-    return panel(spark, sf).groupBy("date").agg(F.avg("actual_return").alias("ret"))
+def benchmark_ret(p: DataFrame) -> DataFrame:
+    """Equally weighted mean holding return of a panel as the buy-and-hold series."""
+    return p.groupBy("date").agg(F.avg("actual_return").alias("ret"))
 
 
 @query("backtest_strategies", sql(OOS_IC_SQL + weights_sql("oos", bk.STRATEGIES) + daily_sql("oos", bk.STRATEGIES) + """,
@@ -143,8 +143,9 @@ SELECT strategy, n_days, n_trades, {metric_columns()},
 FROM met, i"""))
 def backtest_strategies(spark, sf):
     """All strategies and the benchmark with the full metrics row, best Sharpe first."""
-    rows = out_of_sample(spark, sf)
-    daily = bk.backtest(rows).unionByName(bk.benchmark_book(benchmark_ret(spark, sf), rows))
+    p = panel(spark, sf)
+    rows = out_of_sample(spark, sf, p)
+    daily = bk.backtest(rows).unionByName(bk.benchmark_book(benchmark_ret(p), rows))
     m = bk.with_ic_fields(bk.performance(daily), daily_ic(rows, "prob", "actual_return"))
     p = F.round("sharpe_pvalue", 6) + 0.0
     return significant(m).withColumn("sharpe_pvalue", p).orderBy(F.desc("sharpe_ratio"), "strategy")
@@ -330,9 +331,8 @@ def dm_tests(spark, sf):
 
 
 
-def factors(spark: SparkSession, sf: str) -> DataFrame:
-    """Factor table from the panel: market, return spreads of name groups, momentum."""
-    p = panel(spark, sf)
+def factors(p: DataFrame) -> DataFrame:
+    """Factor table from a panel: market, return spreads of name groups, momentum."""
     last = F.substring("ticker", -1, 1).cast("int")
     mean = lambda cond: F.avg(F.when(cond, F.col("actual_return")))
     five = p.groupBy("date").agg(
@@ -359,14 +359,14 @@ fac AS (SELECT date, avg(actual_return) - 0.0001::DOUBLE AS Mkt_RF, 0.0001::DOUB
 @query("factor_table", sql(OOS_SQL + FACTORS_SQL, "SELECT date, " + ", ".join(
     _r(c, 8, c) for c in ("Mkt_RF", "SMB", "HML", "RMW", "CMA", "RF", "Mom")) + " FROM fac"))
 def factor_table(spark, sf):
-    return rounded(factors(spark, sf), 8)
+    return rounded(factors(panel(spark, sf)), 8)
 
 
 REG = (TOP1, bk.STRATEGIES[0], bk.STRATEGIES[7])
 
 
-def book_returns(spark: SparkSession, sf: str) -> DataFrame:
-    return materialize(bk.backtest(out_of_sample(spark, sf), REG).select("strategy", "date", "net_return"))
+def book_returns(spark: SparkSession, sf: str, p: DataFrame) -> DataFrame:
+    return materialize(bk.backtest(out_of_sample(spark, sf, p), REG).select("strategy", "date", "net_return"))
 
 
 @query("factor_regression_capm", sql(OOS_SQL + weights_sql("oos", REG) + daily_sql("oos", REG) + FACTORS_SQL + """,
@@ -390,11 +390,13 @@ z AS (SELECT *, 2 * (""" + normal_sf_sql("abs(t)") + """) AS p FROM r)""", f"""
 SELECT strategy, 'CAPM' AS model, term, n, {_r('r2_adj', 6, 'r2_adj')}, {_r('coef', 8, 'coef')}, {_r('t', 5, 't')}, {_r('p', 6, 'p')},
        {_r('annual', 6, 'annual')}, CASE WHEN p < 0.01 THEN '***' WHEN p < 0.05 THEN '**' WHEN p < 0.1 THEN '*' ELSE '' END AS stars FROM z"""))
 def factor_regression_capm(spark, sf):
-    out = factor_regressions(book_returns(spark, sf), factors(spark, sf), models={"CAPM": ("Mkt_RF",)})
+    p = panel(spark, sf)
+    out = factor_regressions(book_returns(spark, sf, p), factors(p), models={"CAPM": ("Mkt_RF",)})
     return rounded(out.drop("se"), {"coef": 8, "t": 5})
 
 
 @query("factor_regression")
 def factor_regression(spark, sf):
     """All books under all four factor models."""
-    return rounded(factor_regressions(book_returns(spark, sf), factors(spark, sf)), 10)
+    p = panel(spark, sf)
+    return rounded(factor_regressions(book_returns(spark, sf, p), factors(p)), 10)

@@ -426,8 +426,9 @@ def universe_fold_ic(spark, sf):
 
 def universe_folds(spark: SparkSession, sf: str) -> DataFrame:
     """Per-fold statistics with the universe as a key."""
-    rows = out_of_sample(spark, sf)
-    good = universe_screen(bars(spark, sf), min_rows=1500).select("ticker")
+    b = bars(spark, sf)
+    rows = out_of_sample(spark, sf, panel(spark, sf, b))
+    good = universe_screen(b, min_rows=1500).select("ticker")
     both = rows.withColumn("universe", F.lit("all")).unionByName(
         rows.join(good, "ticker", "left_semi").withColumn("universe", F.lit("screened")))
     keys = ["universe", "fold"]
@@ -452,8 +453,9 @@ SELECT universe, n, {_r('mean', 8, 'mean')}, {_r('std', 8, 'std')}, {_r('t_hac',
        {_r(student_sf_sql('t_hac', '(n - 1)'), 6, 'p_hac')}, t_hac > 1.645 AND mean > 0 AS condition_a FROM hac"""))
 def universe_comparison(spark, sf):
     """One summary row per universe."""
-    rows = out_of_sample(spark, sf)
-    good = universe_screen(bars(spark, sf), min_rows=1500).select("ticker")
+    b = bars(spark, sf)
+    rows = out_of_sample(spark, sf, panel(spark, sf, b))
+    good = universe_screen(b, min_rows=1500).select("ticker")
     one = lambda df, name: inf.hac_test(
         daily_ic(df, "prob", "actual_return", by=["fold", "date"], min_names=3), floor=1e-12, tail="student",
     ).select(F.lit(name).alias("universe"), "n", "mean", "std", "t_hac", "p_hac", inf.condition_a().alias("condition_a"))

@@ -36,43 +36,41 @@ def build_session(master: str | None = None, app: str = "tidegate", **conf) -> S
     return builder.getOrCreate()
 
 
-def shared_folder(session: SparkSession) -> str | None:
+def shared_folder(session: SparkSession) -> str:
     """The folder the cluster names for intermediate tables.
 
-    A local session without one gets a temporary folder; on a cluster nothing is
-    made up, since a machine-local folder is not visible to other executors.
+    A session on one machine without one gets a temporary folder; on a cluster
+    nothing is made up, since other executors would not see it: that is an error.
     """
     context = session.sparkContext
     folder = session.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
-    if not folder and context.master.startswith("local"):
-        app = context.applicationId
-        if app not in _LOCAL_FOLDERS:
-            _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="spark-tidegate-")
-        folder = _LOCAL_FOLDERS[app]
-    return folder
+    if folder:
+        return folder.rstrip("/")
+    if context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = context.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = "file://" + tempfile.mkdtemp(prefix="spark-tidegate-")
+    return _LOCAL_FOLDERS[app]
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write a table that several branches of a plan read, and read it back.
 
     The file format keeps column pruning, pushed filters and size statistics,
-    and the table outlives the executors that wrote it.
+    and the table outlives the executors that wrote it.  ``clear`` deletes what
+    an application has written.
     """
-    folder = shared_folder(df.sparkSession)
-    if folder is None:
-        return df
-    path = f"{folder.rstrip('/')}/tidegate-{uuid.uuid4().hex}"
+    path = f"{_application_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size estimate of a plan; no job is run.
+def _application_folder(session: SparkSession) -> str:
+    return f"{shared_folder(session)}/panels-{session.sparkContext.applicationId}"
 
-    For a written table this is its file size; joins multiply, so an unknown plan
-    errs to the large side.
-    """
-    plan = getattr(df, "_jdf", None)
-    if plan is None:
-        return None
-    return int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+def clear(session: SparkSession) -> None:
+    """Delete the application's intermediate tables; frames that read them can no longer be evaluated."""
+    path = session.sparkContext._jvm.org.apache.hadoop.fs.Path(_application_folder(session))
+    path.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

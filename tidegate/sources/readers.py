@@ -18,13 +18,13 @@ BAR_COLUMNS = tuple(BAR_SCHEMA.fieldNames())
 
 
 def read_bars(spark: SparkSession, path: str) -> DataFrame:
-    """Long bar table; column case and common synonyms are accepted."""
+    """Long bar table; column case and common synonyms are accepted, bars without any value are dropped."""
     raw = require_columns(lower_names(spark.read.parquet(path)), BAR_COLUMNS)
     typed = raw.select(
         F.to_date("date").alias("date"), F.col("ticker").cast("string").alias("ticker"),
         *[F.col(c).cast("double").alias(c) for c in BAR_COLUMNS[2:]],
     )
-    return nan_to_null(typed)
+    return nan_to_null(typed).dropna(how="all", subset=list(BAR_COLUMNS[2:]))
 
 
 def read_bars_per_entity(spark: SparkSession, pattern: str) -> DataFrame:
@@ -35,7 +35,7 @@ def read_bars_per_entity(spark: SparkSession, pattern: str) -> DataFrame:
         F.to_date("date").alias("date"),
         F.regexp_extract("_file", r"^(.*)\.[^.]+$", 1).alias("ticker"),
         *[F.col(c).cast("double").alias(c) for c in BAR_COLUMNS[2:]],
-    ))
+    )).dropna(how="all", subset=list(BAR_COLUMNS[2:]))
 
 
 def wide_to_long(prices: DataFrame, time: str = "date") -> DataFrame:

@@ -7,13 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegate.session import materialize
 from tidegate.sources.readers import path_exists
 
 
 def write_predictions(df: DataFrame, root: str, keys: Sequence[str] = ("fold", "model")) -> None:
-    """Replace only the partitions present in ``df``; other folds stay."""
+    """Replace only the partitions present in ``df``; other folds stay.
+
+    Rows are dealt by key, and a key's rows to as many tasks as their size takes.
+    """
     (
-        df.repartition(*keys, F.pmod(F.xxhash64("ticker"), F.lit(16)))
+        df.hint("rebalance", *keys)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*keys)
@@ -39,7 +43,7 @@ def write_panel(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> N
 
 def write_report(df: DataFrame, path: str) -> None:
     """A result table (one row per test, strategy or day) as one CSV file."""
-    df.coalesce(1).write.mode("overwrite").csv(path, header=True)
+    materialize(df).coalesce(1).write.mode("overwrite").csv(path, header=True)  # only the copy runs in one task
 
 
 def write_universe(df: DataFrame, path: str) -> None:
