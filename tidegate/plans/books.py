@@ -158,7 +158,7 @@ def backtest_equity(spark, sf):
     return rounded(significant(d.select("strategy", "date", "portfolio_value", "drawdown"), 9), 6, "portfolio_value")
 
 
-SUBS = (TOP1, bk.STRATEGIES[0], bk.STRATEGIES[8])
+SUBS = (TOP1, bk.STRATEGIES[0], bk.STRATEGIES[5], bk.STRATEGIES[6], bk.STRATEGIES[8])
 SUB_SQL = OOS_SQL + """,
 per(sub_period, lo, hi) AS (VALUES """ + ", ".join(f"('{n}', DATE '{a}', DATE '{b}')" for n, a, b in PERIODS) + """),
 subs AS (SELECT o.*, sub_period FROM oos o JOIN per ON date BETWEEN lo AND hi)"""
@@ -221,7 +221,7 @@ def k_sensitivity(spark, sf):
     return significant(m.select("strategy", "n_days", "n_trades", *METRICS))
 
 
-MATRIX = (TOP1, bk.LONG_SHORT, bk.STRATEGIES[0], bk.STRATEGIES[8])
+MATRIX = (TOP1, bk.LONG_SHORT, bk.STRATEGIES[0], bk.STRATEGIES[6], bk.STRATEGIES[8])
 
 
 @query("return_matrix", sql(OOS_SQL + weights_sql("oos", MATRIX) + daily_sql("oos", MATRIX), f"""
@@ -286,13 +286,13 @@ def perm_sharpe(spark, sf):
 TOP2 = bk.Strategy("TopK2", "topk", 2)
 
 
-@query("perm_sharpe_top2", sql(OOS_SQL + drawn_sql(100) + """,
+@query("perm_sharpe_top2", sql(OOS_SQL + drawn_sql(1000) + """,
 pk AS (SELECT * FROM shuffled QUALIFY row_number() OVER (PARTITION BY rep, date ORDER BY prob DESC, ticker) <= 2),
 w AS (SELECT rep, 'null' AS strategy, date, ticker, actual_return, 1.0::DOUBLE / count(*) OVER (PARTITION BY rep, date) AS w FROM pk),
 src AS (SELECT DISTINCT rep, date FROM pk)""" + daily_sql("src", [bk.Strategy("null", "topk")], ["rep"]) + metrics_sql("rep"), f"""
 SELECT rep, {sig_sql('sharpe_ratio', 'null_sharpe')} FROM met"""))
 def perm_sharpe_top2(spark, sf):
-    return significant(permutation_sharpes(out_of_sample(spark, sf), 100, k=2))
+    return significant(permutation_sharpes(out_of_sample(spark, sf), 1000, k=2))
 
 
 @query("gated_backtest", sql(OOS_IC_SQL + hac_sql("fold") + weights_sql("oos", [TOP1], (), "w0") + """,
@@ -312,7 +312,7 @@ def gated_backtest(spark, sf):
 
 # ---------------------------------------------------------------- comparisons and regressions
 
-DM = (TOP1, bk.STRATEGIES[0], bk.STRATEGIES[6], bk.STRATEGIES[7], bk.STRATEGIES[8])
+DM = bk.STRATEGIES
 
 
 @query("dm_tests", sql(OOS_SQL + weights_sql("oos", DM) + daily_sql("oos", DM) + """,
@@ -362,7 +362,7 @@ def factor_table(spark, sf):
     return rounded(factors(panel(spark, sf)), 8)
 
 
-REG = (TOP1, bk.STRATEGIES[0], bk.STRATEGIES[7])
+REG = (*(s for s in MATRIX if s.rule != "equal_weight"), bk.STRATEGIES[7])  # equal weights are the market factor itself
 
 
 def book_returns(spark: SparkSession, sf: str, p: DataFrame) -> DataFrame:

@@ -400,11 +400,11 @@ drawn AS (
 shuffled AS (SELECT d.rep, d.date, d.ticker, d.actual_return, k.prob FROM drawn d JOIN keyed k ON k.date = d.date AND k.slot = d.pos)"""
 
 
-@query("perm_ic", sql(OOS_SQL + drawn_sql(200) + ic_sql("shuffled", "rep, date"), f"""
+@query("perm_ic", sql(OOS_SQL + drawn_sql(1000) + ic_sql("shuffled", "rep, date"), f"""
 SELECT rep, {_r('avg(ic)', 8, 'null_mean_ic')} FROM ic GROUP BY rep"""))
 def perm_ic(spark, sf):
     """Mean daily rank correlation under within-day shuffles of the score."""
-    return rounded(permuted_ic(out_of_sample(spark, sf), reps=200), 8)
+    return rounded(permuted_ic(out_of_sample(spark, sf), reps=1000), 8)
 
 
 # ---------------------------------------------------------------- universes
