@@ -23,6 +23,35 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+WORDS_SQL = r"""
+words AS (SELECT doc_id, ws, len(ws) AS n FROM (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents))"""
+
+OP3_SQL = f"""WITH {WORDS_SQL},
+windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS s FROM words, unnest(range(1, n - 48)) AS t(i)),
+firsts AS (SELECT s, min(doc_id) AS first FROM windows GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, j FROM windows JOIN firsts USING (s), unnest(range(i, i + 50)) AS t(j) WHERE first < doc_id),
+each AS (SELECT doc_id, j, ws[j] AS word FROM words, unnest(range(1, n + 1)) AS t(j)),
+kept AS (SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY j) AS text
+         FROM each ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT doc_id, n AS n_words, n - coalesce(n_kept, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)"""
+
+OP8_SQL = f"""WITH RECURSIVE {WORDS_SQL},
+shingles AS (SELECT doc_id, s, count(*) AS c FROM (
+  SELECT doc_id, array_to_string(ws[i:i + 4], ' ') AS s
+  FROM words, unnest(range(1, CASE WHEN n >= 5 THEN n - 3 WHEN n > 0 THEN 2 ELSE 1 END)) AS t(i)) GROUP BY ALL),
+sizes AS (SELECT doc_id, sum(c) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.c, b.c)) AS o
+             FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 9 * o >= 4 * (x.n + y.n)),
+ends AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, root) AS (SELECT doc_id, doc_id FROM documents
+                        UNION SELECT ends.b, reach.root FROM reach JOIN ends ON ends.a = reach.doc_id)
+SELECT doc_id, min(root) AS class_id, CAST(coalesce(max(n), 0) AS BIGINT) AS n_shingles
+FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id"""
+
+
 @query("op1_html_extraction")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
@@ -35,7 +64,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classified(table(spark, sf_dir, "documents"))
 
 
-@query("op3_substring_dedup")
+@query("op3_substring_dedup", OP3_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that stay when 50-word windows of documents with smaller ids are taken out."""
     return substring_dedup.removal(table(spark, sf_dir, "documents"), 50)
@@ -65,7 +94,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query("op8_near_dedup")
+@query("op8_near_dedup", OP8_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near duplicates of every document."""
     return near_dedup.classes(table(spark, sf_dir, "documents"))
