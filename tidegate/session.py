@@ -61,11 +61,16 @@ def materialize(df: DataFrame) -> DataFrame:
     and the table outlives the executors that wrote it.  ``clear`` deletes what
     an application has written.
     """
-    path = f"{_application_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def scratch(session: SparkSession) -> str:
+    """A path of its own in the application's shared folder."""
+    return f"{_application_folder(session)}/{uuid.uuid4().hex}"
+
+
 def _application_folder(session: SparkSession) -> str:
     return f"{shared_folder(session)}/panels-{session.sparkContext.applicationId}"
 
