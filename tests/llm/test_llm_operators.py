@@ -344,7 +344,7 @@ def test_near_classes(spark, odd, odd_rows, docs, doc_rows):
 
 def test_links_that_no_leader_shows(spark, monkeypatch):
     """A cloud of texts around the threshold, with small blocks, so that every step is used."""
-    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 8)
     rng = np.random.default_rng(9)
     base = [f"b{i}" for i in range(150)]
     rows = []

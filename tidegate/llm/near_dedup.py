@@ -11,10 +11,11 @@ drawn in order of time and only up to the time by which every component is fille
 *Candidates.*  ``BANDS`` bands of ``ROWS`` components: a pair of similarity 0.8 shares no band with probability 3e-5.
 
 *Verification.*  Multiset overlap is counted exactly.  In each bucket the members are compared with one leader; what is
-connected by then needs no further comparison.  Buckets that still hold several components get further leaders, and in the
-end, in blocks of a fixed size, every pair of a bucket that lies in different components and was not compared yet: sizes
-and profiles (an upper bound of the overlap) rule most of them out before the multisets are fetched.  So no link between
-components is lost, and no bucket emits all its pairs.  Texts with equal multisets are one representative throughout.
+connected by then needs no further comparison.  Members of buckets that still hold several components are compared in
+blocks of a bounded size, every pair that lies in different components: sizes and two upper bounds of the overlap rule
+most of them out, the rest is counted, and a link joins two components, so that a block gives fewer links than it has
+members.  No link between components is lost, and no bucket emits its pairs.  Texts with equal multisets are one
+representative throughout.
 """
 
 from __future__ import annotations
@@ -34,10 +35,9 @@ SHINGLE_WORDS = 5
 BANDS, ROWS = 26, 5
 #: Similarity, as a fraction, so that the comparison is exact in whole numbers.
 SIMILAR = (4, 5)
-#: Rounds of further leaders before the rest is compared pair by pair.
-LEADER_ROUNDS = 2
-#: Members of a bucket that are compared with one another in one go, and cells of the first comparison.
-BLOCK = 1_024
+#: What is compared in one go: members of a bucket, bytes of their multisets; and cells of the first comparison.
+BLOCK_ROWS = 4_096
+BLOCK_BYTES = 16 << 20
 CELLS = 256
 
 
@@ -135,76 +135,76 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row, h = shingles(words_of(block.column("text")))
             n = np.bincount(row, minlength=block.num_rows)
             end = np.cumsum(n)
-            bags = [h[e - k: e] for e, k in zip(end.tolist(), n.tolist())]
             yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id"), pa.array([x.tobytes() for x in bags], pa.binary()),
-                 pa.array([profile(x) for x in bags], pa.binary())], names=["doc_id", "bag", "profile"])
+                [block.column("doc_id"), pa.array([h[e - k: e].tobytes() for e, k in zip(end.tolist(), n.tolist())],
+                                                  pa.binary())], names=["doc_id", "bag"])
 
 
-def profile(bag: np.ndarray) -> bytes:
-    """The multiset under a 16-bit hash, sorted: the overlap of two profiles is never below the multisets' overlap."""
-    return np.sort((bag >> U64(48)).astype(np.uint16)).tobytes()
+class Bags:
+    """Sorted multisets of a run of rows, with two upper bounds of their overlaps.
 
-
-class Profiles:
-    """Profiles of a bucket's rows, in flat arrays; ``copy`` numbers the equal entries of a row."""
+    ``short`` is the top 16 bits of each entry, sorted as the entries are; ``copy`` numbers its equal values in a row;
+    ``coarse`` counts entries in ``CELLS`` cells.
+    """
 
     def __init__(self, column: pa.ChunkedArray):
-        raw = [np.frombuffer(x.as_buffer(), np.uint16) for x in column]
-        self.n = np.array([len(x) for x in raw], np.int64)
+        self.bag = [np.frombuffer(x.as_buffer(), U64) for x in column]
+        self.n = np.array([len(x) for x in self.bag], np.int64)
         self.first = np.cumsum(self.n) - self.n
-        self.flat = np.concatenate(raw) if raw else np.zeros(0, np.uint16)
-        row = np.repeat(np.arange(len(raw)), self.n)
-        new = np.ones(len(self.flat), bool)
-        new[1:] = (self.flat[1:] != self.flat[:-1]) | (row[1:] != row[:-1])
-        at = np.arange(len(self.flat))
-        self.copy = at - np.maximum.accumulate(np.where(new, at, 0)) if len(at) else at
-        self.coarse = np.zeros((len(raw), CELLS), np.int32)
-        np.add.at(self.coarse, (row, self.flat.astype(np.int64) % CELLS), 1)
-
-    def overlaps(self, x: int, others: np.ndarray) -> np.ndarray:
-        have = np.bincount(self.flat[self.first[x]: self.first[x] + self.n[x]], minlength=1 << 16)
+        self.short = (np.concatenate(self.bag) >> U64(48)).astype(np.uint16)
+        row, at = np.repeat(np.arange(len(self.bag)), self.n), np.arange(len(self.short))
+        new = np.ones(len(at), bool)
+        new[1:] = (self.short[1:] != self.short[:-1]) | (row[1:] != row[:-1])
+        self.copy = (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.int32)
+        self.coarse = np.bincount(row * CELLS + self.short % CELLS, minlength=len(self.bag) * CELLS).reshape(
+            -1, CELLS).astype(np.int32)
+
+    def most_coarse(self, x: int, others: np.ndarray) -> np.ndarray:
+        return np.minimum(self.coarse[x], self.coarse[others]).sum(axis=1)
+
+    def most_short(self, x: int, others: np.ndarray) -> np.ndarray:
+        have = np.bincount(self.short[self.first[x]: self.first[x] + self.n[x]], minlength=1 << 16)
         n = self.n[others]
         at = np.repeat(self.first[others] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        met = np.append(0, np.cumsum(have[self.flat[at]] > self.copy[at]))
+        met = np.append(0, np.cumsum(have[self.short[at]] > self.copy[at]))
         ends = np.cumsum(n)
         return met[ends] - met[ends - n]
 
 
-def _open_pairs(doc: np.ndarray, n: np.ndarray, root: np.ndarray, block: np.ndarray, profiles: Profiles,
-                start: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one bucket's two blocks that lie in different components and may be similar by size and profile."""
+def _links(doc: np.ndarray, root: np.ndarray, block: np.ndarray, bags: Bags, start: int) -> list[tuple[int, int]]:
+    """Links that join the components of one bucket's two blocks; rows ``start`` onwards of ``bags``."""
     up, down = SIMILAR
+    component = np.unique(root, return_inverse=True)[1]
     one = (block == block[0]).all()
     left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
-    a, b = [], []
+    n, out = bags.n[start: start + len(doc)], []
     for x in left.tolist():
         y = right[right > x] if one else right
-        y = y[(root[y] != root[x]) & (np.minimum(n[y], n[x]) * down >= np.maximum(n[y], n[x]) * up)]
-        for bound in (lambda z: np.minimum(profiles.coarse[start + x], profiles.coarse[start + z]).sum(axis=1),
-                      lambda z: profiles.overlaps(start + x, start + z)):
+        y = y[(component[y] != component[x]) & (np.minimum(n[y], n[x]) * down >= np.maximum(n[y], n[x]) * up)]
+        for bound in (bags.most_coarse, bags.most_short):
             if len(y):
-                y = y[bound(y) * (up + down) >= up * (n[x] + n[y])]
-        a.append(np.full(len(y), doc[x]))
-        b.append(doc[y])
-    a, b = np.concatenate(a), np.concatenate(b)
-    return np.minimum(a, b), np.maximum(a, b)
+                y = y[bound(start + x, start + y) * (up + down) >= up * (n[x] + n[y])]
+        for z in y.tolist():
+            if component[z] != component[x] and overlap(bags.bag[start + x], bags.bag[start + z]) * (up + down) >= up * (
+                    n[x] + n[z]):
+                component[component == component[z]] = component[x]
+                out.append((min(doc[x], doc[z]), max(doc[x], doc[z])))
+    return out
 
 
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by bucket and pair of blocks; what is held is two blocks of one bucket and a batch."""
     rest: list[pa.RecordBatch] = []
 
-    def pairs(table: pa.Table) -> pa.RecordBatch:
-        cols = {c: table.column(c).to_numpy() for c in ("key", "i", "j", "doc_id", "n", "root", "block")}
+    def links(table: pa.Table) -> pa.RecordBatch:
+        cols = {c: table.column(c).to_numpy() for c in ("key", "i", "j", "doc_id", "root", "block")}
         edge = np.ones(table.num_rows, bool)
         edge[1:] = (np.diff(cols["key"]) != 0) | (np.diff(cols["i"]) != 0) | (np.diff(cols["j"]) != 0)
         starts = np.append(np.flatnonzero(edge), table.num_rows)
-        profiles = Profiles(table.column("profile"))
-        found = [_open_pairs(*(cols[c][s:e] for c in ("doc_id", "n", "root", "block")), profiles, s)
-                 for s, e in zip(starts[:-1].tolist(), starts[1:].tolist())]
-        once = np.unique(np.stack([np.concatenate(x) for x in zip(*found)], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(once[:, 0]), pa.array(once[:, 1])], names=["a", "b"])
+        bags = Bags(table.column("bag"))
+        found = {p for s, e in zip(starts[:-1].tolist(), starts[1:].tolist())
+                 for p in _links(*(cols[c][s:e] for c in ("doc_id", "root", "block")), bags, s)}
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -215,10 +215,10 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             same &= table.column(c).to_numpy() == table.column(c)[-1].as_py()
         to = table.num_rows - int(same.sum())
         if to:
-            yield pairs(table.slice(0, to))
+            yield links(table.slice(0, to))
         rest = table.slice(to).to_batches()
     if rest:
-        yield pairs(pa.Table.from_batches(rest))
+        yield links(pa.Table.from_batches(rest))
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -261,54 +261,36 @@ def classes(docs: DataFrame) -> DataFrame:
     source = docs.select("doc_id", "text")
     sketches = written(source.mapInArrow(_sketch, "doc_id long, n long, bag binary, keys array<long>"), "sketches")
     known = sketches.filter("doc_id is not null and n > 0")
-    heads = written(known.groupBy("bag").agg(F.min("doc_id").alias("head")), "heads")
-    copies = known.join(heads, "bag").filter("doc_id <> head").select(
-        F.col("head").alias("a"), F.col("doc_id").alias("b"))
-    alone = known.join(heads.select(F.col("head").alias("doc_id"), "bag"), ["doc_id", "bag"], "left_semi").dropDuplicates(
-        ["doc_id", "bag"])
-    members = alone.select(F.explode("keys").alias("key"), "doc_id", "n")
-    full = written(members.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).filter(
-        "leader < last").select("key", "leader"), "full")
+    # rows of one multiset have one size and one signature
+    heads = written(known.groupBy("bag").agg(
+        F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.first("n").alias("n"),
+        F.first("keys").alias("keys")), "heads")
+    copies = known.select("bag", F.col("doc_id").alias("b")).join(
+        heads.filter("doc_id < last").select("bag", F.col("doc_id").alias("a")), "bag").filter("a <> b").select("a", "b")
+    members = heads.select(F.explode("keys").alias("key"), "doc_id", "n")
+    full = written(members.groupBy("key").agg(
+        F.min(F.struct("doc_id", "n")).alias("l"), F.max("doc_id").alias("last")).filter("l.doc_id < last").select(
+        "key", F.col("l.doc_id").alias("leader"), F.col("l.n").alias("m")), "full")
     buckets = written(members.join(full, "key"), "buckets")
     bags = written(source.join(buckets.select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(
-        _bags, "doc_id long, bag binary, profile binary"), "bags")
+        _bags, "doc_id long, bag binary"), "bags")
     sizes = f"least(n, m) * {SIMILAR[1]} >= greatest(n, m) * {SIMILAR[0]}"
-    heads_n = buckets.select(F.col("doc_id").alias("leader"), F.col("n").alias("m")).distinct()
-    tried = written(buckets.join(heads_n, "leader").filter("doc_id <> leader").filter(sizes).select(
+    tried = written(buckets.filter("doc_id <> leader").filter(sizes).select(
         F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct(), "tried")
     edges = _verified(tried, bags)
-    for turn in range(LEADER_ROUNDS + 1):
-        roots = components(edges)
-        rooted = buckets.select("key", "doc_id", "n").join(
-            roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn(
-            "root", F.coalesce("root", "doc_id"))
-        mixed = written(rooted.groupBy("key").agg(
-            F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).filter(
-            "low < high"), "mixed")
-        if mixed.isEmpty():
-            break
-        open_members = rooted.join(mixed.select("key", "low", "size"), "key")
-        if turn < LEADER_ROUNDS:
-            open_members = written(open_members, "open")
-            leaders = open_members.filter("root <> low").groupBy("key").agg(
-                F.min_by(F.struct(F.col("doc_id").alias("leader"), F.col("root").alias("of"), F.col("n").alias("m")),
-                         F.xxhash64("doc_id", "key", F.lit(turn))).alias("l")).select("key", "l.*")
-            pairs = open_members.join(leaders, "key").filter("root <> of").filter(sizes).select(
-                F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b"))
-        else:
-            n_blocks = F.ceil(F.col("size") / BLOCK)
-            dealt = open_members.join(bags.select("doc_id", "profile"), "doc_id").withColumn(
-                "block", F.pmod(F.xxhash64("doc_id"), n_blocks)).withColumn(
-                "other", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1))).select(
-                "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "n", "root",
-                "block", "profile")
-            pairs = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(
-                _cross, "a long, b long")
-        new = written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "tried")
-        if new.isEmpty() and turn == LEADER_ROUNDS:
-            break
-        tried = tried.unionByName(new)
-        edges = edges.unionByName(_verified(new, bags))
+    rooted = written(buckets.select("key", "doc_id", "n").join(
+        components(edges).select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn(
+        "root", F.coalesce("root", "doc_id")), "rooted")
+    mixed = written(rooted.groupBy("key").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"), F.sum("n").alias("total")).filter(
+        "low < high").select("key", F.greatest(F.ceil(F.col("size") / BLOCK_ROWS), F.ceil(F.col("total") * 8 / BLOCK_BYTES))
+                             .alias("blocks")), "mixed")
+    dealt = rooted.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
+        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "root", "block")
+    crossed = written(dealt.join(bags, "doc_id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(
+        _cross, "a long, b long"), "crossed")
+    edges = edges.unionByName(crossed)
     roots = components(edges.unionByName(copies))
     return sketches.join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").select(
         "doc_id", F.coalesce("root", "doc_id").alias("class_id"), F.col("n").alias("n_shingles"))
