@@ -159,26 +159,27 @@ def repeated_spans(docs: DataFrame, words: int = 50) -> tuple[DataFrame, DataFra
     table = written(source.mapInArrow(_runs(words), _RUNS), "runs")
     held = table.filter("doc_id is not null")
     # half length
-    half = (held.select("doc_id", F.explode("a").alias("a")).groupBy("a")
-            .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi"))
+    # (tables of minima are written, so that both sides of a join are plain shuffles, which can be split)
+    half = written(held.select("doc_id", F.explode("a").alias("a")).groupBy("a").agg(
+        F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi"), "half")
     runs = held.select("doc_id", "k", F.inline(F.arrays_zip("a", "p", "m", "h1", "h2")))
     alive = written(runs.join(half, "a").select(
         "doc_id", "k", "a", "p", "m", "h1", "h2", (F.col("lo") < F.col("doc_id")).alias("target"),
         (F.col("hi") > F.col("doc_id")).alias("holder")), "alive")
     # full length, whole runs
-    firsts = alive.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
+    firsts = written(alive.groupBy("h1", "h2").agg(F.min("doc_id").alias("first")), "firsts")
     judged = written(alive.join(firsts, ["h1", "h2"]).select(
         "doc_id", "k", "a", "p", "m", "target", "holder", (F.col("first") < F.col("doc_id")).alias("settled")), "judged")
     settled = judged.filter("settled").select("doc_id", "k", "p", "m")
     # full length, window by window
     opened = judged.filter("not settled and target")
     asked = judged.filter("not settled and holder and not target").join(
-        opened.select("a").distinct(), "a", "left_semi").select(judged.columns).unionByName(opened)
+        written(opened.select("a").distinct(), "names"), "a", "left_semi").select(judged.columns).unionByName(opened)
     per = asked.groupBy("doc_id", "k").agg(F.collect_list(F.struct("p", "m", "target")).alias("runs"))
     windows = written(source.join(per, ["doc_id", "k"]).select("doc_id", "k", "text", "runs").mapInArrow(
         _windows(words), "doc_id long, k long, p int, target boolean, h1 long, h2 long"), "windows")
-    lows = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter(
-        "first < last")
+    lows = written(windows.groupBy("h1", "h2").agg(
+        F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last"), "lows")
     single = windows.filter("target").join(lows, ["h1", "h2"]).filter("first < doc_id").select(
         "doc_id", "k", "p", F.lit(1).alias("m"))
     spans = settled.unionByName(single).groupBy("doc_id", "k").agg(F.collect_list(F.struct("p", "m")).alias("spans"))
