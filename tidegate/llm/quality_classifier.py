@@ -20,12 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.llm import ngrams
+from tidegate.llm.common import written
 from tidegate.llm.quality_rules import CAPITALS, DIGITS, LETTERS, SHOUTS, SYMBOLS, TAILS, _count, lines_of, repeated_words
 from tidegate.llm.quality_rules import seen_before
 from tidegate.llm.words import SPACE, Words, blocks, words_of
 
 SAMPLE = 1_500
-KEEP = 0.2
+KEEP = 0.5
+#: The posterior weighs as much as so many bytes of text: a few trigrams say little.
+PRIOR_BYTES = 100
 #: A labeller calls so many of the good texts bad at most.
 FALSE_ALARMS = 0.01
 NONE, BAD, GOOD = 0, 1, 2
@@ -119,13 +122,15 @@ def _pattern(column: str) -> F.Column:
 
 
 def classified(docs: DataFrame, sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:
-    """``doc_id, votes_good, votes_bad, posterior, score, kept`` of each row.
+    """``doc_id, votes_good, votes_bad, posterior, score, quality, kept`` of each row.
 
-    ``posterior`` is the label model's, ``score`` the linear scorer's; a text is kept if its score is at least ``keep``.
-    Null and empty texts have one bad vote, score 0, and are not kept.  Where all posteriors lean to one side there is
+    ``posterior`` is the label model's, ``score`` the linear scorer's, ``quality`` their mean weighted by ``PRIOR_BYTES``
+    and the text's bytes; a text is kept if its quality is at least ``keep``.  Null and empty texts have one bad vote,
+    score and quality 0, and are not kept.  Where all posteriors lean to one side there is
     nothing to fit, and the score is the posterior.  Ids and other columns play no part in a verdict.
     """
-    source = docs.select("doc_id", "text", _pattern("text").alias("pattern"))
+    source = written(docs.select(F.xxhash64("doc_id", "text").alias("h"), F.col("text").isNotNull().alias("known"),
+                                 _pattern("text").alias("pattern")), "votes")
     # one row for each combination of votes
     seen = source.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").toArrow()
     patterns = seen.column("pattern").to_numpy()
@@ -133,9 +138,10 @@ def classified(docs: DataFrame, sample: int = SAMPLE, keep: float = KEEP) -> Dat
     leaning = [patterns[(posterior < 0.5)], patterns[posterior >= 0.5]]
     weights = bias = None
     if all(len(x) for x in leaning):
-        ids = source.filter("text is not null").select("doc_id", "pattern", F.xxhash64("doc_id", "text").alias("h"))
+        ids = source.filter("known")
         picked = reduce(DataFrame.unionByName, [
-            ids.filter(_among("pattern", x)).orderBy("h").limit(sample) for x in leaning]).select("h", "pattern").distinct()
+            ids.filter(_among("pattern", x)).select("h", "pattern").orderBy("h").limit(sample)
+            for x in leaning]).distinct()
 
         def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -156,7 +162,7 @@ def classified(docs: DataFrame, sample: int = SAMPLE, keep: float = KEEP) -> Dat
         w, b = ngrams.fit(rows, target, weight, "logistic")
         weights, bias = ngrams.whole(w)[None, :], np.array([b])
 
-    @F.arrow_udf("struct<votes_good: int, votes_bad: int, posterior: double, score: double>")
+    @F.arrow_udf("struct<votes_good: int, votes_bad: int, posterior: double, score: double, quality: double>")
     def score(texts: pa.Array) -> pa.Array:
         parts = []
         for block in blocks(pa.record_batch([texts], names=["text"])):
@@ -165,14 +171,17 @@ def classified(docs: DataFrame, sample: int = SAMPLE, keep: float = KEEP) -> Dat
             p = posterior[np.searchsorted(patterns, packed(table))]
             s = p if weights is None else 1 / (1 + np.exp(-np.clip(
                 ngrams.scores(w.offsets, w.data, weights, bias)[:, 0], -40, 40)))
-            parts.append(((table == GOOD).sum(axis=1), (table == BAD).sum(axis=1), p, np.where(w.n > 0, s, 0.0)))
-        columns = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0)] * 4
+            size = np.diff(w.offsets)
+            mixed = (size * s + PRIOR_BYTES * p) / (size + PRIOR_BYTES)
+            parts.append(((table == GOOD).sum(axis=1), (table == BAD).sum(axis=1), p, np.where(w.n > 0, s, 0.0),
+                          np.where(w.n > 0, mixed, 0.0)))
+        columns = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0)] * 5
         return pa.StructArray.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.float64(), pa.float64()))],
-            ["votes_good", "votes_bad", "posterior", "score"])
+            [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), *[pa.float64()] * 3))],
+            ["votes_good", "votes_bad", "posterior", "score", "quality"])
 
     return docs.select("doc_id", score("text").alias("s")).select(
-        "doc_id", "s.*", (F.col("s.score") >= keep).alias("kept"))
+        "doc_id", "s.*", (F.col("s.quality") >= keep).alias("kept"))
 
 
 def _among(column: str, patterns: np.ndarray):
