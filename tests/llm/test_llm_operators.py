@@ -311,6 +311,37 @@ def test_leaks(spark, odd, docs, benchmark):
             assert (decontamination.local_score(a, d)[0] / len(a) >= decontamination.THRESHOLD) == ((doc, i) in found)
 
 
+def test_leaks_that_repeat(spark):
+    """Many documents with one edit in common, with a part of an item or with short matching runs, against brute force."""
+    rng = np.random.default_rng(11)
+    stock = [f"s{i}" for i in range(12)]
+    items = {i: [f"i{i}w{k}" for k in range(30)] for i in range(4)}
+    items[3][:15] = [stock[k % 12] for k in range(15)]  # half of it in every other document too
+    noise = lambda n: [f"x{k}" for k in rng.integers(0, 500, n)]
+    texts = []
+    for _ in range(60):
+        texts.append(noise(20) + items[0][:14] + ["edit"] + items[0][15:] + noise(20))
+        texts.append(noise(20) + items[1][:20] + noise(20))
+        texts.append(noise(9) + [x for k, w in enumerate(items[2]) for x in ([w, "new"] if k % 3 == 2 else [w])] + noise(9))
+        texts.append(stock + noise(5) + stock)
+    texts += [items[3] + noise(5), items[3][:15], items[3][15:], items[3][16:], [x for w in items[0] for x in (w, "and")]]
+    docs = spark.createDataFrame(list(enumerate(map(" ".join, texts))), "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    code = defaultdict(lambda: len(code))
+    coded = {i: np.array([code[x] for x in w]) for i, w in items.items()}
+    for threshold in (0.5, 0.8):
+        want = {}
+        for d, w in enumerate(texts):
+            for i, a in coded.items():
+                score = decontamination.local_score(a, np.array([code[x] for x in w]))[0] / len(a)
+                if score >= threshold:
+                    want[d, i] = score
+        got = {(r.doc_id, r.item_id): r.score for r in decontamination.leaks(docs, bench, threshold).collect()}
+        assert got == want and len(want) >= (180 if threshold == 0.5 else 60)
+        clean = {r.doc_id for r in decontamination.without_leaks(docs, bench, threshold).collect()}
+        assert clean == set(range(len(texts))) - {d for d, _ in want}
+
+
 # 8
 
 def test_bagminhash_estimates_weighted_jaccard():

@@ -1,10 +1,14 @@
 """Documents that hold a benchmark item, whole, edited or paraphrased in part.
 
-1. *Seeds*: runs of four words of the items.  In how many documents each occurs is counted over the whole corpus.
-2. *Rare seeds* of an item are those that occur in few documents, or in at most twice as many as the item's rarest seed:
-   an item that stands in a third of all documents keeps its seeds, stock phrases drop out.
-3. Where a rare seed of an item stands, the words around it are aligned with the item (Smith-Waterman, match +1,
-   mismatch and gap -1); the score is divided by the item's number of words.
+An alignment (Smith-Waterman, match +1, mismatch and gap -1) of score S has at most one run of matches more than it has
+errors, so it matches at least S - 1 pairs of neighbouring words of the item.  No alignment of an item of three words or
+more that reaches the threshold is lost on the way:
+
+1. *Seeds*: pairs of neighbouring words of the items.  In how many documents each occurs is counted over the whole corpus.
+2. *Rare seeds* of an item are its rarest ones, just so many that no alignment can reach the threshold without any of
+   them, however often they occur.
+3. Where a rare seed of an item stands, the words around it are looked at: if they hold as many of the item's seeds as the
+   threshold implies, they are aligned with the item; the score is divided by the item's number of words.
 
 Both passes only read the documents: nothing of their text is shuffled.  Items are taken in blocks of a fixed size, each
 against all documents, so what a task holds does not grow with the benchmark.
@@ -22,39 +26,38 @@ from pyspark.sql import functions as F
 
 from tidegate.llm.words import Words, blocks, inside, window_hashes, words_of
 
-SEED_WORDS = 4
-#: A seed in so many documents or fewer is rare whatever its item's other seeds are.
-RARE_DOCUMENTS = 10
+SEED_WORDS = 2
 THRESHOLD = 0.5
 #: Items held by a task at once, and bytes of their text.
 BLOCK_ITEMS = 20_000
 BLOCK_TEXT = 16 << 20
+#: Seeds of items looked up at once.
+BLOCK_PLACES = 1 << 20
+
 
 class Items:
     """Words and seeds of a block of benchmark items, in flat arrays."""
 
-    def __init__(self, ids: list[int], words: Words):
+    def __init__(self, ids: list[int], words: Words, threshold: float = THRESHOLD):
         self.ids = np.array(ids, np.int64)
         self.words, self.first, self.n = words.hash, words.first, words.n
-        size = SEED_WORDS
-        ok = np.flatnonzero(inside(words, size))
+        ok = np.flatnonzero(inside(words, SEED_WORDS))
         self.item = words.row()[ok] if len(ok) else np.zeros(0, np.int64)
         self.place = ok - self.first[self.item]
-        hashes = window_hashes(words.hash, size)[ok]
-        self.seeds, self.which = np.unique(hashes, return_inverse=True)
+        self.seeds, self.which = np.unique(window_hashes(words.hash, SEED_WORDS)[ok], return_inverse=True)
+        self.of = np.searchsorted(self.item, np.arange(len(self.ids) + 1))  # an item's places in ``which``
+        least = np.ceil(threshold * self.n - 1e-9).astype(np.int64)
+        self.slack = np.maximum(self.n - least, 0)  # errors that an alignment can have
+        self.need = np.maximum(least - 1, 1)        # of an item's seeds in an alignment
 
     def keep_rare(self, documents: np.ndarray) -> None:
         """``documents``: in how many each of ``seeds`` occurs."""
-        n = documents[self.which]
-        least = np.full(len(self.ids), np.iinfo(np.int64).max)
-        np.minimum.at(least, self.item, np.maximum(n, 1))
-        live = (n > 0) & ((n <= RARE_DOCUMENTS) | (n <= 2 * least[self.item]))
-        self.item, self.place, self.which = self.item[live], self.place[live], self.which[live]
-        kept, self.which = np.unique(self.which, return_inverse=True)
-        self.seeds = self.seeds[kept]
-        order = np.argsort(self.which, kind="stable")
-        self.item, self.place = self.item[order], self.place[order]
-        self.start = np.searchsorted(self.which[order], np.arange(len(self.seeds) + 1))
+        order = np.lexsort((self.place, documents[self.which], self.item))
+        rank = np.arange(len(order)) - self.of[self.item[order]]
+        live = order[rank <= (np.diff(self.of) - self.need)[self.item[order]]]
+        live = live[np.argsort(self.which[live], kind="stable")]
+        self.rare_item, self.rare_place = self.item[live], self.place[live]
+        self.start = np.searchsorted(self.which[live], np.arange(len(self.seeds) + 1))
 
 
 def find_seeds(w: Words, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,42 +84,59 @@ def local_score(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def align(w: Words, items: Items) -> list[tuple[int, int, float, int]]:
-    """(row, item, score, end word) of the best alignment of every document and item that share a rare seed."""
+def spread(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(group, number within the group) of the members of groups of ``count``."""
+    group = np.repeat(np.arange(len(count)), count)
+    return group, np.arange(len(group)) - (np.cumsum(count) - count)[group]
+
+
+def windows(w: Words, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, item, first word, word after the last) of the stretches that may hold an item."""
     pos, seed = find_seeds(w, items.seeds)
-    count = items.start[seed + 1] - items.start[seed]
-    pos = np.repeat(pos, count)
-    entry = np.repeat(items.start[seed], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    item, row = items.item[entry], np.searchsorted(w.first, pos, side="right") - 1
-    n = items.n[item]
-    low = np.maximum(pos - items.place[entry] - n // 2, w.first[row])
-    high = np.minimum(pos - items.place[entry] + n + n // 2, w.first[row + 1])
+    hit, k = spread(items.start[seed + 1] - items.start[seed])
+    entry = items.start[seed[hit]] + k
+    item, row = items.rare_item[entry], np.searchsorted(w.first, pos, side="right")[hit] - 1
+    low = pos[hit] - items.rare_place[entry] - items.slack[item]
+    high = np.minimum(low + items.n[item] + 2 * items.slack[item], w.first[row + 1])
+    low = np.maximum(low, w.first[row])
+    order = np.lexsort((high, low, item, row))
+    row, item, low, high = row[order], item[order], low[order], high[order]
+    new = np.ones(len(order), bool)  # ``high`` grows with ``low``
+    new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (low[1:] > high[:-1])
+    last = np.roll(new, -1)
+    row, item, low, high = row[new], item[new], low[new], high[last]
+    at = np.sort(seed * (len(w.hash) + 1) + pos)
+    keep = np.zeros(len(row), bool)
+    size = np.diff(items.of)[item]
+    cuts = np.r_[0, np.flatnonzero(np.diff(np.cumsum(size) // BLOCK_PLACES)) + 1, len(row)]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        group, k = spread(size[a:b])
+        key = items.which[items.of[item[a:b]][group] + k] * (len(w.hash) + 1)
+        held = np.searchsorted(at, key + low[a:b][group]) < np.searchsorted(at, key + high[a:b][group] - SEED_WORDS + 1)
+        keep[a:b] = np.bincount(group[held], minlength=b - a) >= items.need[item[a:b]]
+    return row[keep], item[keep], low[keep], high[keep]
+
+
+def align(w: Words, items: Items) -> list[tuple[int, int, float, int]]:
+    """(row, item, score, end word) of the best alignment of every document and item that may reach the threshold."""
     best: dict[tuple[int, int], tuple[float, int]] = {}
-    order = np.lexsort((low, item, row))
-    i = 0
-    while i < len(order):
-        k = order[i]
-        key, start, end = (int(row[k]), int(item[k])), int(low[k]), int(high[k])
-        i += 1
-        while i < len(order) and (row[order[i]], item[order[i]]) == key and low[order[i]] <= end:
-            end = max(end, int(high[order[i]]))
-            i += 1
-        words = items.words[items.first[key[1]]: items.first[key[1] + 1]]
+    for row, item, start, end in zip(*(x.tolist() for x in windows(w, items))):
+        words = items.words[items.first[item]: items.first[item + 1]]
         score, last = local_score(words, w.hash[start:end])
-        found = (score / len(words), start + last - int(w.first[key[0]]))
-        if key not in best or found[0] > best[key][0]:
-            best[key] = found
+        found = (score / len(words), start + last - int(w.first[row]))
+        if (row, item) not in best or found[0] > best[row, item][0]:
+            best[row, item] = found
     return [(r, it, s, e) for (r, it), (s, e) in best.items()]
 
 
-def item_blocks(benchmark: DataFrame) -> Iterator[Items]:
+def item_blocks(benchmark: DataFrame, threshold: float = THRESHOLD) -> Iterator[Items]:
     """The items in blocks of a fixed size; items without ``SEED_WORDS`` words can't be looked for."""
     rows = benchmark.filter("item_id is not null").select("item_id", F.lower("text").alias("text"))
     size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
     n = max(1, -(-size.n // BLOCK_ITEMS), -(-size.b // BLOCK_TEXT))
     for i in range(n):
         part = rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i).orderBy("item_id", "text").collect()
-        yield Items([r.item_id for r in part], words_of(pa.array([r.text for r in part], pa.string()), plain=True))
+        yield Items([r.item_id for r in part], words_of(pa.array([r.text for r in part], pa.string()), plain=True), threshold)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -124,8 +144,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
 
     ``score`` is the alignment's score over the item's number of words, ``end_word`` the number of words (in lower case,
     ASCII marks being white space) before the end of the best alignment in the document.  Null and empty texts match
-    nothing; items of fewer than four words, or without an id, can't be looked for.  Equal rows of ``docs`` give equal
-    rows; other columns play no part.
+    nothing; items of one word, or without an id, can't be looked for, and items of two words are found as whole copies.
+    Equal rows of ``docs`` give equal rows; other columns play no part.
     """
     source = docs.select("doc_id", F.lower("text").alias("text"))
 
@@ -142,7 +162,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
                         names=["doc_id", "item_id", "score", "end_word"])
         return source.mapInArrow(run, "doc_id long, item_id long, score double, end_word long")
 
-    return reduce(DataFrame.unionByName, [found(rare(source, items)) for items in item_blocks(benchmark)])
+    return reduce(DataFrame.unionByName, [found(rare(source, items)) for items in item_blocks(benchmark, threshold)])
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -160,7 +180,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
 
     source = docs.select(F.lower("text").alias("text"))
     text = F.lower(docs["text"])
-    return reduce(lambda rows, items: rows.filter(clean(rare(source, items))(text)), item_blocks(benchmark), docs)
+    return reduce(lambda rows, items: rows.filter(clean(rare(source, items))(text)), item_blocks(benchmark, threshold), docs)
 
 
 def rare(source: DataFrame, items: Items) -> Items:
