@@ -25,6 +25,15 @@ def test_query_matches_sql(spark, con, name):
     assert ok, message
 
 
+def test_fold_arrays_hold_every_role(spark, con):
+    ok, message = compare(spark, con, "fold_arrays", entry.queries()["fold_arrays"], entry.oracle_sql()["fold_arrays"], SF)
+    assert ok, message
+    rows = entry.queries()["fold_arrays"](spark, SF).groupBy("fold", "role").count().collect()
+    want = entry.queries()["fold_balance"](spark, SF).filter("role <> 'embargo'").collect()
+    assert {(r.fold, r.role): r["count"] for r in rows} == {(r.fold, r.role): r.n_rows for r in want}
+    assert {r.role for r in rows} == {"model_train", "cal", "test"}
+
+
 def test_every_oracle_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 

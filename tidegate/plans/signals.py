@@ -324,6 +324,20 @@ def fold_standardized(spark, sf):
     return rounded(fo.standardize(rows, fo.scaler_stats(p, f, FEATURES4), FEATURES4), 5)
 
 
+@query("fold_arrays", sql(FOLDS_SQL + ",\nst AS (SELECT fold, " + ", ".join(
+    f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in FEATURES4) + """
+    FROM panel JOIN fold_dates USING (date) WHERE role = 'model_train' GROUP BY fold)""", f"""
+SELECT f.fold, f.role, ticker, f.date, target, {', '.join(
+    _r(f'({c} - m_{c}) / CASE WHEN s_{c} > 0 THEN s_{c} ELSE 1 END', 5, c) for c in FEATURES4)}
+FROM panel JOIN fold_dates f ON panel.date = f.date AND role <> 'embargo' JOIN st ON st.fold = f.fold"""))
+def fold_arrays(spark, sf):
+    """Rows of all roles, once per fold, with the target; scaled by their fold's model-train statistics."""
+    p = panel(spark, sf).select("ticker", "date", "target", *FEATURES4)
+    f = folds(spark, sf, p)
+    rows = fo.rows_of_role(p, f, "model_train", "cal", "test")
+    return rounded(fo.standardize(rows, fo.scaler_stats(p, f, FEATURES4), FEATURES4), 5)
+
+
 @query("fold_tail_validation", sql(FOLDS_SQL + """,
 r AS (SELECT fold, date, ticker, row_number() OVER (PARTITION BY fold ORDER BY date, ticker) AS rn,
              count(*) OVER (PARTITION BY fold) AS n
