@@ -342,6 +342,16 @@ def test_leaks_that_repeat(spark):
         assert clean == set(range(len(texts))) - {d for d, _ in want}
 
 
+def test_leaks_of_short_items(spark):
+    bench = spark.createDataFrame([(1, "Zeta."), (2, "alpha beta"), (3, "one two three"), (4, "--"), (5, None)],
+                                  "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a zeta b"), (2, "alpha, beta; zeta"), (3, "alpha x beta"), (4, "x one two three y"),
+                                  (5, "one two"), (6, "two y three"), (7, None), (8, "zeta")], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontamination.leaks(docs, bench).collect()}
+    assert got == {(1, 1): 1, (2, 1): 1, (2, 2): 1, (4, 3): 1, (5, 3): 2 / 3, (8, 1): 1}
+    assert {r.doc_id for r in decontamination.without_leaks(docs, bench).collect()} == {3, 6, 7}
+
+
 # 8
 
 def test_bagminhash_estimates_weighted_jaccard():

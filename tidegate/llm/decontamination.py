@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm.words import Words, blocks, inside, window_hashes, words_of
+from tidegate.llm.words import U64, Words, blocks, inside, window_hashes, words_of
 
 SEED_WORDS = 2
 THRESHOLD = 0.5
@@ -41,10 +41,19 @@ class Items:
     def __init__(self, ids: list[int], words: Words, threshold: float = THRESHOLD):
         self.ids = np.array(ids, np.int64)
         self.words, self.first, self.n = words.hash, words.first, words.n
-        ok = np.flatnonzero(inside(words, SEED_WORDS))
-        self.item = words.row()[ok] if len(ok) else np.zeros(0, np.int64)
-        self.place = ok - self.first[self.item]
-        self.seeds, self.which = np.unique(window_hashes(words.hash, SEED_WORDS)[ok], return_inverse=True)
+        self.width = np.minimum(self.n, SEED_WORDS)  # an item of one word is its own seed
+        self.sizes = np.unique(self.width[self.n > 0]).tolist()
+        row, at, seeds = words.row(), [np.zeros(0, np.int64)], [np.zeros(0, U64)]
+        for size in self.sizes:
+            ok = np.flatnonzero(inside(words, size))
+            ok = ok[self.width[row[ok]] == size]
+            at.append(ok)
+            seeds.append(window_hashes(words.hash, size)[ok])
+        at, seeds = np.concatenate(at), np.concatenate(seeds)
+        order = np.argsort(at)
+        self.item = row[at[order]].astype(np.int64)
+        self.place = at[order] - self.first[self.item]
+        self.seeds, self.which = np.unique(seeds[order], return_inverse=True)
         self.of = np.searchsorted(self.item, np.arange(len(self.ids) + 1))  # an item's places in ``which``
         least = np.ceil(threshold * self.n - 1e-9).astype(np.int64)
         self.slack = np.maximum(self.n - least, 0)  # errors that an alignment can have
@@ -60,14 +69,17 @@ class Items:
         self.start = np.searchsorted(self.which[live], np.arange(len(self.seeds) + 1))
 
 
-def find_seeds(w: Words, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def find_seeds(w: Words, items: Items) -> tuple[np.ndarray, np.ndarray]:
     """(word position, seed number) of every seed of a block of documents."""
-    g = window_hashes(w.hash, SEED_WORDS)
-    if not len(g) or not len(seeds):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.minimum(np.searchsorted(seeds, g), len(seeds) - 1)
-    hit = np.flatnonzero((seeds[at] == g) & inside(w, SEED_WORDS))
-    return hit, at[hit]
+    pos, seed = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for size in items.sizes:
+        g = window_hashes(w.hash, size)
+        if len(g):
+            at = np.minimum(np.searchsorted(items.seeds, g), len(items.seeds) - 1)
+            hit = np.flatnonzero((items.seeds[at] == g) & inside(w, size))
+            pos.append(hit)
+            seed.append(at[hit])
+    return np.concatenate(pos), np.concatenate(seed)
 
 
 def local_score(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -92,7 +104,7 @@ def spread(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def windows(w: Words, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, item, first word, word after the last) of the stretches that may hold an item."""
-    pos, seed = find_seeds(w, items.seeds)
+    pos, seed = find_seeds(w, items)
     hit, k = spread(items.start[seed + 1] - items.start[seed])
     entry = items.start[seed[hit]] + k
     item, row = items.rare_item[entry], np.searchsorted(w.first, pos, side="right")[hit] - 1
@@ -112,7 +124,8 @@ def windows(w: Words, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     for a, b in zip(cuts[:-1], cuts[1:]):
         group, k = spread(size[a:b])
         key = items.which[items.of[item[a:b]][group] + k] * (len(w.hash) + 1)
-        held = np.searchsorted(at, key + low[a:b][group]) < np.searchsorted(at, key + high[a:b][group] - SEED_WORDS + 1)
+        end = (high - items.width[item] + 1)[a:b]
+        held = np.searchsorted(at, key + low[a:b][group]) < np.searchsorted(at, key + end[group])
         keep[a:b] = np.bincount(group[held], minlength=b - a) >= items.need[item[a:b]]
     return row[keep], item[keep], low[keep], high[keep]
 
@@ -130,7 +143,7 @@ def align(w: Words, items: Items) -> list[tuple[int, int, float, int]]:
 
 
 def item_blocks(benchmark: DataFrame, threshold: float = THRESHOLD) -> Iterator[Items]:
-    """The items in blocks of a fixed size; items without ``SEED_WORDS`` words can't be looked for."""
+    """The items in blocks of a fixed size; items without words can't be looked for."""
     rows = benchmark.filter("item_id is not null").select("item_id", F.lower("text").alias("text"))
     size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
     n = max(1, -(-size.n // BLOCK_ITEMS), -(-size.b // BLOCK_TEXT))
@@ -144,7 +157,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
 
     ``score`` is the alignment's score over the item's number of words, ``end_word`` the number of words (in lower case,
     ASCII marks being white space) before the end of the best alignment in the document.  Null and empty texts match
-    nothing; items of one word, or without an id, can't be looked for, and items of two words are found as whole copies.
+    nothing; items without words or an id can't be looked for, items of one or two words are found as whole copies.
     Equal rows of ``docs`` give equal rows; other columns play no part.
     """
     source = docs.select("doc_id", F.lower("text").alias("text"))
@@ -192,7 +205,7 @@ def rare(source: DataFrame, items: Items) -> Items:
         for batch in batches:
             for block in blocks(batch):
                 w = words_of(block.column("text"), plain=True)
-                pos, seed = find_seeds(w, seeds)
+                pos, seed = find_seeds(w, items)
                 row = np.searchsorted(w.first, pos, side="right") - 1
                 once = np.unique(row * max(1, len(seeds)) + seed)
                 total += np.bincount(once % max(1, len(seeds)), minlength=len(seeds))
