@@ -244,6 +244,17 @@ def test_fisher_yates_is_a_uniform_permutation():
     assert list(sharding.fisher_yates(0, 1, 0)) == [] and list(sharding.fisher_yates(1, 1, 0)) == [0]
 
 
+def test_rows_without_text_fill_many_buckets(spark, monkeypatch):
+    assert sharding.bucket_count(0, 0) == 1 and sharding.bucket_count(10, 100 << 20) == 7
+    assert sharding.bucket_count(10_000_000, 0) == 77
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 50)
+    seen = []
+    monkeypatch.setattr(sharding, "bucket_starts", lambda c, f=sharding.bucket_starts: seen.append(c.count()) or f(c))
+    frame = spark.range(1_000).selectExpr("id AS doc_id", "CAST(NULL AS string) AS text")
+    got = sharding.shuffled(frame, shards=4).collect()
+    assert seen[0] > 10 and sorted((r.shard, r.slot) for r in got) == [(s, i) for s in range(4) for i in range(250)]
+
+
 def test_sharding(spark, odd, docs):
     for frame in (docs, odd):
         got = sharding.shuffled(frame, shards=8, bucket_bytes=64 << 10).collect()

@@ -20,6 +20,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tidegate.llm.common import new_folder, written
 
 BUCKET_BYTES = 16 << 20
+#: Rows of a bucket on average, at most, however short their texts are.
+BUCKET_ROWS = 1 << 17
 SEED = 20_240
 #: Buckets whose counts are summed in one task.
 SPAN = 4_096
@@ -36,6 +38,11 @@ def fisher_yates(n: int, seed: int, bucket: int) -> np.ndarray:
     return np.array(held, np.int64)
 
 
+def bucket_count(rows: int, text: int, bucket_bytes: int = BUCKET_BYTES) -> int:
+    """Buckets for so many rows with so many bytes of text."""
+    return max(1, -(-text // bucket_bytes), -(-rows // BUCKET_ROWS))
+
+
 def bucket_starts(counts: DataFrame) -> DataFrame:
     """(bucket, first): rows in the buckets before; ``counts`` is (bucket, n).  Summed in spans of buckets."""
     spans = counts.withColumn("span", F.floor(F.col("bucket") / SPAN))
@@ -59,7 +66,7 @@ def shuffled(docs: DataFrame, shards: int = 8, seed: int = SEED, bucket_bytes: i
     names = [f"c{i}" for i in range(len(docs.columns))]
     key, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
     size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
-    buckets = max(1, -(-int(size.b or 0) // bucket_bytes))
+    buckets = bucket_count(size.n, int(size.b or 0), bucket_bytes)
     rows = docs.toDF(*names).withColumns({
         "tie": F.xxhash64(text), "bucket": F.pmod(F.xxhash64(F.lit(seed), key, text), F.lit(buckets)).cast("long")})
     starts = written(bucket_starts(written(rows.groupBy("bucket").agg(F.count("*").alias("n")), "counts")), "starts")
