@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegate.llm.common import table
-from tidegate.llm import bpe, decontamination, html_extraction, language_id, near_dedup, quality_classifier, quality_rules, sharding, substring_dedup, token_store
+from tidegate.llm import bpe, decontamination, html_extraction, infilling, language_id, line_dedup, near_dedup
+from tidegate.llm import quality_classifier, quality_rules, resampling, sharding, substring_dedup, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,6 +52,32 @@ reach(doc_id, root) AS (SELECT doc_id, doc_id FROM documents
 SELECT doc_id, min(root) AS class_id, CAST(coalesce(max(n), 0) AS BIGINT) AS n_shingles
 FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id"""
 
+OP12_SQL = r"""WITH texts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (SELECT doc_id, i, ls[i] AS line,
+                 translate(trim(ls[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+          FROM texts, unnest(range(1, len(ls) + 1)) AS t(i)),
+common AS (SELECT key, max(doc_id) AS top FROM lines WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+marked AS (SELECT doc_id, i, line, coalesce(doc_id < top, false) AS gone FROM lines LEFT JOIN common USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id"""
+
+OP13_SQL = r"""WITH texts AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+lines AS (SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS u FROM texts),
+draws AS (SELECT *, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+                 CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM lines),
+cuts AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100
+                     THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM draws),
+parts AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM cuts)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts"""
+
 
 @query("op1_html_extraction")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,3 +138,21 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the documents that are not held out."""
     return language_id.predicted(table(spark, sf_dir, "documents"))
+
+
+@query("op11_importance_resampling")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents, drawn towards the distribution of the benchmark's texts."""
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_line_dedup", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that stay when lines of many documents are kept in the last of them alone."""
+    return line_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op13_infilling", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-middle form of every document and the text rebuilt from it."""
+    return infilling.digests(table(spark, sf_dir, "documents"))
