@@ -55,3 +55,43 @@ def draw_columns(df, rep: str, high: str, low: str, out: str):
     df = df.withColumn("_s", F.col("_x") * F.col("_x") % PRIME)
     df = df.withColumn(out, (F.col("_s") * F.col("_s") % PRIME) * F.col("_x") % PRIME)
     return df.drop("_x", "_s")
+
+
+#: Rounds of the shuffle below; a place stays where it was with probability 2^-ROUNDS.
+ROUNDS = 20
+
+
+def round_keys(key: Column, rounds: int = ROUNDS) -> Column:
+    """Array of one number in [0, PRIME) per round, from a key in that range."""
+    return F.transform(F.sequence(F.lit(1), F.lit(rounds)), lambda r: _fifth_power((key + r * REP_STEP) % PRIME))
+
+
+def shuffled_place(place: Column, n: Column, keys: Column, back: bool = False) -> Column:
+    """Image of ``place`` under a keyed bijection of 0..n-1, for any n up to 2^31; ``back`` gives the inverse.
+
+    Swap-or-not rounds: a key pairs every place with its mirror place, and one bit of a hash of the pair says
+    whether the two change places.  Each round is its own inverse, so the way back takes the keys in reverse.  Only
+    the places that are asked for are computed.
+    """
+    def swap_or_not(x: Column, key: Column) -> Column:
+        mirror = (key % n + n - x) % n
+        pair = (key + F.greatest(x, mirror)) % PRIME
+        return F.when((pair * pair % PRIME) * pair % PRIME % 2 == 1, mirror).otherwise(x)
+
+    return F.aggregate(F.reverse(keys) if back else keys, place.cast("long"), swap_or_not)
+
+
+def round_keys_sql(key: str, rounds: int = ROUNDS) -> str:
+    """The same keys as a SQL expression."""
+    fifth = "(((k * k % {p}) * (k * k % {p})) % {p} * k % {p})".format(p=PRIME)
+    return (f"list_transform(list_transform(range(1, {rounds + 1}), lambda r: ({key} + r * {REP_STEP}) % {PRIME}), "
+            f"lambda k: {fifth})")
+
+
+def shuffled_place_sql(place: str, n: str, keys: str, back: bool = False) -> str:
+    """The same bijection as a SQL expression."""
+    keys = f"list_reverse({keys})" if back else keys
+    mirror = f"((key % {n} + {n} - x) % {n})"
+    pair = f"((key + greatest(x, {mirror})) % {PRIME})"
+    return (f"list_reduce({keys}, lambda x, key: CASE WHEN (({pair} * {pair}) % {PRIME}) * {pair} % {PRIME} % 2 = 1 "
+            f"THEN {mirror} ELSE x END, CAST({place} AS BIGINT))")

@@ -1,8 +1,9 @@
 """Permutation nulls and bootstraps with the replicate as a key column.
 
-Replicates are formed by exploding a replicate number next to the rows; draws
-come from ``functions.draws``.  Row and replicate are only combined where a
-replicate needs every row, and the result is reduced before it is shuffled.
+Replicates are formed by exploding a replicate number; draws come from
+``functions.draws``.  Where a replicate needs a few rows of a day, they are the
+rows at the first places of a keyed shuffle and no other row is touched; row
+and replicate are only combined where a replicate needs every row.
 """
 
 from __future__ import annotations
@@ -13,11 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegate.functions.columns import numbers, ratio, spread_by
-from tidegate.functions.draws import PRIME, draw_columns, key_high, key_low
+from tidegate.functions.draws import PRIME, draw_columns, key_high, key_low, round_keys, shuffled_place
 from tidegate.operators.book import COST_BPS, YEAR, calendar, charge, daily_book, performance
 from tidegate.operators.ranks import SPLIT_ROWS, rank_columns
-
-_LOW = 1 << 28
+from tidegate.session import materialize
 
 
 def _with_draw(rows: DataFrame, reps: int, split_rows: int = SPLIT_ROWS) -> DataFrame:
@@ -38,19 +38,89 @@ def _with_draw(rows: DataFrame, reps: int, split_rows: int = SPLIT_ROWS) -> Data
     return draw_columns(rows, "rep", "_h1", "_h2", "_u")
 
 
-def smallest_draw(rows: DataFrame, reps: int) -> DataFrame:
-    """One uniformly drawn row per (replicate, day).
+def numbered_rows(rows: DataFrame, by: str, order: str, out: str) -> DataFrame:
+    """Rows numbered from 0 within each group, for groups of any size.
+
+    All rows are put in order by ranges and written with the number of their range and their place in it; the sizes of
+    the ranges (one number for each) make these a running number, and a group starts at its smallest.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = materialize(
+        rows.repartitionByRange(parts, by, order).sortWithinPartitions(by, order)
+        .withColumn("_at", F.monotonically_increasing_id())
+        .withColumns({"_range": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND((1 << 33) - 1)}))
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = sizes.select("_range", F.coalesce(F.sum("_size").over(
+        Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    running = placed.join(F.broadcast(before), "_range").withColumn("_at", F.col("_at") + F.col("_before"))
+    starts = running.groupBy(by).agg(F.min("_at").alias("_start"))
+    return running.join(starts, by).withColumn(out, F.col("_at") - F.col("_start")).drop(
+        "_range", "_at", "_before", "_start")
+
+
+def _replicates(days: DataFrame, reps: int) -> DataFrame:
+    """Days times replicates with the keys of each shuffle."""
+    keyed = days.withColumns({"_h1": key_high("date"), "_h2": key_low("date")}).withColumn("rep", numbers(1, reps))
+    return draw_columns(spread_by(keyed, "date", "rep"), "rep", "_h1", "_h2", "_key").withColumn(
+        "_keys", round_keys(F.col("_key"))).drop("_h1", "_h2", "_key")
+
+
+def _picked(days: DataFrame, numbered: DataFrame, indexes: Column) -> DataFrame:
+    """The rows that stand at ``indexes`` of their day, per replicate."""
+    return days.select("rep", "date", F.explode(indexes).alias("_i")).join(numbered, ["date", "_i"]).select(
+        "rep", "date", "ticker", "actual_return")
+
+
+def _place_to_row(place: Column) -> Column:
+    return shuffled_place(place, F.col("_n"), F.col("_keys"))
+
+
+def random_picks(panel: DataFrame, reps: int, k: int = 1) -> DataFrame:
+    """``k`` random rows per replicate and day: the rows at the first places of a keyed shuffle.
+
+    No row is drawn that is not picked; the work is days times replicates times ``k``.
+    """
+    numbered = numbered_rows(panel.select("date", "ticker", "actual_return"), "date", "ticker", "_i")
+    days = _replicates(numbered.groupBy("date").agg(F.count(F.lit(1)).alias("_n")), reps)
+    places = F.sequence(F.lit(0), F.least(F.lit(k), F.col("_n")).cast("int") - 1)
+    return _picked(days, numbered, F.transform(places, _place_to_row))
+
+
+def permuted_top(panel: DataFrame, reps: int, k: int = 1) -> DataFrame:
+    """Top-k names after shuffling scores among the names of each day.
 
-    Draw and row key are packed into one integer, so the draw is a plain hash
-    aggregation of a minimum; only the winners are joined back to their rows.
+    The name at place i of a keyed shuffle receives the i-th largest score, so the top k are those at the first k places,
+    unless scores tie at the boundary: then the first ``above`` places are in, and what is left goes alphabetically to
+    names at the next ``tied`` places.  These are listed where they are few.  Where they are many, names are asked for
+    their places in alphabetical order, first as many as will do in nearly every draw, all only if they did not; so a draw
+    costs about the square root of the day's names at most.
     """
-    rows = rows.select("date", "ticker", "actual_return")
-    won = _with_draw(rows.select("date", "ticker"), reps).groupBy("rep", "date").agg(
-        F.min(F.col("_u") * _LOW + F.col("_h2")).alias("_win"))
-    won = won.withColumns({"_h2": F.col("_win") % _LOW, "_u": F.expr(f"_win div {_LOW}")})
-    keyed = rows.withColumns({"_h1": key_high("date", "ticker"), "_h2": key_low("date", "ticker")})
-    found = draw_columns(won.join(keyed, ["date", "_h2"]), "rep", "_h1", "_h2", "_v")
-    return found.filter(F.col("_u") == F.col("_v")).select("rep", "date", "ticker", "actual_return")
+    scored = panel.select("date", "ticker", "actual_return", F.coalesce("prob", F.lit(float("-inf"))).alias("_s"))
+    numbered = numbered_rows(scored, "date", "ticker", "_i")
+    order = Window.partitionBy("date").orderBy(F.desc("_s"), "_i")
+    edge = numbered.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= k).groupBy("date").agg(
+        F.min("_s").alias("_edge"), F.count(F.lit(1)).alias("_k"))
+    info = numbered.join(edge, "date").groupBy("date").agg(
+        F.first("_k").alias("_k"), F.count(F.lit(1)).alias("_n"), F.count_if(F.col("_s") > F.col("_edge")).alias("_above"),
+        F.count_if(F.col("_s") == F.col("_edge")).alias("_tied"))
+    days = _replicates(info, reps)
+    above, tied, n, m = F.col("_above"), F.col("_tied"), F.col("_n"), F.col("_k") - F.col("_above")
+    open_tie = tied > m
+    first = F.when(open_tie, above).otherwise(F.col("_k")).cast("int")
+    sure = F.when(first > 0, F.transform(F.sequence(F.lit(0), F.greatest(first, F.lit(1)) - 1), _place_to_row)).otherwise(
+        F.array().cast("array<bigint>"))
+    enough = F.least(n, F.ceil(n * (2 * m + 20) / tied))
+
+    def asked(how_many: Column) -> Column:
+        """Names with a tied place among the alphabetically first ones."""
+        place = lambda i: shuffled_place(i, n, F.col("_keys"), back=True)
+        return F.filter(F.sequence(F.lit(0).cast("long"), how_many - 1), lambda i: place(i).between(above, above + tied - 1))
+
+    listed = F.sort_array(F.transform(F.sequence(above, above + tied - 1), _place_to_row))
+    days = days.withColumn("_found", F.when(open_tie, F.when(tied <= enough, listed).otherwise(asked(enough))))
+    days = days.withColumn("_found", F.when(open_tie & (F.size("_found") < m), asked(n)).otherwise(F.col("_found")))
+    among = F.when(open_tie, F.slice("_found", F.lit(1), m.cast("int"))).otherwise(F.array().cast("array<bigint>"))
+    return _picked(days, numbered, F.concat(sure, among))
 
 
 def drawn_positions(rows: DataFrame, reps: int, split_rows: int = SPLIT_ROWS) -> DataFrame:
@@ -74,45 +144,6 @@ def drawn_positions(rows: DataFrame, reps: int, split_rows: int = SPLIT_ROWS) ->
         "_h1", "_h2", "_u", "_parts", "_part", "_in", "_below")
 
 
-def random_picks(panel: DataFrame, reps: int, k: int = 1) -> DataFrame:
-    """``k`` random rows per replicate and day."""
-    if k == 1:
-        return smallest_draw(panel, reps)
-    rows = _with_draw(panel.select("date", "ticker", "actual_return"), reps)
-    order = Window.partitionBy("rep", "date").orderBy("_u", "_h2", "ticker")
-    return rows.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= k).select(
-        "rep", "date", "ticker", "actual_return")
-
-
-def permuted_top(panel: DataFrame, reps: int, k: int = 1) -> DataFrame:
-    """Top-k names after shuffling scores among the names of each day.
-
-    The i-th name in random order receives the i-th largest score, so the top k
-    are the first k of that order, unless scores tie at the boundary: then the
-    first ``above`` names are in, and the remaining places go alphabetically
-    among the next ``tied`` ones.
-    """
-    rows = panel.select("date", "ticker", "prob", "actual_return")
-    order = Window.partitionBy("date").orderBy(F.desc("prob"), "ticker")
-    edge = rows.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= k).groupBy("date").agg(
-        F.min("prob").alias("_edge"), F.count(F.lit(1)).alias("_k"))
-    marked = rows.join(edge, "date")
-    info = marked.groupBy("date").agg(
-        F.first("_k").alias("_k"), F.sum((F.col("prob") > F.col("_edge")).cast("long")).alias("_above"),
-        F.sum((F.col("prob") == F.col("_edge")).cast("long")).alias("_tied"))
-    rows = rows.drop("prob").join(info, "date")
-    open_tie = F.col("_tied") > F.col("_k") - F.col("_above")
-    clear = random_picks(rows.filter(~open_tie), reps, k)
-    placed = drawn_positions(rows.filter(open_tie), reps).filter(
-        F.col("position") <= F.col("_above") + F.col("_tied"))
-    sure = placed.filter(F.col("position") <= F.col("_above"))
-    among = placed.filter(F.col("position") > F.col("_above")).withColumn(
-        "_rn", F.row_number().over(Window.partitionBy("rep", "date").orderBy("ticker"))
-    ).filter((F.col("_rn") <= k) & (F.col("_rn") <= F.col("_k") - F.col("_above")))
-    cols = ["rep", "date", "ticker", "actual_return"]
-    return clear.select(*cols).unionByName(sure.select(*cols)).unionByName(among.select(*cols))
-
-
 def replicate_metrics(picks: DataFrame, panel: DataFrame, reps: int, k: int = 1,
                       cost_bps: float = COST_BPS) -> DataFrame:
     """Metrics of an equally weighted book of the picks, one row per replicate."""
@@ -185,7 +216,7 @@ def random_baseline(panel: DataFrame, reps: int = 100, k: int = 1, cost_bps: flo
 
 def random_day_returns(panel: DataFrame, reps: int = 50, cost_bps: float = COST_BPS) -> DataFrame:
     """Mean over random single-name draws per day, each built up from cash."""
-    picks = smallest_draw(panel, reps)
+    picks = random_picks(panel, reps)
     return picks.groupBy("date").agg(
         F.avg(F.coalesce("actual_return", F.lit(0.0)) - cost_bps / 10000.0).alias("net_return"))
 
@@ -201,12 +232,18 @@ def permuted_ic(panel: DataFrame, score: str = "prob", realised: str = "actual_r
     days = rows.groupBy("date").agg(
         F.count(F.lit(1)).alias("_n"), F.var_pop("_rs").alias("_vs"), F.var_pop("_rr").alias("_vr"),
         F.var_pop("_s").alias("_rawS"), F.var_pop("_r").alias("_rawR"))
-    placed = drawn_positions(rows.select("date", "ticker", "_rr"), reps)
-    # the i-th name in random order receives the i-th largest score
-    slots = _score_slots(rows)
-    sums = placed.join(slots, ["date", "position"]).groupBy("rep", "date").agg(
-        F.sum(F.col("_rr") * F.col("_slot")).alias("_xy"))
-    d = sums.join(days, "date")
+    held = rows.groupBy("date", "_rs").agg(F.count(F.lit(1)).alias("_c"))
+    tied = held.groupBy("date").agg((F.max("_c") > 1).alias("_ties"))
+    rows = rows.select("date", "ticker", "_rr").join(tied, "date")
+    # the i-th name in random order receives the i-th largest score: without ties its rank is n + 1 - i, and the day's
+    # sum follows from the places; only on days with ties are the ranks of tied places looked up
+    clear = drawn_positions(rows.filter(~F.col("_ties")), reps).groupBy("rep", "date").agg(
+        F.sum(F.col("_rr") * F.col("position")).alias("_xp")).join(days, "date").withColumn(
+        "_xy", F.col("_n") * (F.col("_n") + 1) * (F.col("_n") + 1) / 2 - F.col("_xp")).drop("_xp")
+    slots = _score_slots(held.join(tied.filter("_ties"), "date"), days)
+    mixed = drawn_positions(rows.filter("_ties"), reps).join(slots, ["date", "position"]).groupBy("rep", "date").agg(
+        F.sum(F.col("_rr") * F.col("_slot")).alias("_xy")).join(days, "date")
+    d = clear.unionByName(mixed.select(*clear.columns))
     mid = (F.col("_n") + 1) / 2
     flat = (F.col("_rawS") < 1e-12) | (F.col("_rawR") < 1e-12)
     rho = F.try_divide(F.col("_xy") / F.col("_n") - mid * mid, F.sqrt(F.col("_vs") * F.col("_vr")))
@@ -214,12 +251,10 @@ def permuted_ic(panel: DataFrame, score: str = "prob", realised: str = "actual_r
     return d.groupBy("rep").agg(F.avg(ic).alias("null_mean_ic"))
 
 
-def _score_slots(rows: DataFrame) -> DataFrame:
+def _score_slots(held: DataFrame, days: DataFrame) -> DataFrame:
     """Rank held by the i-th largest score of each day, ties spelled out."""
-    held = rows.groupBy("date", "_rs").agg(F.count(F.lit(1)).alias("_c"))
-    sizes = rows.groupBy("date").agg(F.count(F.lit(1)).alias("_n"))
     first = (F.col("_n") - F.col("_rs") - (F.col("_c") - 1) / 2 + 1).cast("long")
-    return held.join(sizes, "date").select(
+    return held.join(days.select("date", "_n"), "date").select(
         "date", F.explode(F.sequence(first, first + F.col("_c") - 1)).alias("position"),
         F.col("_rs").alias("_slot"))
 

@@ -16,8 +16,8 @@ from tidegate.operators.resample import (
 )
 from tidegate.plans.base import OOS_SQL, out_of_sample, panel, rounded, sig_sql, significant, sql
 from tidegate.plans.registry import query
-from tidegate.plans.signals import KEYED_SQL, OOS_IC_SQL, drawn_sql, hac_sql, normal_sf_sql, student_sf_sql
-from tidegate.functions.draws import draw_sql
+from tidegate.plans.signals import OOS_IC_SQL, hac_sql, normal_sf_sql, student_sf_sql
+from tidegate.functions.draws import draw_sql, round_keys_sql, shuffled_place_sql
 from tidegate.session import materialize
 
 TOP1 = bk.Strategy("TopK1", "topk", 1)
@@ -231,10 +231,34 @@ def return_matrix(spark, sf):
     return rounded(bk.return_matrix(out_of_sample(spark, sf), MATRIX), 8)
 
 
-@query("random_day_returns", sql(OOS_SQL + KEYED_SQL + f""",
-dr AS (SELECT rep, date, actual_return FROM (SELECT *, {draw_sql('rep', 'h1', 'h2')} AS u FROM keyed, (SELECT unnest(range(1, 51)) AS rep))
-       QUALIFY row_number() OVER (PARTITION BY rep, date ORDER BY u, h2, ticker) = 1)""", f"""
-SELECT date, {_r('avg(actual_return - 5 / 10000.0::DOUBLE)', 8, 'net_return')} FROM dr GROUP BY date"""))
+def places_sql(reps: int) -> str:
+    """Days times replicates with the keys of each shuffle, and a day's names numbered in alphabetical order."""
+    h1, h2 = (f"CAST('0x' || substr(md5(CAST(date AS VARCHAR)), {i}, 7) AS BIGINT)" for i in (1, 8))
+    return f""",
+named AS (SELECT date, ticker, actual_return, row_number() OVER (PARTITION BY date ORDER BY ticker) - 1 AS i FROM oos),
+sized AS (SELECT date, count(*) AS n, {h1} AS h1, {h2} AS h2 FROM oos GROUP BY date),
+drawn_days AS (SELECT rep, date, n, {draw_sql('rep', 'h1', 'h2')} AS key FROM sized, (SELECT unnest(range(1, {reps} + 1)) AS rep)),
+keyed_days AS (SELECT rep, date, n, {round_keys_sql('key')} AS keys FROM drawn_days)"""
+
+
+def random_picks_sql(reps: int) -> str:
+    return places_sql(reps) + f""",
+first_place AS (SELECT rep, date, {shuffled_place_sql('0', 'n', 'keys')} AS i FROM keyed_days),
+picks AS (SELECT rep, date, ticker, actual_return FROM first_place JOIN named USING (date, i))"""
+
+
+def permuted_sql(reps: int, k: int) -> str:
+    """The name at each place of the shuffle gets the score of that rank; the best k are taken, in alphabetical order among equals."""
+    return places_sql(reps) + f""",
+ranks AS (SELECT date, prob, row_number() OVER (PARTITION BY date ORDER BY prob DESC) - 1 AS place FROM oos),
+slots AS (SELECT ranks.* FROM ranks JOIN (SELECT date, min(prob) AS edge FROM ranks WHERE place < {k} GROUP BY date) USING (date) WHERE prob >= edge),
+moved AS (SELECT rep, date, prob, {shuffled_place_sql('place', 'n', 'keys')} AS i FROM keyed_days JOIN slots USING (date)),
+picks AS (SELECT rep, date, ticker, actual_return FROM moved JOIN named USING (date, i)
+          QUALIFY row_number() OVER (PARTITION BY rep, date ORDER BY prob DESC, ticker) <= {k})"""
+
+
+@query("random_day_returns", sql(OOS_SQL + random_picks_sql(50), f"""
+SELECT date, {_r('avg(actual_return - 5 / 10000.0::DOUBLE)', 8, 'net_return')} FROM picks GROUP BY date"""))
 def q_random_day_returns(spark, sf):
     return rounded(random_day_returns(out_of_sample(spark, sf), 50), 8)
 
@@ -246,17 +270,14 @@ repd AS (SELECT rep, date, actual_return AS gross_return, 1 AS n_positions,
 repn AS (SELECT *, turnover * 5.0::DOUBLE / 10000 AS cost, gross_return - turnover * 5.0::DOUBLE / 10000 AS net_return FROM repd)"""
 
 
-@query("random_baseline", sql(OOS_SQL + drawn_sql(100) + """,
-picks AS (SELECT * FROM drawn WHERE pos = 1)""" + REP_SQL + metrics_sql("rep", "repn"), f"""
+@query("random_baseline", sql(OOS_SQL + random_picks_sql(100) + REP_SQL + metrics_sql("rep", "repn"), f"""
 SELECT {', '.join(sig_sql(f'avg({c})', c) for c in (*METRICS, 'n_trades'))} FROM met"""))
 def q_random_baseline(spark, sf):
     """Numeric metrics averaged over 100 random single-name books."""
     return significant(random_baseline(out_of_sample(spark, sf), 100).select(*METRICS, "n_trades"))
 
 
-PERM_SQL = OOS_SQL + drawn_sql(1000) + """,
-picks AS (SELECT * FROM shuffled QUALIFY row_number() OVER (PARTITION BY rep, date ORDER BY prob DESC, ticker) = 1)""" + REP_SQL \
-    + metrics_sql("rep", "repn")
+PERM_SQL = OOS_SQL + permuted_sql(1000, 1) + REP_SQL + metrics_sql("rep", "repn")
 
 
 def permutation_null(spark: SparkSession, sf: str, reps: int = 1000) -> DataFrame:
@@ -286,8 +307,8 @@ def perm_sharpe(spark, sf):
 TOP2 = bk.Strategy("TopK2", "topk", 2)
 
 
-@query("perm_sharpe_top2", sql(OOS_SQL + drawn_sql(1000) + """,
-pk AS (SELECT * FROM shuffled QUALIFY row_number() OVER (PARTITION BY rep, date ORDER BY prob DESC, ticker) <= 2),
+@query("perm_sharpe_top2", sql(OOS_SQL + permuted_sql(1000, 2) + """,
+pk AS (SELECT * FROM picks),
 w AS (SELECT rep, 'null' AS strategy, date, ticker, actual_return, 1.0::DOUBLE / count(*) OVER (PARTITION BY rep, date) AS w FROM pk),
 src AS (SELECT DISTINCT rep, date FROM pk)""" + daily_sql("src", [bk.Strategy("null", "topk")], ["rep"]) + metrics_sql("rep"), f"""
 SELECT rep, {sig_sql('sharpe_ratio', 'null_sharpe')} FROM met"""))
