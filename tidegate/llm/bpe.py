@@ -1,13 +1,16 @@
 """Byte-level BPE with the tiktoken library and a local rank file.
 
-A long text is cut before it is encoded, only where no match of the split pattern can span the cut: between a letter or
-digit and a space.  No match holds a space after something else than white space, and what follows the cut is matched as
-it would be without it, so the ids are those of the whole text.
+A long text is cut before it is encoded, only where no match of the split pattern can span the cut.  No match holds white
+space after something else than white space, and what follows a cut is matched as it would be without it, so the ids are
+those of the whole text.  Cuts are made between a letter or digit and a space, and around long runs of white space, which
+the library's pattern engine cannot step back through: such a run is one match, without its last character where something
+other than white space follows, and is encoded as one.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
@@ -22,6 +25,9 @@ from tidegate.llm.words import blocks
 
 #: Characters of a text that are encoded at once, if there is a place to cut.
 PIECE_CHARS = 1 << 16
+#: The engine's white space, and runs of it that are encoded as one match.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LONG_RUN = re.compile(f"[{SPACES}]{{{PIECE_CHARS >> 2},}}")
 
 
 @lru_cache(maxsize=4)
@@ -31,6 +37,12 @@ def encoding(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=4)
+def undivided(enc: tiktoken.Encoding) -> tiktoken.Encoding:
+    """The same merges for a text that is one match."""
+    return tiktoken.Encoding("undivided", pat_str=r"(?s:.+)", mergeable_ranks=enc._mergeable_ranks, special_tokens={})
+
+
 def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
     start = 0
     while len(text) - start > size:
@@ -50,7 +62,12 @@ def encode_text(enc: tiktoken.Encoding, text: str | None) -> list[int]:
         return []
     if len(text) <= PIECE_CHARS:
         return enc.encode_ordinary(text)
-    return [i for piece in pieces(text) for i in enc.encode_ordinary(piece)]
+    ids, start = [], 0
+    for run in _LONG_RUN.finditer(text):
+        ids += [i for piece in pieces(text[start: run.start()]) for i in enc.encode_ordinary(piece)]
+        start = run.end() - (run.end() < len(text))
+        ids += undivided(enc).encode_ordinary(text[run.start(): start])
+    return ids + [i for piece in pieces(text[start:]) for i in enc.encode_ordinary(piece)]
 
 
 def encoder(path: str, pattern: str):
@@ -73,13 +90,20 @@ def decoder(path: str, pattern: str):
 
 
 def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``docs`` with ``ids`` (unsigned 32-bit, little-endian) and ``n_tokens``; columns of these names are replaced."""
+    """``docs`` with ``ids`` (unsigned 32-bit, little-endian) and ``n_tokens``; columns of these names are replaced.
+
+    A null or empty text has no ids.  Rows are treated one by one, so repeated rows get equal ids; there are no ties.
+    """
     return docs.withColumn("ids", encoder(path, pattern)("text")).withColumn(
         "n_tokens", (F.octet_length("ids") / 4).cast("long"))
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each row: encode, then decode the ids."""
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each row: encode, then decode the ids.
+
+    A null or empty text has no tokens and the digests of nothing.  Rows are treated one by one, whatever their ids; an
+    empty table gives an empty result, and other columns play no part.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path, pattern)
         for batch in batches:

@@ -9,6 +9,8 @@ from html import unescape
 #: Elements whose content is no text of the page.
 RAW = ("script", "style", "template", "noscript", "iframe", "object", "svg", "math", "canvas", "head", "select", "textarea",
        "button")
+#: Of these, the ones that hold text up to their end tag whatever it looks like; a missing end tag takes the rest of the page.
+SWALLOWING = frozenset("script style iframe textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
@@ -22,7 +24,8 @@ _P_CLOSERS = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr "
     "main menu nav ol p pre section table ul".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S)
+#: A quote counts after an equals sign only.
+_TAG = re.compile(r"""<!--(?:-?>|.*?(?:-->|\Z))|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)>""", re.S)
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 
 
@@ -40,15 +43,46 @@ def _entry(tag: str, attributes: str) -> str:
     return " ".join([tag, *found]) if found else tag
 
 
+class Ends:
+    """Where the elements of a page end whose content is left out."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.last: dict[str, int] = {}   # start of the last end tag
+
+    def after(self, tag: str, at: int) -> int | None:
+        """The place after the end tag of an element whose start tag ends at ``at``; None without one."""
+        if tag == "head":
+            m = re.compile(r"</head\s*>|(?=<body\b)", re.I).search(self.html, at)
+            return m.end() if m else at
+        if tag not in self.last:
+            self.last[tag] = max((m.start() for m in re.finditer(rf"</{tag}\s*>", self.html, re.I)), default=-1)
+        if self.last[tag] < at:
+            return len(self.html) if tag in SWALLOWING else None
+        depth = 1
+        for m in re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*>", re.I).finditer(self.html, at):
+            if m[1]:
+                depth -= 1
+            elif tag not in SWALLOWING and not m[0].endswith("/>"):
+                depth += 1
+            if depth == 0:
+                return m.end()
+        # an inner element of this kind is not closed: the first end tag closes this one
+        return re.compile(rf"</{tag}\s*>", re.I).search(self.html, at).end()
+
+
 def blocks_of(html: str | None) -> list[Block]:
     """Blocks with text: runs of text between starts and ends of elements that are not inline.
 
     Character references are decoded, white space is one space and trimmed at the ends.  Comments, declarations and the
-    content of ``RAW`` elements are left out; what is not closed is closed by its parent or the end of the page.
+    content of ``RAW`` elements are left out, elements of the same kind inside them included; what is not closed is closed by
+    its parent or the end of the page, and of a ``RAW`` element without end tag only the tag is left out, unless it is
+    ``SWALLOWING``.
     """
     out: list[Block] = []
     if not html:
         return out
+    ends = Ends(html)
     stack: list[str] = []       # tags
     path: list[str] = []        # entries
     parts: list[str] = []
@@ -99,8 +133,7 @@ def blocks_of(html: str | None) -> list[Block]:
                 flush()
             if m[3].endswith("/"):
                 continue
-            finish = re.compile(rf"</{tag}\s*>" if tag != "head" else r"</head\s*>|(?=<body\b)", re.I).search(html, at)
-            at = finish.end() if finish else (at if tag == "head" else len(html))
+            at = ends.after(tag, at) or at
             continue
         if tag in VOID or m[3].endswith("/"):
             if tag not in INLINE:
@@ -109,11 +142,11 @@ def blocks_of(html: str | None) -> list[Block]:
         if tag in _P_CLOSERS and "p" in stack:
             close(len(stack) - 1 - stack[::-1].index("p"))
         if tag in CLOSES:
-            ends, fence = CLOSES[tag]
+            closed, fence = CLOSES[tag]
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i] in fence:
                     break
-                if stack[i] in ends:
+                if stack[i] in closed:
                     close(i)
                     break
         if tag not in INLINE:

@@ -27,6 +27,8 @@ from tidegate.llm.html_blocks import Block, blocks_of
 from tidegate.llm.words import blocks, words_of
 
 SAMPLE_PAGES = 200
+#: Characters of each of them that lend texts; a bound of the training sample alone.
+SAMPLE_CHARS = 65_536
 TRAIN_PAGES = 800
 PATH_CELLS, LEAF_CELLS, WORD_CELLS, NUMBERS = 160, 32, 24, 7
 INPUTS = PATH_CELLS + LEAF_CELLS + WORD_CELLS + NUMBERS
@@ -312,13 +314,15 @@ class PageMaker:
         return out
 
 
-def train(pages: DataFrame, sample: int = SAMPLE_PAGES) -> Lstm:
-    """Fit on pages made of block texts of the ``sample`` pages with the smallest hash of id and url."""
-    h = F.xxhash64("page_id", "url")
-    chosen = pages.filter("html is not null").select(h.alias("h")).orderBy("h").limit(sample).distinct()
-    # a bounded number of pages, 64 Ki characters of each
-    rows = pages.select(h.alias("h"), F.substring("html", 1, 65_536).alias("html")).join(F.broadcast(chosen), "h").filter(
-        "html is not null").collect()
+def train(pages: DataFrame, sample: int = SAMPLE_PAGES, chars: int = SAMPLE_CHARS) -> Lstm:
+    """Fit on pages made of block texts of the ``sample`` pages with the smallest hash of the row.
+
+    Pages that repeat count once.  What comes to the driver is at most ``chars`` characters of each of them.
+    """
+    h = F.xxhash64("page_id", "url", "html")
+    chosen = pages.filter("html is not null").groupBy(h.alias("h")).agg(F.lit(1)).select("h").orderBy("h").limit(sample)
+    rows = pages.filter("html is not null").select(h.alias("h"), F.substring("html", 1, chars).alias("html")).join(
+        F.broadcast(chosen), "h").dropDuplicates(["h"]).collect()
     texts = [b.text for r in sorted(rows, key=lambda r: (r.h, r.html)) for b in blocks_of(r.html)]
     return Lstm().fit(PageMaker(texts).labelled(TRAIN_PAGES))
 
@@ -338,13 +342,14 @@ def main_texts(htmls: list[str | None], net: Lstm) -> list[str]:
     return out
 
 
-def extracted(pages: DataFrame, sample: int = SAMPLE_PAGES) -> DataFrame:
+def extracted(pages: DataFrame, sample: int = SAMPLE_PAGES, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
     """``page_id, url, text, n_chars`` of each row.
 
+    ``sample`` pages, of each at most ``sample_chars`` characters, lend texts for training; all pages are read whole.
     A null or empty page, and one without an article block, has an empty text.  Ids and urls play no part in a page's
     text (only in which pages lend texts for training); equal pages get equal texts.  Other columns play no part.
     """
-    net = train(pages, sample)
+    net = train(pages, sample, sample_chars)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

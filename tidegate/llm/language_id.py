@@ -3,7 +3,7 @@
 Features are hashed byte trigrams of the whole text, with ASCII capitals as small letters and ASCII marks as white space.
 A family is chosen by one-versus-rest machines; within a family every pair of languages has a machine, and the language
 with most wins (then the largest sum of margins, then the first name) is the answer.  Weights are fitted on at most
-``SAMPLE`` documents of each language (those with the smallest hash of the id), which is all that is brought together.
+``SAMPLE`` documents of each language (those with the smallest hash of id and text), which is all that is brought together.
 """
 
 from __future__ import annotations
@@ -114,27 +114,23 @@ def held_out() -> F.Column:
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Machines for the languages of the learning documents (known id, text and language, not held out)."""
-    known = docs.select("doc_id", "text", "lang").filter(
+    known = docs.select("doc_id", "text", "lang", F.xxhash64("doc_id", "text").alias("h")).filter(
         "doc_id is not null and text is not null and lang is not null").filter(~held_out())
-    ids = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    # one row for each language; ids whose hash is too large to be among the smallest drop out before the ranking
-    shares = ids.groupBy("lang").agg(F.count("*").alias("n"))
-    near = ids.join(F.broadcast(shares), "lang").filter(
-        F.pmod(F.shiftrightunsigned("h", 1), F.lit(1 << 30)) * F.col("n") <= F.lit((1 << 30) * (2 * sample + 100)))
-    order = Window.partitionBy("lang").orderBy(F.pmod(F.shiftrightunsigned("h", 1), F.lit(1 << 30)), "h", "doc_id")
-    chosen = near.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= sample).select("doc_id", "lang")
+    # rows that repeat count once; each task passes on no more than the sample of each language
+    order = Window.partitionBy("lang").orderBy("h")
+    chosen = known.groupBy("lang", "h").agg(F.lit(1)).withColumn("k", F.row_number().over(order)).filter(
+        F.col("k") <= sample).select("lang", "h")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch):
                 table = [x.astype(np.int32) for x in ngrams.counts(*_features(block.column("text")))]
                 yield pa.RecordBatch.from_arrays(
-                    [block.column("doc_id"), block.column("lang"), pa.array([x.tobytes() for x in table], pa.binary())],
-                    names=["doc_id", "lang", "counts"])
+                    [block.column("h"), block.column("lang"), pa.array([x.tobytes() for x in table], pa.binary())],
+                    names=["h", "lang", "counts"])
 
-    got = known.join(F.broadcast(chosen), ["doc_id", "lang"]).mapInArrow(
-        describe, "doc_id long, lang string, counts binary").toArrow().sort_by(
-        [("lang", "ascending"), ("doc_id", "ascending"), ("counts", "ascending")])
+    got = known.select("h", "lang", "text").join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"]).mapInArrow(
+        describe, "h long, lang string, counts binary").toArrow().sort_by([("lang", "ascending"), ("h", "ascending")])
     names = got.column("lang").to_pylist()
     model = Model(sorted(set(names)))
     if not names:

@@ -124,9 +124,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = band_keys(signatures(*counted(row, h), block.num_rows, BANDS * ROWS), BANDS, ROWS)
             keys = keys[n > 0]
             yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id"), pa.array(n), pa.array(bag, pa.binary()),
+                [block.column("doc_id"), block.column("k"), pa.array(n), pa.array(bag, pa.binary()),
                  list_array(signed(keys.ravel()), np.where(n > 0, BANDS, 0), pa.int64())],
-                names=["doc_id", "n", "bag", "keys"])
+                names=["doc_id", "k", "n", "bag", "keys"])
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,8 +136,8 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.bincount(row, minlength=block.num_rows)
             end = np.cumsum(n)
             yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id"), pa.array([h[e - k: e].tobytes() for e, k in zip(end.tolist(), n.tolist())],
-                                                  pa.binary())], names=["doc_id", "bag"])
+                [block.column("node"), pa.array([h[e - k: e].tobytes() for e, k in zip(end.tolist(), n.tolist())],
+                                                pa.binary())], names=["node", "bag"])
 
 
 class Bags:
@@ -197,13 +197,13 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rest: list[pa.RecordBatch] = []
 
     def links(table: pa.Table) -> pa.RecordBatch:
-        cols = {c: table.column(c).to_numpy() for c in ("key", "i", "j", "doc_id", "root", "block")}
+        cols = {c: table.column(c).to_numpy() for c in ("key", "i", "j", "node", "root", "block")}
         edge = np.ones(table.num_rows, bool)
         edge[1:] = (np.diff(cols["key"]) != 0) | (np.diff(cols["i"]) != 0) | (np.diff(cols["j"]) != 0)
         starts = np.append(np.flatnonzero(edge), table.num_rows)
         bags = Bags(table.column("bag"))
         found = {p for s, e in zip(starts[:-1].tolist(), starts[1:].tolist())
-                 for p in _links(*(cols[c][s:e] for c in ("doc_id", "root", "block")), bags, s)}
+                 for p in _links(*(cols[c][s:e] for c in ("node", "root", "block")), bags, s)}
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     for batch in batches:
@@ -245,8 +245,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     return written(
-        pairs.join(bags.select(F.col("doc_id").alias("a"), F.col("bag").alias("bag_a")), "a")
-        .join(bags.select(F.col("doc_id").alias("b"), F.col("bag").alias("bag_b")), "b")
+        pairs.join(bags.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a")
+        .join(bags.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b")
         .select("a", "b", "bag_a", "bag_b").mapInArrow(_compare, "a long, b long"), "edges")
 
 
@@ -255,42 +255,50 @@ def classes(docs: DataFrame) -> DataFrame:
 
     A class is a connected component of links between texts whose shingle multisets have a Jaccard similarity of 0.8 or
     more.  Null and empty texts have no shingles and stand alone; texts of one to four words are alike only if their
-    words are equal.  Rows with a null id get a null class and link to nothing.  Rows with one id are one document.
-    Other columns play no part.
+    words are equal.  Rows with a null id get a null class and link to nothing.  Rows with one id are one document, which
+    links to whatever one of its texts links to.  Other columns play no part.
     """
-    source = docs.select("doc_id", "text")
-    sketches = written(source.mapInArrow(_sketch, "doc_id long, n long, bag binary, keys array<long>"), "sketches")
+    source = docs.select("doc_id", "text", F.xxhash64("text").alias("k"))
+    sketches = written(source.mapInArrow(_sketch, "doc_id long, k long, n long, bag binary, keys array<long>"), "sketches")
     known = sketches.filter("doc_id is not null and n > 0")
-    # rows of one multiset have one size and one signature
-    heads = written(known.groupBy("bag").agg(
-        F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.first("n").alias("n"),
-        F.first("keys").alias("keys")), "heads")
+    # rows of one multiset have one size and one signature; its node is its smallest id, if that is no other multiset's
+    heads = known.groupBy("bag").agg(
+        F.min(F.struct("doc_id", "k")).alias("l"), F.max("doc_id").alias("last"), F.first("n").alias("n"),
+        F.first("keys").alias("keys")).select("bag", "l.doc_id", "l.k", "last", "n", "keys")
+    heads = written(heads, "multisets")
+    several = written(heads.groupBy("doc_id").agg(F.count("*").alias("texts")).filter("texts > 1").select("doc_id"), "several")
+    heads = written(heads.join(several.withColumn("shared", F.lit(True)), "doc_id", "left").withColumn(
+        "node", F.when(F.col("shared"), F.xxhash64("bag")).otherwise(F.col("doc_id"))).drop("shared"), "heads")
     copies = known.select("bag", F.col("doc_id").alias("b")).join(
         heads.filter("doc_id < last").select("bag", F.col("doc_id").alias("a")), "bag").filter("a <> b").select("a", "b")
-    members = heads.select(F.explode("keys").alias("key"), "doc_id", "n")
+    members = heads.select(F.explode("keys").alias("key"), "node", "doc_id", "k", "n")
     full = written(members.groupBy("key").agg(
-        F.min(F.struct("doc_id", "n")).alias("l"), F.max("doc_id").alias("last")).filter("l.doc_id < last").select(
-        "key", F.col("l.doc_id").alias("leader"), F.col("l.n").alias("m")), "full")
+        F.min(F.struct("node", "n")).alias("l"), F.max("node").alias("last")).filter("l.node < last").select(
+        "key", F.col("l.node").alias("leader"), F.col("l.n").alias("m")), "full")
     buckets = written(members.join(full, "key"), "buckets")
-    bags = written(source.join(buckets.select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(
-        _bags, "doc_id long, bag binary"), "bags")
+    bags = written(source.join(buckets.select("node", "doc_id", "k").distinct(), ["doc_id", "k"]).dropDuplicates(["node"])
+                   .mapInArrow(_bags, "node long, bag binary"), "bags")
     sizes = f"least(n, m) * {SIMILAR[1]} >= greatest(n, m) * {SIMILAR[0]}"
-    tried = written(buckets.filter("doc_id <> leader").filter(sizes).select(
-        F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct(), "tried")
+    tried = written(buckets.filter("node <> leader").filter(sizes).select(
+        F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "tried")
     edges = _verified(tried, bags)
-    rooted = written(buckets.select("key", "doc_id", "n").join(
-        components(edges).select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn(
-        "root", F.coalesce("root", "doc_id")), "rooted")
+    rooted = written(buckets.select("key", "node", "n").join(components(edges), "node", "left").withColumn(
+        "root", F.coalesce("root", "node")), "rooted")
     mixed = written(rooted.groupBy("key").agg(
         F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"), F.sum("n").alias("total")).filter(
         "low < high").select("key", F.greatest(F.ceil(F.col("size") / BLOCK_ROWS), F.ceil(F.col("total") * 8 / BLOCK_BYTES))
                              .alias("blocks")), "mixed")
-    dealt = rooted.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).withColumn(
+    dealt = rooted.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn(
         "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "root", "block")
-    crossed = written(dealt.join(bags, "doc_id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(
+        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "root", "block")
+    crossed = written(dealt.join(bags, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(
         _cross, "a long, b long"), "crossed")
     edges = edges.unionByName(crossed)
+    ids = heads.join(several, "doc_id", "left_semi").select("node", "doc_id")
+    for end in ("a", "b"):  # nodes of ids with several texts lead back to the id
+        edges = edges.join(ids.withColumnsRenamed({"node": end, "doc_id": "id"}), end, "left").withColumn(
+            end, F.coalesce("id", end)).drop("id")
+    edges = edges.select("a", "b").filter("a <> b")
     roots = components(edges.unionByName(copies))
     return sketches.join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").select(
         "doc_id", F.coalesce("root", "doc_id").alias("class_id"), F.col("n").alias("n_shingles"))

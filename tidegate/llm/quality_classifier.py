@@ -140,8 +140,8 @@ def classified(docs: DataFrame, sample: int = SAMPLE, keep: float = KEEP) -> Dat
     if all(len(x) for x in leaning):
         ids = source.filter("known")
         picked = reduce(DataFrame.unionByName, [
-            ids.filter(_among("pattern", x)).select("h", "pattern").orderBy("h").limit(sample)
-            for x in leaning]).distinct()
+            ids.filter(_among("pattern", x)).groupBy("h", "pattern").agg(F.lit(1)).select("h", "pattern").orderBy("h").limit(sample)
+            for x in leaning])
 
         def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -153,7 +153,7 @@ def classified(docs: DataFrame, sample: int = SAMPLE, keep: float = KEEP) -> Dat
                         names=["h", "pattern", "counts"])
 
         got = docs.select(F.xxhash64("doc_id", "text").alias("h"), "text").join(F.broadcast(picked), "h").select(
-            "h", "pattern", "text").mapInArrow(describe, "h long, pattern long, counts binary").toArrow().sort_by("h")
+            "h", "pattern", "text").dropDuplicates(["h"]).mapInArrow(describe, "h long, pattern long, counts binary").toArrow().sort_by("h")
         rows = np.stack([np.frombuffer(x.as_buffer(), np.int32) for x in got.column("counts")]).astype(np.float32)
         rows /= np.maximum(rows.sum(axis=1, keepdims=True), 1)
         target = posterior[np.searchsorted(patterns, got.column("pattern").to_numpy())]

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegate.llm.common import list_array
@@ -213,15 +213,20 @@ def fit(features: np.ndarray, row: np.ndarray, label: np.ndarray, rounds: int =
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
-    """Fit on at most ``sample`` documents of each quality label; without labelled lines of both kinds, the prior."""
+    """Fit on at most ``sample`` documents of each quality label; without labelled lines of both kinds, the prior.
+
+    Rows that repeat count once, and of an id with several texts each is a document, so that no more rows than that are
+    brought together whatever the ids.
+    """
     known = labels.filter("doc_id is not null and quality is not null")
     chosen = None
     for value in (0, 1):
         part = known.filter(F.col("quality") == value).select("doc_id", "quality").distinct().orderBy(
             F.xxhash64("doc_id"), "doc_id").limit(sample)
         chosen = part if chosen is None else chosen.unionByName(part)
-    # at most 2 * sample rows of two numbers
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+    # at most 2 * sample rows of two numbers are broadcast
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h")).join(
+        F.broadcast(chosen), "doc_id").select("h", "quality", "text")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,12 +236,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
                 place = np.arange(len(lines.row)) - np.repeat(np.cumsum(n) - n, n)
                 table = lines.features[place < FIT_LINES]
                 yield pa.RecordBatch.from_arrays(
-                    [block.column("doc_id"), block.column("quality"), pa.array(np.minimum(n, FIT_LINES)),
+                    [block.column("h"), block.column("quality"), pa.array(np.minimum(n, FIT_LINES)),
                      list_array(table.ravel(), np.minimum(n, FIT_LINES) * len(FEATURES), pa.float64())],
-                    names=["doc_id", "quality", "n", "features"])
+                    names=["h", "quality", "n", "features"])
 
-    got = rows.mapInArrow(describe, "doc_id long, quality int, n long, features array<double>").filter(
-        "n > 0").toArrow().sort_by([("doc_id", "ascending"), ("n", "ascending")])
+    lines = rows.mapInArrow(describe, "h long, quality int, n long, features array<double>").filter("n > 0").groupBy(
+        "quality", "h").agg(F.first("n").alias("n"), F.first("features").alias("features"))
+    first = F.row_number().over(Window.partitionBy("quality").orderBy("h"))
+    got = lines.withColumn("place", first).filter(F.col("place") <= sample).select("h", "quality", "n", "features").toArrow().sort_by(
+        [("h", "ascending"), ("quality", "ascending")])
     if not got.num_rows:
         return prior()
     n = got.column("n").to_numpy()

@@ -47,9 +47,7 @@ CACHE_WORDS = 1_500_000
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> Tokenizer:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True  # their strings in a text are ordinary text
-    return found
+    return Tokenizer.from_file(path)
 
 
 class WordIds:
@@ -125,7 +123,7 @@ def train_dictionary(docs: DataFrame, path: str) -> bytes:
     width = id_width(path)
     rows = docs.select("doc_id", "text")
     h = F.xxhash64("doc_id", "text")
-    chosen = rows.select(h.alias("h")).orderBy("h").limit(SAMPLE_DOCS).distinct()
+    chosen = rows.groupBy(h.alias("h")).agg(F.lit(1)).select("h").orderBy("h").limit(SAMPLE_DOCS)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

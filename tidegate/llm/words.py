@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 #: Bytes of text that are turned into arrays at once; a longer text is cut at white space and put together again.
 BLOCK_BYTES = 1 << 20
 #: Words of more bytes are hashed one by one.
-LONG_WORD = 1 << 16
+LONG_WORD = 1 << 10
 
 U64 = np.uint64
 SPACE = np.zeros(256, dtype=bool)
@@ -28,25 +28,7 @@ PLAIN = np.arange(256, dtype=np.uint8)
 PLAIN[[b for b in range(128) if not chr(b).isalnum()]] = 32
 PLAIN[65:91] += 32
 
-_BYTE_BASE = 0x9E3779B97F4A7C15 | 1
-_WORD_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^0.. and base^-0.. modulo 2^64, for an odd base; kept for the life of the worker."""
-    have = _POWERS.get(base)
-    if have is None or len(have[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        both = []
-        for factor in (base, pow(base, -1, 1 << 64)):
-            steps = np.full(size, factor, dtype=U64)
-            steps[0] = 1
-            both.append(np.cumprod(steps, dtype=U64))
-        if size > 4 * BLOCK_BYTES:
-            return both[0], both[1]
-        _POWERS[base] = have = (both[0], both[1])
-    return have
+_WORD_SALTS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
 def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -119,19 +101,19 @@ def _boundaries(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    out = np.empty(len(start), U64)
-    i = 0
-    while i < len(start):
-        j = max(i + 1, int(np.searchsorted(end, start[i] + BLOCK_BYTES, side="right")))
-        lo, hi = int(start[i]), int(end[j - 1])
-        if hi - lo <= BLOCK_BYTES:
-            up, down = powers(_BYTE_BASE, BLOCK_BYTES + 1)
-            sums = np.zeros(hi - lo + 1, U64)
-            np.cumsum(data[lo:hi].astype(U64) * up[: hi - lo], out=sums[1:])
-            s, e = start[i:j] - lo, end[i:j] - lo
-            out[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(U64))
-        i = j
-    for k in np.flatnonzero(end - start > LONG_WORD):
+    """Hash of each word: its bytes by eights, each mixed into what came before; of long words BLAKE2b's."""
+    n = end - start
+    out = mix(n.astype(U64), 0x9E3779B97F4A7C15)
+    eights = np.ndarray((len(data),), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    alive = np.flatnonzero((n > 0) & (n <= LONG_WORD))
+    at = 0
+    while len(alive):
+        left = np.minimum(n[alive] - at, 8)
+        eight = eights[start[alive] + at] & (U64(0xFFFFFFFFFFFFFFFF) >> ((8 - left) * 8).astype(U64))
+        out[alive] = mix(out[alive] * U64(0x9FB21C651E98DF25) + eight)
+        at += 8
+        alive = alive[n[alive] > at]
+    for k in np.flatnonzero(n > LONG_WORD):
         out[k] = int.from_bytes(blake2b(data[start[k]: end[k]].tobytes(), digest_size=8).digest(), "little")
     return out
 
@@ -145,26 +127,45 @@ def words_of(column: pa.Array | pa.ChunkedArray, plain: bool = False) -> Words:
     return Words(offsets, data, start, end, word_hashes(data, start, end), np.searchsorted(start, offsets))
 
 
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of what stands in ``a`` followed by what stands in ``b``."""
+    return mix(a * U64(0x9FB21C651E98DF25) + b)
+
+
+def _doubled(h: np.ndarray, which: int, most: int) -> list[np.ndarray]:
+    """Hashes of all runs of 1, 2, 4, ... words, up to ``most``; two independent ones by ``which``."""
+    levels = [mix(h, _WORD_SALTS[which])]
+    while 2 << (len(levels) - 1) <= most:
+        last, half = levels[-1], 1 << (len(levels) - 1)
+        levels.append(_pair(last[:-half], last[half:]) if len(last) > half else last[:0])
+    return levels
+
+
 def window_hashes(h: np.ndarray, size: int, which: int = 0) -> np.ndarray:
     """Hash of each run of ``size`` words, for the whole block; windows across rows are the caller's to leave out.
 
-    ``which`` 0 or 1 gives two independent hashes.
+    A run is put together from runs of halved lengths, mixed at each step.  ``which`` 0 or 1 gives two independent hashes.
     """
     n = len(h) - size + 1
     if n <= 0:
         return np.zeros(0, U64)
-    up, down = powers(_WORD_BASES[which], len(h) + 1)
-    sums = np.zeros(len(h) + 1, U64)
-    np.cumsum((mix(h, 0x5851F42D4C957F2D) if which else h) * up[: len(h)], out=sums[1:])
-    return mix((sums[size:] - sums[:n]) * down[:n], size)
+    out, at = None, 0
+    for k, level in reversed(list(enumerate(_doubled(h, which, size)))):
+        if size >> k & 1:
+            part = level[at: at + n]
+            out = part if out is None else _pair(out, part)
+            at += 1 << k
+    return mix(out, size)
 
 
 def span_hashes(h: np.ndarray, start: np.ndarray, size: np.ndarray, which: int) -> np.ndarray:
     """Hashes of word spans of different lengths; two independent ones by ``which``."""
-    up, down = powers(_WORD_BASES[which], len(h) + 1)
-    sums = np.zeros(len(h) + 1, U64)
-    np.cumsum((mix(h, 0x5851F42D4C957F2D) if which else h) * up[: len(h)], out=sums[1:])
-    return mix((sums[start + size] - sums[start]) * down[start] + mix(size.astype(U64)), 50 + which)
+    out, at = mix(size.astype(U64), 50 + which), start.copy()
+    for k, level in reversed(list(enumerate(_doubled(h, which, int(size.max(initial=1)))))):
+        has = np.flatnonzero(size >> k & 1)
+        out[has] = _pair(out[has], level[at[has]])
+        at[has] += 1 << k
+    return out
 
 
 def inside(words: Words, size: int) -> np.ndarray:
