@@ -103,7 +103,7 @@ def test_walk_forward_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
         trained.append(fold)
         rows = spark.createDataFrame([(fold, "m", DAY0, f"t{fold}", 1.0, 0.4, 0.1 * fold)],
                                      "fold int, model string, date date, ticker string, label double, raw double, calibrated double")
-        return None, None, rows
+        return None, rows, rows
 
     monkeypatch.setattr(learn, "run_fold", run_fold)
     panel, root = spark.range(1), str(tmp_path / "folds")
@@ -112,7 +112,10 @@ def test_walk_forward_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
     again = learn.walk_forward(panel, None, [1, 2, 3], ["x"], {"m": None}, root=root)
     assert sorted((r.fold, r.ticker) for r in again.collect()) == [(1, "t1"), (2, "t2"), (3, "t3")] and trained == [1, 2, 3]
     whole = learn.walk_forward(panel, None, [1, 2, 3], ["x"], {"m": None})
-    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, again.select(whole.columns).collect()))
+    assert whole.columns == again.columns and sorted((r.fold, r.model, r.ticker, r.raw) for r in whole.collect()) == sorted(
+        (r.fold, r.model, r.ticker, r.raw) for r in again.collect())
+    raw = learn.walk_forward(panel, None, [1, 2], ["x"], {"m": None}, calibrate=False)
+    assert sorted((r.fold, r.model, r.calibrated) for r in raw.collect()) == [(1, "m_raw", 0.1), (2, "m_raw", 0.2)]
 
 
 def test_fold_checks_see_a_calibration_day_outside_training(spark):

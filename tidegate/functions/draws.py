@@ -63,7 +63,7 @@ ROUNDS = 20
 
 def round_keys(key: Column, rounds: int = ROUNDS) -> Column:
     """Array of one number in [0, PRIME) per round, from a key in that range."""
-    return F.transform(F.sequence(F.lit(1), F.lit(rounds)), lambda r: _fifth_power((key + r * REP_STEP) % PRIME))
+    return F.transform(F.sequence(F.lit(1), F.lit(rounds)), lambda r: _fifth_power((key.cast("long") + r * REP_STEP) % PRIME))
 
 
 def shuffled_place(place: Column, n: Column, keys: Column, back: bool = False) -> Column:
@@ -73,6 +73,8 @@ def shuffled_place(place: Column, n: Column, keys: Column, back: bool = False) -
     whether the two change places.  Each round is its own inverse, so the way back takes the keys in reverse.  Only
     the places that are asked for are computed.
     """
+    n = n.cast("long")
+
     def swap_or_not(x: Column, key: Column) -> Column:
         mirror = (key % n + n - x) % n
         pair = (key + F.greatest(x, mirror)) % PRIME

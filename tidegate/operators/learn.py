@@ -17,14 +17,14 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.functions.columns import clip01, stack_rows
+from tidegate.functions.columns import stack_rows
 from tidegate.functions.draws import key_high
 from tidegate.operators import folds as fo
+from tidegate.operators.isotonic import calibrated, isotonic_blocks
 from tidegate.session import materialize
 from tidegate.sources.writers import pending_folds, write_predictions
 
@@ -89,16 +89,6 @@ def average_members(scores: DataFrame, members: Sequence[str]) -> DataFrame:
     return scores.withColumn("prob", F.try_divide(total, have))
 
 
-def fit_calibrator(rows: DataFrame, score: str = "raw", label: str = "label"):
-    """Isotonic fit; outside the seen range it clamps, inside it interpolates."""
-    return IsotonicRegression(featuresCol=score, labelCol=label, predictionCol="calibrated").fit(
-        rows.select(score, label))
-
-
-def apply_calibrator(model, rows: DataFrame) -> DataFrame:
-    return model.transform(rows).withColumn("calibrated", clip01(F.col("calibrated")))
-
-
 def fold_rows(panel: DataFrame, dates: DataFrame, fold: int, features: Sequence[str]) -> dict[str, DataFrame]:
     """Scaled and assembled rows per role; the model-train part marks its tail."""
     mine = dates.filter(F.col("fold") == fold)
@@ -121,8 +111,8 @@ def run_fold(panel: DataFrame, dates: DataFrame, fold: int, features: Sequence[s
     cal = materialize(score_members(models, parts["cal"]))
     test = score_members(models, parts["test"])
     if calibrate:
-        iso = fit_calibrator(cal)
-        cal, test = apply_calibrator(iso, cal), apply_calibrator(iso, test)
+        steps = isotonic_blocks(cal)
+        cal, test = calibrated(cal, steps), calibrated(test, steps)
     else:
         cal, test = cal.withColumn("calibrated", F.col("raw")), test.withColumn("calibrated", F.col("raw"))
     tag = "+".join(members) + ("" if calibrate else "_raw")
@@ -144,12 +134,13 @@ def walk_forward(panel: DataFrame, dates: DataFrame, folds: Sequence[int], featu
             _, _, test = run_fold(panel, dates, fold, features, members, calibrate)
             write_predictions(test.select(*keep), root)
         return session.read.parquet(root).join(F.broadcast(wanted), ["fold", "model"], "left_semi").select(*keep)
-    out = None
+    cal = test = None
     for fold in folds:
-        _, _, test = run_fold(panel, dates, fold, features, members, calibrate)
-        test = test.select(*keep)
-        out = test if out is None else out.unionByName(test)
-    return out
+        parts = [p.withColumn("fold", F.lit(int(fold))) for p in run_fold(panel, dates, fold, features, members, False)[1:]]
+        cal, test = parts if test is None else (cal.unionByName(parts[0]), test.unionByName(parts[1]))
+    if calibrate:  # the calibrators of all folds in one job
+        test = calibrated(test.drop("calibrated"), isotonic_blocks(cal, ["fold"]), ["fold"])
+    return test.withColumn("model", F.lit("+".join(members) + ("" if calibrate else "_raw"))).select(*keep)
 
 
 def prediction_panel(scored: DataFrame, panel: DataFrame, score: str = "calibrated") -> DataFrame:

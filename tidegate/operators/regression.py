@@ -1,18 +1,15 @@
 """Factor regressions with HAC errors, any number of books and models at once.
 
-Cross products are summed by Spark, one small row per (book, model); only the
-solution of those at most 7 x 7 systems runs in Python.
+Cross products are summed by Spark, one small row per (book, model); these rows hold systems of at most 7 x 7 numbers, which
+are solved by a symmetric sweep in array expressions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidegate.functions.tails import normal_two_sided
 
@@ -26,26 +23,36 @@ MODELS: Mapping[str, Sequence[str]] = {
 HAC_LAGS = 5
 
 
-def _inverse(flat) -> np.ndarray:
-    """Pseudo-inverse of a symmetric matrix of cross products, scaled to a unit diagonal first."""
-    p = int(round(len(flat) ** 0.5))
-    a = np.asarray(flat, float).reshape(p, p)
-    scale = np.sqrt(np.where(np.diag(a) > 0, np.diag(a), 1.0))
-    return np.linalg.pinv(a / np.outer(scale, scale), rcond=1e-12, hermitian=True) / np.outer(scale, scale)
+#: A term whose own share (what the terms before it do not explain) is smaller than this is left out.
+TOLERANCE = 1e-12
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _solve(xtx: pd.Series, xty: pd.Series) -> pd.Series:
-    return pd.Series([(_inverse(a) @ np.asarray(b, float)).tolist() for a, b in zip(xtx, xty)])
+def _at(matrix: Column, i: Column, j: Column) -> Column:
+    return F.get(F.get(matrix, i), j)
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _sandwich_se(xtx: pd.Series, meat: pd.Series) -> pd.Series:
-    def one(a, m):
-        inv = _inverse(a)
-        m = np.asarray(m, float).reshape(inv.shape)
-        return np.sqrt(np.maximum(np.diag(inv @ (m + m.T) @ inv), 0)).tolist()
-    return pd.Series([one(a, m) for a, m in zip(xtx, meat)])
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+
+
+def _scaled(matrix: Column, scale: Column) -> Column:
+    """Each entry times its row's and its column's scale."""
+    return F.transform(matrix, lambda row, i: F.transform(row, lambda v, j: v * F.get(scale, i) * F.get(scale, j)))
+
+
+def sweep(matrix: Column, size: Column) -> Column:
+    """Generalised inverse of a symmetric array of arrays with a unit diagonal, by one sweep of each pivot.
+
+    A pivot below ``TOLERANCE`` belongs to a term that depends on those before it: its row and column become 0.
+    """
+    def pivoted(a: Column, k: Column) -> Column:
+        d = _at(a, k, k)
+        return F.transform(a, lambda row, i: F.transform(row, lambda v, j: F.when(
+            d <= TOLERANCE, F.when((i == k) | (j == k), 0.0).otherwise(v)).when(
+            (i == k) & (j == k), -1 / d).when((i == k) | (j == k), v / d).otherwise(v - _at(a, i, k) * _at(a, k, j) / d)))
+
+    swept = F.aggregate(F.sequence(F.lit(0), size - 1), matrix, pivoted)
+    return F.transform(swept, lambda row: F.transform(row, lambda v: -v))
 
 
 def join_factors(five: DataFrame, momentum: DataFrame) -> DataFrame:
@@ -65,9 +72,9 @@ def factor_regressions(
 ) -> DataFrame:
     """One row per (key, model, term): coefficient, HAC t, p, and model figures.
 
-    A day enters when the return and all factor columns are present.  Where the
-    factors are not independent, the coefficients are the shortest least-squares
-    solution; with no more days than terms, or a zero error, ``t`` and ``p`` are NULL.
+    A day enters when the return and all factor columns are present.  A factor
+    that depends on those before it has coefficient 0 and no ``t``; with no more
+    days than independent terms, or a zero error, ``t`` and ``p`` are NULL.
     """
     by = list(by)
     names = [c for c in factors.columns if c not in ("date", risk_free)]
@@ -85,11 +92,11 @@ def factor_regressions(
     def x(i: int):
         return F.get("x", F.lit(i))
 
-    def matrix(products: dict) -> F.Column:
-        """Row-major p x p array; p is the model's number of terms."""
+    def matrix(products: dict) -> Column:
+        """p x p array; p is the model's number of terms."""
         p = F.size("terms")
         full = F.array(*[F.array(*[products[i, j] for j in range(wide)]) for i in range(wide)])
-        return F.flatten(F.transform(F.slice(full, 1, p), lambda r: F.slice(r, 1, p)))
+        return F.transform(F.slice(full, 1, p), lambda r: F.slice(r, 1, p))
 
     gram = rows.groupBy(*keys).agg(
         F.first("terms").alias("terms"), F.count(F.lit(1)).alias("n"),
@@ -101,10 +108,16 @@ def factor_regressions(
         *keys, "terms", "n", "_yv",
         matrix({(i, j): F.col(f"g_{min(i, j)}_{max(i, j)}") for i in range(wide) for j in range(wide)}).alias("xtx"),
         F.slice(F.array(*[F.col(f"b_{i}") for i in range(wide)]), 1, F.size("terms")).alias("xty"))
-    fitted = gram.withColumn("beta", _solve("xtx", "xty"))
+    size = F.size("terms")
+    fitted = gram.withColumn("diag", F.transform("xtx", lambda row, i: F.when(
+        F.get(row, i) > 0, 1 / F.sqrt(F.get(row, i))).otherwise(0.0)))
+    fitted = fitted.withColumn("inv", _scaled(F.col("xtx"), F.col("diag"))).withColumn("inv", sweep(F.col("inv"), size))
+    fitted = fitted.withColumn("inv", _scaled(F.col("inv"), F.col("diag"))).withColumns({
+        "beta": F.transform("inv", lambda row: _dot(row, F.col("xty"))),
+        "rank": F.size(F.filter(F.transform("inv", lambda row, i: F.get(row, i)), lambda v: v > 0))}).drop("xtx", "xty", "diag")
 
     resid = rows.join(fitted.select(*keys, "beta"), keys).withColumn(
-        "e", F.col("y") - F.aggregate(F.zip_with("x", "beta", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
+        "e", F.col("y") - _dot(F.col("x"), F.col("beta")))
     w = Window.partitionBy(*keys).orderBy("date")
     scores = resid.select(*keys, "date", "terms", "e", *[(x(i) * F.col("e")).alias(f"u{i}") for i in range(wide)])
     # u'v + v'u with v the half-weighted current plus weighted lagged scores is the Bartlett sum
@@ -121,11 +134,15 @@ def factor_regressions(
     meat = meat.select(*keys, "ssr", matrix(
         {(i, j): F.col(f"m_{i}_{j}") for i in range(wide) for j in range(wide)}).alias("meat"))
 
-    out = fitted.join(meat, keys).withColumn("se", _sandwich_se("xtx", "meat"))
-    n, p = F.col("n"), F.size("terms")
+    def error(row: Column, i: Column) -> Column:
+        """From the i-th diagonal entry of inv (meat + its transpose) inv."""
+        half = _dot(row, F.transform("meat", lambda m: _dot(m, row)))
+        return F.when(F.get(row, i) > 0, F.sqrt(F.greatest(2 * half, F.lit(0.0))))
+
+    n, p = F.col("n"), F.col("rank")
     r2 = 1 - F.col("ssr") / (F.col("_yv") * n)
-    out = out.withColumn("r2_adj", F.when(n > p, 1 - (1 - r2) * (n - 1) / (n - p))).withColumn(
-        "se", F.when(n > p, F.col("se")).otherwise(F.transform("se", lambda _: F.lit(None).cast("double"))))
+    out = fitted.join(meat, keys).withColumn("r2_adj", F.when(n > p, 1 - (1 - r2) * (n - 1) / (n - p))).withColumn(
+        "se", F.when(n > p, F.transform("inv", error)).otherwise(F.transform("beta", lambda _: F.lit(None).cast("double"))))
     out = out.select(*keys, "n", "r2_adj", F.inline(F.arrays_zip("terms", "beta", "se")))
     out = out.withColumnsRenamed({"terms": "term", "beta": "coef"}).withColumn("t", F.try_divide(F.col("coef"), F.col("se")))
     return out.withColumn("p", normal_two_sided(F.col("t"))).withColumn(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidegate.operators import book as bk
 from tidegate.operators import inference as inf
 from tidegate.operators.ranks import daily_ic
-from tidegate.operators.regression import factor_regressions, join_factors
+from tidegate.operators.regression import MODELS, factor_regressions, join_factors
 from tidegate.operators.resample import (
     null_summary, permutation_sharpes, random_baseline, random_day_returns,
 )
@@ -416,8 +416,53 @@ def factor_regression_capm(spark, sf):
     return rounded(out.drop("se"), {"coef": 8, "t": 5})
 
 
-@query("factor_regression")
+def regression_sql(models: dict[str, Sequence[str]], lags: int = 5) -> str:
+    """Normal equations of each model by Gauss-Jordan steps on lists of p (p + 1) numbers, and the HAC sandwich."""
+    out = []
+    wide = max(map(len, models.values())) + 1
+    rows = " UNION ALL ".join(
+        f"SELECT strategy, '{m}' AS model, {len(fs) + 1} AS p, date, net_return - RF AS y, "
+        f"[1.0::DOUBLE, {', '.join(fs)}] AS x, ['const', {', '.join(repr(f) for f in fs)}] AS terms FROM daily JOIN fac USING (date) "
+        "WHERE net_return IS NOT NULL AND Mkt_RF + SMB + HML + RMW + CMA + Mom + RF IS NOT NULL" for m, fs in models.items())
+    out.append(f"""
+xs AS ({rows}),
+cells AS (SELECT strategy, model, p, i, j, sum(x[i] * CASE WHEN j <= p THEN x[j] ELSE CASE WHEN j = 2 * p + 1 THEN y END END) AS v
+          FROM xs, unnest(range(1, p + 1)) AS a(i), unnest([k for k in range(1, 2 * p + 2) if k <= p or k = 2 * p + 1]) AS b(j) GROUP BY ALL),
+every AS (SELECT strategy, model, p, i, j, v FROM cells
+          UNION ALL SELECT strategy, model, p, i, p + k, CASE WHEN i = k THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
+          FROM (SELECT DISTINCT strategy, model, p, i FROM cells), unnest(range(1, p + 1)) AS c(k)),
+step0 AS (SELECT strategy, model, p, list(v ORDER BY i, j) AS a FROM every GROUP BY ALL)""")
+    for k in range(wide):
+        at = lambda i, j: f"a[({i}) * (2 * p + 1) + ({j}) + 1]"
+        i, j, d = "(q // (2 * p + 1))", "(q % (2 * p + 1))", at(k, k)
+        out.append(f"""
+step{k + 1} AS (SELECT strategy, model, p, CASE WHEN {k} >= p THEN a ELSE list_transform(range(0, p * (2 * p + 1)), lambda q:
+          CASE WHEN {i} = {k} THEN {at(k, j)} / {d} ELSE {at(i, j)} - {at(i, k)} * {at(k, j)} / {d} END) END AS a FROM step{k})""")
+    out.append(f"""
+solved AS (SELECT strategy, model, p, [a[i * (2 * p + 1) + 2 * p + 1] for i in range(0, p)] AS b,
+           [[a[i * (2 * p + 1) + p + j + 1] for j in range(0, p)] for i in range(0, p)] AS inv FROM step{wide}),
+errs AS (SELECT xs.strategy, xs.model, xs.p, date, y, x, terms, y - list_sum([x[i] * b[i] for i in range(1, xs.p + 1)]) AS e,
+                row_number() OVER (PARTITION BY xs.strategy, xs.model ORDER BY date) AS rn FROM xs JOIN solved USING (strategy, model)),
+lagged AS (SELECT u.strategy, u.model, u.p, i, j, sum(CASE WHEN k = 0 THEN 1.0::DOUBLE ELSE (1 - k / ({lags} + 1.0::DOUBLE)) END
+               * (u.e * u.x[i] * w.e * w.x[j] + CASE WHEN k > 0 THEN u.e * u.x[j] * w.e * w.x[i] ELSE 0 END)) AS m
+          FROM errs u JOIN (SELECT unnest(range(0, {lags} + 1)) AS k) ON true
+          JOIN errs w ON w.strategy = u.strategy AND w.model = u.model AND w.rn = u.rn - k,
+          unnest(range(1, u.p + 1)) AS a(i), unnest(range(1, u.p + 1)) AS b(j) GROUP BY ALL),
+varied AS (SELECT strategy, model, t, sum(inv[t][i] * m * inv[j][t]) AS v
+           FROM lagged JOIN solved USING (strategy, model), unnest(range(1, solved.p + 1)) AS a(t) GROUP BY ALL),
+sums AS (SELECT strategy, model, p, count(*) AS n, sum(e * e) AS ssr, var_pop(y) * count(*) AS sst, any_value(terms) AS terms
+         FROM errs GROUP BY ALL),
+reg AS (SELECT strategy, model, terms[t] AS term, n, 1 - (1 - (1 - ssr / sst)) * (n - 1) / (n - sums.p) AS r2_adj, b[t] AS coef,
+               b[t] / sqrt(v) AS t FROM varied JOIN solved USING (strategy, model) JOIN sums USING (strategy, model)),
+regp AS (SELECT *, 2 * (""" + normal_sf_sql("abs(t)") + """) AS p FROM reg)""")
+    return ",".join(out)
+
+
+@query("factor_regression", sql(OOS_SQL + weights_sql("oos", REG) + daily_sql("oos", REG) + FACTORS_SQL + "," + regression_sql(MODELS), f"""
+SELECT strategy, model, term, n, {_r('r2_adj', 6, 'r2_adj')}, {_r('coef', 8, 'coef')}, {_r('t', 5, 't')}, {_r('p', 6, 'p')},
+       {_r("CASE WHEN term = 'const' THEN coef * 252 END", 6, 'annual')},
+       CASE WHEN p < 0.01 THEN '***' WHEN p < 0.05 THEN '**' WHEN p < 0.1 THEN '*' ELSE '' END AS stars FROM regp"""))
 def factor_regression(spark, sf):
     """All books under all four factor models."""
     p = panel(spark, sf)
-    return rounded(factor_regressions(book_returns(spark, sf, p), factors(p)), 10)
+    return rounded(factor_regressions(book_returns(spark, sf, p), factors(p)).drop("se"), {"coef": 8, "t": 5})

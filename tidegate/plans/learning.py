@@ -9,6 +9,7 @@ from tidegate.operators import learn as ml
 from tidegate.operators.book import Strategy, backtest, performance
 from tidegate.operators.folds import date_index, fold_dates, scaler_stats, standardize, rows_of_role
 from tidegate.operators.inference import hac_test
+from tidegate.operators.isotonic import calibrated, isotonic_blocks
 from tidegate.operators.ranks import daily_ic
 from tidegate.plans.base import FOLDS_SQL, PANEL_SQL, folds, panel, rounded, sql, table
 from tidegate.plans.registry import query
@@ -58,6 +59,31 @@ def reliability(spark, sf):
     return rounded(ca.reliability(score_pairs(spark, sf), ["model"]), 8)
 
 
+# least squares under order: the largest over starts of the smallest over ends of the mean between them
+ISOTONIC_SQL = FOLDS_SQL + """,
+sc AS (SELECT f.fold, role, floor(round(prob * 10000) / 10) / 1000.0::DOUBLE AS raw, target FROM panel JOIN fold_dates f ON panel.date = f.date AND role IN ('cal', 'test')),
+d AS (SELECT fold, raw, sum(target) AS t, count(*) AS c FROM sc WHERE role = 'cal' GROUP BY ALL),
+o AS (SELECT fold, raw, row_number() OVER w AS i, sum(t) OVER w AS st, sum(c) OVER w AS sw FROM d WINDOW w AS (PARTITION BY fold ORDER BY raw)),
+jk AS (SELECT a.fold, a.i AS j, b.i AS k, (b.st - a.st + x.t) / (b.sw - a.sw + x.c) AS m
+       FROM o a JOIN o b ON a.fold = b.fold AND a.i <= b.i JOIN d x ON x.fold = a.fold AND x.raw = a.raw),
+low AS (SELECT fold, j, k AS i, min(m) OVER (PARTITION BY fold, j ORDER BY k DESC) AS m FROM jk),
+fit AS (SELECT o.fold, raw AS x, max(m) AS y FROM low JOIN o USING (fold, i) GROUP BY ALL),
+pt AS (SELECT fold, raw, count(*) AS n FROM sc WHERE role = 'test' GROUP BY ALL),
+near AS (SELECT pt.fold, raw, any_value(n) AS n, max(x) FILTER (x <= raw) AS x0, min(x) FILTER (x > raw) AS x1 FROM pt JOIN fit USING (fold) GROUP BY ALL)"""
+
+
+@query("isotonic_calibration", sql(ISOTONIC_SQL, f"""
+SELECT near.fold, raw, n, {_r("CASE WHEN x0 IS NULL THEN b.y WHEN x1 IS NULL THEN a.y ELSE a.y + (b.y - a.y) * (raw - x0) / (x1 - x0) END", 8, 'calibrated')}
+FROM near LEFT JOIN fit a ON a.fold = near.fold AND a.x = x0 LEFT JOIN fit b ON b.fold = near.fold AND b.x = x1"""))
+def isotonic_calibration(spark, sf):
+    """Calibrators of all folds fitted on calibration days, applied to the scores of test days."""
+    p = panel(spark, sf)
+    rows = rows_of_role(p, folds(spark, sf, p), "cal", "test").select("fold", "role", (F.floor(F.round(F.col("prob") * 10000) / 10) / 1000).alias("raw"), "target")
+    steps = isotonic_blocks(rows.filter("role = 'cal'"), ["fold"], label="target")
+    scores = rows.filter("role = 'test'").groupBy("fold", "raw").agg(F.count(F.lit(1)).alias("n"))
+    return rounded(calibrated(scores, steps, ["fold"]), 8, "raw")
+
+
 @query("ensemble_average", sql(PANEL_SQL, f"""
 SELECT ticker, date, {_r('(prob + coalesce(CASE WHEN close > SMA_200 THEN 0.75::DOUBLE END, 0)) / (1 + CASE WHEN close > SMA_200 THEN 1 ELSE 0 END)', 8, 'prob')}
 FROM panel"""))
