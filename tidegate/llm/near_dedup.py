@@ -294,7 +294,7 @@ def classes(docs: DataFrame) -> DataFrame:
     crossed = written(dealt.join(bags, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(
         _cross, "a long, b long"), "crossed")
     edges = edges.unionByName(crossed)
-    ids = heads.join(several, "doc_id", "left_semi").select("node", "doc_id")
+    ids = written(heads.join(several, "doc_id", "left_semi").select("node", "doc_id"), "ids")  # none, if ids are unique
     for end in ("a", "b"):  # nodes of ids with several texts lead back to the id
         edges = edges.join(ids.withColumnsRenamed({"node": end, "doc_id": "id"}), end, "left").withColumn(
             end, F.coalesce("id", end)).drop("id")
