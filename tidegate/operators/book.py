@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tidegate.functions.columns import ratio, stack_rows
 from tidegate.functions.draws import draw, key_high, key_low
 from tidegate.functions.tails import Z_975, normal_sf, student_sf
-from tidegate.operators.ranks import safe_corr
+from tidegate.operators.ranks import daily_ic, safe_corr
 
 YEAR = 252.0
 COST_BPS = 5.0
@@ -192,11 +192,19 @@ def backtest(panel: DataFrame, strategies: Sequence[Strategy] = STRATEGIES, by:
     return charge_by_strategy(d, strategies)
 
 
-def benchmark_book(returns: DataFrame, panel: DataFrame, name: str = "BuyHold", ret: str = "ret") -> DataFrame:
-    """Buy-and-hold record on the panel's days: no cost, no turnover."""
-    days = panel.select("date").distinct()
-    return returns.join(days, "date", "left_semi").select(
-        F.lit(name).alias("strategy"), "date", F.col(ret).alias("gross_return"), F.lit(0.0).alias("turnover"),
+def daily_record(panel: DataFrame, strategies: Sequence[Strategy] = STRATEGIES, score: str = "prob",
+                 realised: str = "actual_return") -> DataFrame:
+    """Daily record per book with its value and the day's rank correlation of score and return."""
+    ic = daily_ic(panel, score, realised).select("date", "ic")
+    return equity_curve(backtest(panel, strategies)).drop("drawdown").join(ic, "date", "left")
+
+
+def benchmark_book(returns: DataFrame, panel: DataFrame, name: str = "BuyHold", ret: str = "ret",
+                   by: Sequence[str] = ()) -> DataFrame:
+    """Buy-and-hold record on the panel's days (of each key): no cost, no turnover."""
+    days = panel.select(*by, "date").distinct()
+    return returns.join(days, "date").select(
+        *by, F.lit(name).alias("strategy"), "date", F.col(ret).alias("gross_return"), F.lit(0.0).alias("turnover"),
         F.lit(1).cast("long").alias("n_positions"), F.lit(0.0).alias("cost"), F.col(ret).alias("net_return"))
 
 
@@ -292,9 +300,15 @@ def in_periods(panel: DataFrame, periods: Sequence[tuple[str, str, str]] = PERIO
     return panel.withColumn("sub_period", F.explode(tags))
 
 
-def subperiods(panel: DataFrame, strategies: Sequence[Strategy], periods=PERIODS) -> DataFrame:
-    """Metrics per period; each period starts from an empty book."""
-    daily = backtest(in_periods(panel, periods), strategies, ["sub_period"])
+def subperiods(panel: DataFrame, strategies: Sequence[Strategy], periods=PERIODS, benchmark: DataFrame | None = None) -> DataFrame:
+    """Metrics per period; each period starts from an empty book.
+
+    ``benchmark`` is (date, ret); with it each period has a row of the book that buys and holds.
+    """
+    rows = in_periods(panel, periods)
+    daily = backtest(rows, strategies, ["sub_period"])
+    if benchmark is not None:
+        daily = daily.unionByName(benchmark_book(benchmark, rows, by=["sub_period"]))
     return performance(daily, ["strategy", "sub_period"])
 
 

@@ -16,11 +16,12 @@ from tidegate.operators.resample import (
 )
 from tidegate.plans.base import OOS_SQL, out_of_sample, panel, rounded, sig_sql, significant, sql
 from tidegate.plans.registry import query
-from tidegate.plans.signals import OOS_IC_SQL, hac_sql, normal_sf_sql, student_sf_sql
+from tidegate.plans.signals import OOS_IC_SQL, boot_sql, gate, hac_sql, normal_sf_sql, student_sf_sql
 from tidegate.functions.draws import draw_sql, round_keys_sql, shuffled_place_sql
 from tidegate.session import materialize
 
 TOP1 = bk.Strategy("TopK1", "topk", 1)
+MATRIX = (TOP1, bk.LONG_SHORT, bk.STRATEGIES[0], bk.STRATEGIES[6], bk.STRATEGIES[8])
 PERIODS = (("early", "1992-01-01", "1995-12-31"), ("middle", "1996-01-01", "1998-12-31"), ("late", "1998-06-01", "2002-12-31"))
 COSTS = (0.0, 5.0, 10.0, 15.0, 20.0, 30.0, 50.0)
 
@@ -158,6 +159,18 @@ def backtest_equity(spark, sf):
     return rounded(significant(d.select("strategy", "date", "portfolio_value", "drawdown"), 9), 6, "portfolio_value")
 
 
+@query("backtest_record", sql(OOS_IC_SQL + weights_sql("oos", MATRIX) + daily_sql("oos", MATRIX) + metrics_sql("strategy") + """,
+ics AS (SELECT date, any_value(ic) AS ic FROM ic GROUP BY date)""", f"""
+SELECT strategy, date, {_r('gross_return', 8, 'gross_return')}, {_r('cost', 8, 'cost')}, {_r('net_return', 8, 'net_return')},
+       {_r('turnover', 8, 'turnover')}, n_positions, {sig_sql('pv', 'portfolio_value')}, {_r('ic', 8, 'ic')}
+FROM dd_met LEFT JOIN ics USING (date)"""))
+def backtest_record(spark, sf):
+    """Daily record with the book's value and the day's rank correlation."""
+    d = bk.daily_record(out_of_sample(spark, sf), MATRIX)
+    value = significant(d.select("strategy", "date", "portfolio_value"))
+    return rounded(d.drop("portfolio_value"), 8).join(value, ["strategy", "date"])
+
+
 SUBS = (TOP1, bk.STRATEGIES[0], bk.STRATEGIES[5], bk.STRATEGIES[6], bk.STRATEGIES[8])
 SUB_SQL = OOS_SQL + """,
 per(sub_period, lo, hi) AS (VALUES """ + ", ".join(f"('{n}', DATE '{a}', DATE '{b}')" for n, a, b in PERIODS) + """),
@@ -165,12 +178,17 @@ subs AS (SELECT o.*, sub_period FROM oos o JOIN per ON date BETWEEN lo AND hi)""
 
 
 @query("backtest_subperiods", sql(
-    SUB_SQL + weights_sql("subs", SUBS, ["sub_period"]) + daily_sql("subs", SUBS, ["sub_period"]) + metrics_sql("strategy, sub_period"), f"""
+    SUB_SQL + weights_sql("subs", SUBS, ["sub_period"]) + daily_sql("subs", SUBS, ["sub_period"]) + """,
+bench AS (SELECT date, avg(actual_return) AS r FROM panel GROUP BY date),
+every AS (SELECT sub_period, strategy, date, gross_return, turnover, n_positions, cost, net_return FROM daily
+          UNION ALL SELECT sub_period, 'BuyHold', date, r, 0, 1, 0, r FROM (SELECT DISTINCT sub_period, date FROM subs) JOIN bench USING (date))"""
+    + metrics_sql("strategy, sub_period", "every"), f"""
 SELECT strategy, sub_period, n_days, {sig_sql('annual_return', 'annual_return')}, {sig_sql('sharpe_ratio', 'sharpe_ratio')},
        {sig_sql('max_drawdown', 'max_drawdown')}, {sig_sql('total_cost', 'total_cost')} FROM met"""))
 def backtest_subperiods(spark, sf):
-    """Named date ranges, two of them overlapping; each starts from an empty book."""
-    m = bk.subperiods(out_of_sample(spark, sf), SUBS, PERIODS)
+    """Named date ranges, two of them overlapping, and the benchmark in each; each starts from an empty book."""
+    p = panel(spark, sf)
+    m = bk.subperiods(out_of_sample(spark, sf, p), SUBS, PERIODS, benchmark_ret(p))
     return significant(m.select("strategy", "sub_period", "n_days", "annual_return", "sharpe_ratio", "max_drawdown", "total_cost"))
 
 
@@ -221,9 +239,6 @@ def k_sensitivity(spark, sf):
     return significant(m.select("strategy", "n_days", "n_trades", *METRICS))
 
 
-MATRIX = (TOP1, bk.LONG_SHORT, bk.STRATEGIES[0], bk.STRATEGIES[6], bk.STRATEGIES[8])
-
-
 @query("return_matrix", sql(OOS_SQL + weights_sql("oos", MATRIX) + daily_sql("oos", MATRIX), f"""
 SELECT date, {', '.join(_r(f"max(CASE WHEN strategy = '{s.name}' THEN net_return END)", 8, s.name) for s in MATRIX)}
 FROM daily GROUP BY date"""))
@@ -316,16 +331,17 @@ def perm_sharpe_top2(spark, sf):
     return significant(permutation_sharpes(out_of_sample(spark, sf), 1000, k=2))
 
 
-@query("gated_backtest", sql(OOS_IC_SQL + hac_sql("fold") + weights_sql("oos", [TOP1], (), "w0") + """,
+@query("gated_backtest", sql(OOS_IC_SQL + hac_sql("fold") + boot_sql("fold", 1000, 1) + weights_sql("oos", [TOP1], (), "w0") + """,
+gates AS (SELECT fold, any_value(t_hac) > 1.645 AND any_value(mean) > 0 AND avg(CASE WHEN null_mean >= mean THEN 1.0::DOUBLE ELSE 0 END) < 0.05 AS open
+          FROM boot JOIN hac USING (fold) GROUP BY fold),
 w AS (SELECT w0.* FROM w0 JOIN (SELECT DISTINCT date, fold FROM oos) USING (date)
-      WHERE fold IN (SELECT fold FROM hac WHERE t_hac > 0 AND mean > 0))""" + daily_sql("oos", [TOP1]), f"""
+      WHERE fold IN (SELECT fold FROM gates WHERE open))""" + daily_sql("oos", [TOP1]), f"""
 SELECT date, {_r('net_return', 8, 'net_return')}, n_positions, {_r('turnover', 8, 'turnover')} FROM daily"""))
 def gated_backtest(spark, sf):
-    """Books held only in folds whose gate (here: positive HAC t) is open."""
+    """Books held only in folds whose gate is open: robust t and resampled null of the daily correlations."""
     rows = out_of_sample(spark, sf)
-    ic = daily_ic(rows, "prob", "actual_return", by=["fold", "date"])
-    t = inf.hac_test(ic, ["fold"])
-    decisions = t.select("fold", ((F.col("t_hac") > 0) & (F.col("mean") > 0)).alias("gate_open"))
+    ic = materialize(daily_ic(rows, "prob", "actual_return", by=["fold", "date"]))
+    decisions = gate(ic, ["fold"], block=1).select("fold", "gate_open")
     days = rows.select("fold", "date").distinct().withColumn("role", F.lit("test"))
     d = bk.gated_backtest(rows, [TOP1], decisions, days)
     return rounded(d.select("date", "net_return", "n_positions", "turnover"), 8)

@@ -98,7 +98,7 @@ d_{name} AS (
 # ---------------------------------------------------------------- signals
 
 SIGNALS_SQL = BARS_SQL + """,
-m AS (SELECT ticker, date, close / lag(close, 21) OVER w - 1 AS mom, lead(close, 1) OVER w / close - 1 AS nxt,
+m AS (SELECT ticker, date, close / lag(close, 252) OVER w - 1 AS mom, lead(close, 1) OVER w / close - 1 AS nxt,
              lead(close, 2) OVER w / lead(close, 1) OVER w - 1 AS hold
       FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date)),
 sig AS (SELECT 'momentum_next' AS signal, date, mom AS score, nxt AS ret FROM m
@@ -107,11 +107,11 @@ sig AS (SELECT 'momentum_next' AS signal, date, mom AS score, nxt AS ret FROM m
 
 
 def signal_ic(spark: SparkSession, sf: str) -> DataFrame:
-    """Daily rank correlation of three signals, four names a day at least."""
+    """Daily rank correlation of three signals on the momentum of 252 rows, four names a day at least."""
     w = series("ticker", "date")
     c = F.col("close")
     rows = bars(spark, sf).select("ticker", "date", "close").select(
-        "ticker", "date", change("close", w, 21).alias("mom"), (ratio(F.lead(c, 1).over(w), c) - 1).alias("nxt"),
+        "ticker", "date", change("close", w, 252).alias("mom"), (ratio(F.lead(c, 1).over(w), c) - 1).alias("nxt"),
         (ratio(F.lead(c, 2).over(w), F.lead(c, 1).over(w)) - 1).alias("hold"))
     rows = materialize(rows.select("ticker", "date", stack_rows(
         ("signal", "score", "ret"), ("momentum_next", F.col("mom"), F.col("nxt")),
