@@ -13,6 +13,7 @@ from tidegate.operators.folds import fold_checks
 from tidegate.operators.ranks import daily_ic, rank_columns
 from tidegate.operators.regression import factor_regressions
 from tidegate.session import materialize, shared_folder
+from tidegate.sources import ledger
 from tidegate.sources.readers import read_bars
 from tidegate.sources.writers import write_predictions, write_report
 
@@ -108,9 +109,9 @@ def test_walk_forward_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(learn, "run_fold", run_fold)
     panel, root = spark.range(1), str(tmp_path / "folds")
     first = learn.walk_forward(panel, None, [1, 2], ["x"], {"m": None}, root=root)
-    assert sorted(r.fold for r in first.collect()) == [1, 2] and trained == [1, 2]
+    assert sorted(r.fold for r in first.collect()) == [1, 2] and sorted(trained) == [1, 2]
     again = learn.walk_forward(panel, None, [1, 2, 3], ["x"], {"m": None}, root=root)
-    assert sorted((r.fold, r.ticker) for r in again.collect()) == [(1, "t1"), (2, "t2"), (3, "t3")] and trained == [1, 2, 3]
+    assert sorted((r.fold, r.ticker) for r in again.collect()) == [(1, "t1"), (2, "t2"), (3, "t3")] and sorted(trained) == [1, 2, 3]
     whole = learn.walk_forward(panel, None, [1, 2, 3], ["x"], {"m": None})
     assert whole.columns == again.columns and sorted((r.fold, r.model, r.ticker, r.raw) for r in whole.collect()) == sorted(
         (r.fold, r.model, r.ticker, r.raw) for r in again.collect())
@@ -118,6 +119,66 @@ def test_walk_forward_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
     assert sorted((r.fold, r.model, r.calibrated) for r in raw.collect()) == [(1, "m_raw", 0.1), (2, "m_raw", 0.2)]
 
 
+def test_partitions_that_are_not_whole_are_trained_again(spark, tmp_path, monkeypatch):
+    trained = []
+
+    def run_fold(panel, dates, fold, features, members, calibrate):
+        trained.append(fold)
+        rows = spark.createDataFrame([(DAY0, f"t{i}", 1.0, 0.4, 0.5) for i in range(4)],
+                                     "date date, ticker string, label double, raw double, calibrated double")
+        return None, rows, rows
+
+    monkeypatch.setattr(learn, "run_fold", run_fold)
+    panel, root = spark.range(1), str(tmp_path / "folds")
+    dates = spark.createDataFrame([(f, "test", DAY0 + dt.timedelta(f)) for f in (1, 2, 3)], "fold int, role string, date date")
+    members = {"forest": learn.random_forest(3, 2)}
+
+    def run(dates=dates, features=("x",), members=members):
+        trained.clear()
+        out = learn.walk_forward(panel, dates, [1, 2, 3], list(features), members, root=root)
+        assert out.count() == 12
+        return sorted(trained)
+
+    assert run() == [1, 2, 3] and run() == []
+    # begun and not ended
+    ledger._add(spark, root, 2, "forest", None, "x")
+    assert run() == [2] and run() == []
+    # rows lost after the entry
+    part = next((tmp_path / "folds" / "fold=3").glob("model=*"))
+    spark.createDataFrame([(DAY0, "t0", 1.0, 0.4, 0.5)], "date date, ticker string, label double, raw double, calibrated double"
+                          ).write.mode("overwrite").parquet(str(part))
+    assert run() == [3]
+    # other features, settings or days
+    assert run(features=("x", "y")) == [1, 2, 3]
+    assert run(features=("x", "y"), members={"forest": learn.random_forest(4, 2)}) == [1, 2, 3]
+    moved = dates.withColumn("date", F.when(F.col("fold") == 1, F.date_add("date", 9)).otherwise(F.col("date")))
+    assert run(moved, ("x", "y"), {"forest": learn.random_forest(4, 2)}) == [1]
+
+
+def test_a_killed_write_is_redone(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(1, "m", DAY0, "t", 0.5)], "fold int, model string, date date, ticker string, p double")
+    wanted = spark.createDataFrame([(1, "m", "f")], "fold int, model string, fingerprint string")
+    root = str(tmp_path / "p")
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(ledger, "write_predictions", killed)
+        with pytest.raises(KeyboardInterrupt):
+            ledger.commit_predictions(rows, root, 1, "m", "f")
+    assert ledger.unfinished(spark, wanted, root).count() == 1
+    assert ledger.commit_predictions(rows, root, 1, "m", "f") == 1
+    assert ledger.unfinished(spark, wanted, root).count() == 0
+    assert spark.read.parquet(root).count() == 1   # the ledger is not read as data
+
+
+def test_work_at_once_keeps_order_and_ends_at_an_error(spark):
+    assert learn.at_once(spark, lambda i: spark.range(i).count(), [3, 1, 2], 2) == [3, 1, 2]
+    with pytest.raises(ZeroDivisionError):
+        learn.at_once(spark, lambda i: 1 // i, [1, 0, 2], 2)
+
+
 def test_fold_checks_see_a_calibration_day_outside_training(spark):
     def days(role, start, n):
         return [(1, role, DAY0 + dt.timedelta(start + i)) for i in range(n)]

@@ -71,3 +71,22 @@ def test_first_available(spark, tmp_path):
     assert got.count() == 6
     with pytest.raises(FileNotFoundError):
         rd.first_available(spark, (str(tmp_path / "none"), rd.read_bars))
+
+
+def test_wide_blocks_of_five_thousand_names(spark, tmp_path):
+    from tidegate.sources import wide
+
+    rows = spark.range(5_000).select(F.format_string("n%05d", "id").alias("ticker"), F.explode(F.sequence(
+        F.lit(0), F.lit(5))).alias("d"), "id").filter("(id + d) % 3 > 0").select(
+        "ticker", F.date_add(F.lit("2020-01-01").cast("date"), F.col("d")).alias("date"), (F.col("id") + F.col("d") / 7).alias("close"))
+    root = str(tmp_path / "wide")
+    wide.write_wide(rows.unionByName(spark.createDataFrame([(None, None, 1.0), ("x", None, 2.0), ("n00001", None, None)], "ticker string, date date, close double")), root, block=64)
+    back = wide.read_wide(spark, root)
+    assert back.count() == rows.count() and back.select(*rows.columns).exceptAll(rows).count() == 0
+    names = ["n00007", "n04999", "absent"]
+    some = wide.read_wide(spark, root, names)
+    assert some.select(*rows.columns).exceptAll(rows.filter(F.col("ticker").isin(names))).count() == 0
+    assert {r.ticker for r in some.collect()} == {"n00007", "n04999"}
+    lines = wide.dense(spark, root)
+    assert lines.filter(F.size("values") != 64).count() == 0 and lines.count() == 6 * 79
+    assert lines.agg(F.sum(F.size(F.array_compact("values")))).first()[0] == rows.count()

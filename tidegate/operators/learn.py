@@ -1,15 +1,18 @@
 """Walk-forward training, calibration and scoring with ``pyspark.ml``.
 
-Folds overlap and their models are independent, so the driver loops over fold
-numbers only; fitting and scoring are distributed.  ``walk_forward`` with a root
-folder writes each fold's predictions to a partition of its own, where a new run
-goes on.
+Folds overlap and their models are independent, so the driver deals with fold
+numbers only, a few at a time in scheduler pools of their own; fitting and
+scoring are distributed.  ``walk_forward`` with a root folder writes each fold's
+predictions to a partition of its own and enters it in a ledger, and a new run
+trains what is not there whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator
 from pyspark.ml.classification import (
     GBTClassifier, MultilayerPerceptronClassifier, RandomForestClassifier,
@@ -26,7 +29,7 @@ from tidegate.functions.draws import key_high
 from tidegate.operators import folds as fo
 from tidegate.operators.isotonic import calibrated, isotonic_blocks
 from tidegate.session import materialize
-from tidegate.sources.writers import pending_folds, write_predictions
+from tidegate.sources.ledger import commit_predictions, fingerprint, unfinished
 
 SEED = 42
 Factory = Callable[[int], Estimator]
@@ -119,28 +122,79 @@ def run_fold(panel: DataFrame, dates: DataFrame, fold: int, features: Sequence[s
     return models, cal.withColumn("model", F.lit(tag)), test.withColumn("model", F.lit(tag))
 
 
+#: Folds that are trained at the same time.
+IN_FLIGHT = 3
+
+
+def at_once(session, work: Callable, items: Iterable, in_flight: int = IN_FLIGHT) -> list:
+    """``work`` on every item, ``in_flight`` at a time, each in a scheduler pool of its own; results in order.
+
+    With ``spark.scheduler.mode`` FAIR the pools share the executors evenly.  The first error ends the rest that has not
+    begun.
+    """
+    def run(i, item):
+        session.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{i % max(1, in_flight)}")
+        try:
+            return work(item)
+        finally:
+            session.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPoolExecutor(max_workers=max(1, in_flight)) as pool:
+        tasks = [pool.submit(inheritable_thread_target(session)(run), i, item) for i, item in enumerate(items)]
+        try:
+            return [t.result() for t in tasks]
+        except BaseException:
+            for t in tasks:
+                t.cancel()
+            raise
+
+
+def fold_marks(dates: DataFrame | None, folds: Sequence[int], features: Sequence[str], members: Mapping[str, Factory]) -> dict[int, str]:
+    """Fingerprint of what decides each fold's predictions: features, members with their settings, days of each role."""
+    days = {} if dates is None else {r.fold: (r.n, r.days) for r in dates.groupBy("fold").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("role", "date")).alias("days")).collect()}
+    made = {}
+    for name, make in members.items():
+        estimator = None if make is None else make(len(features))
+        made[name] = None if estimator is None else [type(estimator).__name__, {
+            p.name: str(v) for p, v in estimator.extractParamMap().items()}]
+    return {int(f): fingerprint(features=list(features), members=made, days=days.get(f)) for f in folds}
+
+
 def walk_forward(panel: DataFrame, dates: DataFrame, folds: Sequence[int], features: Sequence[str],
-                 members: Mapping[str, Factory] = MEMBERS, calibrate: bool = True, root: str | None = None) -> DataFrame:
-    """Out-of-sample predictions of the given folds.
+                 members: Mapping[str, Factory] = MEMBERS, calibrate: bool = True, root: str | None = None,
+                 in_flight: int = IN_FLIGHT) -> DataFrame:
+    """Out-of-sample predictions of the given folds, ``in_flight`` of them trained at a time.
 
-    With ``root``, each fold is written there when it is done, folds that are there
-    already are not trained again, and the result is read back.
+    With ``root``, each fold is written there when it is done, folds that lie there
+    whole and from the same features, members and days are not trained again, and
+    the result is read back.
     """
+    session = panel.sparkSession
     keep = ("fold", "model", "date", "ticker", "label", "raw", "calibrated")
+    tag = "+".join(members) + ("" if calibrate else "_raw")
+    folds = [int(f) for f in folds]
     if root is not None:
-        session, tag = panel.sparkSession, "+".join(members) + ("" if calibrate else "_raw")
-        wanted = session.createDataFrame([(int(f), tag) for f in folds], "fold int, model string")
-        for fold in sorted(r.fold for r in pending_folds(session, wanted, root).collect()):
-            _, _, test = run_fold(panel, dates, fold, features, members, calibrate)
-            write_predictions(test.select(*keep), root)
+        marks = fold_marks(dates, folds, features, members)
+        wanted = session.createDataFrame([(f, tag, marks[f]) for f in folds], "fold int, model string, fingerprint string")
+
+        def train(fold: int) -> None:
+            test = run_fold(panel, dates, fold, features, members, calibrate)[2]
+            test = test.withColumns({"fold": F.lit(fold), "model": F.lit(tag)}).select(*keep)
+            commit_predictions(test, root, fold, tag, marks[fold])
+
+        at_once(session, train, sorted(r.fold for r in unfinished(session, wanted, root).collect()), in_flight)
+        if not folds:
+            return session.createDataFrame([], "fold int, model string, date date, ticker string, label double, raw double, calibrated double")
         return session.read.parquet(root).join(F.broadcast(wanted), ["fold", "model"], "left_semi").select(*keep)
     cal = test = None
-    for fold in folds:
-        parts = [p.withColumn("fold", F.lit(int(fold))) for p in run_fold(panel, dates, fold, features, members, False)[1:]]
+    done = at_once(session, lambda fold: run_fold(panel, dates, fold, features, members, False)[1:], folds, in_flight)
+    for fold, parts in zip(folds, done):
+        parts = [p.withColumn("fold", F.lit(fold)) for p in parts]
         cal, test = parts if test is None else (cal.unionByName(parts[0]), test.unionByName(parts[1]))
     if calibrate:  # the calibrators of all folds in one job
         test = calibrated(test.drop("calibrated"), isotonic_blocks(cal, ["fold"]), ["fold"])
-    return test.withColumn("model", F.lit("+".join(members) + ("" if calibrate else "_raw"))).select(*keep)
+    return test.withColumn("model", F.lit(tag)).select(*keep)
 
 
 def prediction_panel(scored: DataFrame, panel: DataFrame, score: str = "calibrated") -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegate.operators import folds as fo
-from tidegate.plans.base import BARS_SQL, FOLDS_SQL, OOS_SQL, bars, folds, out_of_sample, sql
+from tidegate.plans.base import BARS_SQL, FOLDS_SQL, OOS_SQL, bars, folds, out_of_sample, sql, table
 from tidegate.plans.registry import query
 from tidegate.session import scratch
+from tidegate.sources import ledger, wide
 from tidegate.sources import readers as rd
 from tidegate.sources import writers as wr
 
@@ -69,3 +70,37 @@ def stored_universe(spark, sf):
     twice = names.withColumn("turn", F.lit(0)).unionByName(names.withColumn("turn", F.lit(1)))
     wr.write_universe(twice.select(F.struct("turn", "at").alias("pos"), "ticker"), path)
     return rd.read_universe(spark, path).select("ticker", F.col("pos").cast("long").alias("pos"))
+
+
+@query("stored_ledger", sql(OOS_SQL, """
+SELECT fold, 'proxy' AS model, fold NOT IN (2, 4) AND fold <= 5 AS done, CASE WHEN fold NOT IN (2, 4) AND fold <= 5 THEN count(*) END AS n_rows
+FROM oos GROUP BY fold"""))
+def stored_ledger(spark, sf):
+    """Folds 1 to 5 are committed; fold 2 was begun anew and not ended, and fold 4 was made from other features."""
+    rows, root = out_of_sample(spark, sf).withColumn("model", F.lit("proxy")), scratch(spark)
+    rows = rows.select("fold", "model", "date", "ticker", "prob", "actual_return")
+    marks = {f: ledger.fingerprint(features=["prob"] if f != 4 else ["other"], fold=f) for f in range(1, 6)}
+    for f, mark in marks.items():
+        ledger.commit_predictions(rows, root, f, "proxy", mark)
+    ledger.begin(spark, root, 2, "proxy", marks[2])
+    folds_there = rows.select("fold").distinct().withColumn("model", F.lit("proxy"))
+    want = {f: ledger.fingerprint(features=["prob"], fold=f) for f in marks}
+    wanted = folds_there.join(F.broadcast(spark.createDataFrame(list(want.items()), "fold int, fingerprint string")), "fold", "left")
+    left = ledger.unfinished(spark, wanted.fillna("none", ["fingerprint"]), root).select("fold", F.lit(False).alias("done"))
+    have = ledger.entries(spark, root).select("fold", "n_rows")
+    return folds_there.join(left, "fold", "left").join(have, "fold", "left").select(
+        "fold", "model", F.coalesce("done", F.lit(True)).alias("done"),
+        F.when(F.col("done").isNull(), F.col("n_rows")).alias("n_rows"))
+
+
+@query("wide_blocks_round_trip", sql("""
+px AS (SELECT CAST(l_partkey AS VARCHAR) AS ticker, CAST(l_shipdate AS DATE) AS date, l_extendedprice / l_quantity AS p FROM lineitem)""", """
+SELECT ticker, date, round(max(p), 8) AS close FROM px GROUP BY ALL"""))
+def wide_blocks_round_trip(spark, sf):
+    """Highest price of every part and day (thousands of names) through a table of one array for each date and block of names."""
+    root = scratch(spark)
+    prices = table(spark, sf, "lineitem").groupBy(
+        F.col("l_partkey").cast("string").alias("ticker"), F.to_date("l_shipdate").alias("date")).agg(
+        F.max(F.col("l_extendedprice") / F.col("l_quantity")).alias("close"))
+    wide.write_wide(prices, root)
+    return wide.read_wide(spark, root).select("ticker", "date", F.round("close", 8).alias("close"))
