@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidegate.functions.columns import feature_category, finite_or_zero
+from tidegate.functions.columns import FEATURE_CATEGORIES, feature_category, finite_or_zero, stack_rows
 from tidegate.operators.features import (
-    FEATURES, model_panel, rolling_features, smoothed_features, with_holding_return, with_momentum,
+    FEATURES, all_features, model_panel, rolling_features, smoothed_features, with_holding_return, with_momentum,
     with_target,
 )
 from tidegate.operators.quality import (
     in_range, integrity_audit, missing_entities, prediction_audit, quality_by_entity, reconcile_sources, select_entities,
     universe_screen, without_entity,
 )
-from tidegate.plans.base import BARS_SQL, ORDER_KEY, PANEL_SQL, bars, panel, rounded, series_bars, sql, table
-from tidegate.plans.registry import query
+from tidegate.plans.base import BARS_SQL, ORDER_KEY, PANEL_SQL, bars, panel, rounded, series_bars, significant, sql, table
+from tidegate.plans.registry import ORACLES, query
 from tidegate.sources.bars import bars_from_trades, daily_returns, packed_order
 from tidegate.sources.readers import entity_names, long_to_wide, parse_factor_text, wide_to_long
 
@@ -243,34 +243,77 @@ def quality_entity(spark, sf):
     return rounded(quality_by_entity(bars(spark, sf)))
 
 
-@query("quality_audit", sql(PANEL_SQL + """,
-q AS (SELECT ticker, date, target, close / SMA_200 AS ratio FROM p0 WHERE SMA_200 IS NOT NULL AND target IS NOT NULL),
-warm AS (SELECT ticker, count(*) - count(SMA_200) AS k, count(*) AS c FROM p0 GROUP BY ticker),
+#: Digits to which the queries of single features are compared; six for those not listed.
+DIGITS = {
+    **{f: 8 for f in FEATURES if f.startswith("return_")},
+    **{f: 7 for f in FEATURES if f.startswith(("price_to_", "rolling_vol_")) or f in (
+        "BB_width", "BB_pct_b", "OC_body_norm", "upper_shadow_ratio", "lower_shadow_ratio", "HL_range_norm", "VWAP_deviation")},
+    **{f: 5 for f in FEATURES if f.startswith(("SMA_", "EMA_", "MACD_", "ATR_")) or f in (
+        "BB_upper", "BB_lower", "BB_mid", "DPO_20", "CCI_20")},
+    "OBV": 3, "OBV_EMA": 3,
+}
+FEATURE_QUERIES = ("feat_returns_roc_dpo", "feat_sma_bollinger", "feat_candles_vol", "feat_stoch_williams_cci", "feat_mfi_vwap_zvol",
+                   "feat_ewm", "feat_rsi_macd", "feat_atr_adx", "feat_obv")
+#: All features side by side, each by its own query's SQL, with label and day number of each name.
+ALL_SQL = ", ".join(f"{name} AS ({ORACLES[name]})" for name in FEATURE_QUERIES) + f""", {BARS_SQL.strip()},
+day AS (SELECT ticker, date, close, row_number() OVER (PARTITION BY ticker ORDER BY date) AS rn FROM bars),
+labelled AS (SELECT a.*, p.close AS c0, CASE WHEN y.close IS NOT NULL THEN (y.close > x.close)::INTEGER::DOUBLE END AS target
+  FROM day a LEFT JOIN day p ON p.ticker = a.ticker AND p.rn = a.rn - 1
+  LEFT JOIN day x ON x.ticker = a.ticker AND x.rn = a.rn + 1 LEFT JOIN day y ON y.ticker = a.ticker AND y.rn = a.rn + 2),
+side AS (SELECT * FROM labelled {' '.join(f'JOIN {name} USING (ticker, date)' for name in FEATURE_QUERIES)}),
+long AS (SELECT ticker, date, target, feature, x
+         FROM (SELECT ticker, date, target, {', '.join(f'"{f}"' for f in FEATURES)} FROM side)
+         UNPIVOT INCLUDE NULLS (x FOR feature IN ({', '.join(f'"{f}"' for f in FEATURES)}))),
+whole AS (SELECT ticker, date FROM long WHERE target IS NOT NULL GROUP BY ALL HAVING count(*) = count(x))"""
+
+
+@query("quality_audit", sql(ALL_SQL + f""",
+q AS (SELECT * FROM side WHERE SMA_200 IS NOT NULL AND target IS NOT NULL),
+lead2 AS (SELECT ticker, date, CASE WHEN lead(close, 2) OVER w IS NOT NULL THEN lead(close, 2) OVER w > lead(close, 1) OVER w END AS up,
+                 close / lag(close) OVER w - 1 AS back FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date)),
+nulls AS (SELECT count(*) - count(x) AS n, count(DISTINCT feature) AS features FROM long JOIN q USING (ticker, date)),
+off AS (SELECT count(*) FILTER (q.target IS DISTINCT FROM up::INTEGER::DOUBLE) AS n, max(abs(q.close / q.c0 - 1 - back)) AS gap
+        FROM q LEFT JOIN lead2 USING (ticker, date)),
+warm AS (SELECT ticker, count(*) - count(SMA_200) AS k, count(*) AS c FROM side GROUP BY ticker),
 checks(check_name, passed, detail) AS (
-  SELECT 'no_null_features', true, 0 UNION ALL SELECT 'feature_count', true, 49 UNION ALL SELECT 'target_recomputed', true, 0
-  UNION ALL SELECT 'return_is_backward', true, 0
+  SELECT 'no_null_features', n = 0, n FROM nulls UNION ALL SELECT 'feature_count', features = 49, features FROM nulls
+  UNION ALL SELECT 'target_recomputed', n = 0, n FROM off UNION ALL SELECT 'return_is_backward', gap <= 1e-8, gap FROM off
   UNION ALL SELECT 'unique_keys', count(*) = count(DISTINCT (ticker, date)), count(*) - count(DISTINCT (ticker, date)) FROM q
   UNION ALL SELECT 'has_rows', count(*) > 0, count(*) FROM q
   UNION ALL SELECT 'target_binary', count(*) FILTER (target NOT IN (0, 1)) = 0, count(*) FILTER (target NOT IN (0, 1)) FROM q
-  UNION ALL SELECT 'ratio_positive', min(ratio) > 0, min(ratio) FROM q
+  UNION ALL SELECT 'ratio_positive', min(close / SMA_200) > 0, min(close / (SMA_200 + {EPS})) FROM q
   UNION ALL SELECT 'sma200_warmup_199', count(*) FILTER (k <> least(199, c)) = 0, count(*) FILTER (k <> least(199, c)) FROM warm)""", f"""
-SELECT check_name, passed, {_r('detail', 8, 'detail')} FROM checks"""))
+SELECT check_name, passed, {_r('detail', 5, 'detail')} FROM checks"""))
 def quality_audit(spark, sf):
     """Integrity checks of the full feature panel."""
     b = series_bars(spark, sf)
     audit = integrity_audit(model_panel(b, gaps=False), b, rolling_features(b).select("ticker", "date", "SMA_200"))
-    return rounded(audit, 8)
+    return rounded(audit, 5)
 
 
-@query("feature_panel_summary")
+@query("feature_panel_summary", sql(ALL_SQL + """,
+filled AS (SELECT feature, count(*) - count(x) AS n_filled, avg(coalesce(x, 0)) AS mean_filled FROM long GROUP BY feature)""", f"""
+SELECT feature, count(*) AS n, min(x) AS lo, max(x) AS hi, CAST(printf('%.8e', avg(x)) AS DOUBLE) + 0.0 AS mean, any_value(n_filled) AS n_filled,
+       CAST(printf('%.8e', any_value(mean_filled)) AS DOUBLE) + 0.0 AS mean_filled,
+       CASE {' '.join("WHEN " + ' OR '.join(f"contains(lower(feature), '{x}')" for x in fragments) + f" THEN '{label}'"
+                      for fragments, label in FEATURE_CATEGORIES)} ELSE 'Other' END AS category
+FROM long JOIN whole USING (ticker, date) JOIN filled USING (feature) GROUP BY feature"""))
 def feature_panel_summary(spark, sf):
-    """Rows, range and mean per feature of the warmed-up 49-column panel."""
-    p = finite_or_zero(model_panel(series_bars(spark, sf), gaps=False), FEATURES)
-    long = p.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).alias("x")) for c in FEATURES])))
-    return long.groupBy("feature").agg(
-        F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.avg("x").alias("mean"),
-    ).withColumn("category", feature_category("feature"))
+    """Rows, range and mean per feature of the warmed-up panel, and of all rows with 0 for what is missing."""
+    rows = with_target(all_features(series_bars(spark, sf), gaps=False))
+    rows = rows.select("target", *[(F.round(f, DIGITS.get(f, 6)) + 0.0).alias(f) for f in FEATURES])
+    whole = F.col("target").isNotNull()
+    for f in FEATURES:
+        whole = whole & F.col(f).isNotNull()
+    rows = rows.withColumns({"whole": whole, "missing": F.array_compact(F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in FEATURES]))})
+    filled = finite_or_zero(rows, FEATURES)
+    long = filled.select("whole", "missing", stack_rows(("feature", "x"), *[(f, F.col(f)) for f in FEATURES]))
+    x = F.when(F.col("whole"), F.col("x"))
+    out = long.groupBy("feature").agg(
+        F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.avg(x).alias("mean"),
+        F.count_if(F.array_contains("missing", F.col("feature"))).alias("n_filled"), F.avg("x").alias("mean_filled"))
+    means = significant(out.select("feature", "mean", "mean_filled"))
+    return out.drop("mean", "mean_filled").join(means, "feature").withColumn("category", feature_category("feature"))
 
 
 @query("prediction_audit", sql(PANEL_SQL, """
