@@ -91,20 +91,21 @@ def _without_gaps(df: DataFrame, specs: Sequence[Ewm], entity: str, time: str) -
         "_blk": F.expr(f"cast((_rn - 1) div {size} as int)"),
         "_pos": F.expr(f"cast((_rn - 1) % {size} as int)"),
     })
-    def checked(s: Ewm):
-        value = F.col(s.column)
-        late = F.lit(f"a gap in {s.column}, which was said to have none (gaps=False)")
-        return F.when(value.isNull() & (F.col("_rn") >= s.first), F.raise_error(late).cast("double")).when(
-            value.isNotNull() & (F.col("_rn") < s.first),
-            F.raise_error(F.lit(f"a value of {s.column} before row {s.first}")).cast("double")).otherwise(value)
-
-    entry = {
-        i: checked(s) * F.when(F.col("_rn") == s.first, 1.0).otherwise(s.alpha) * power(s, -1)
-        for i, s in enumerate(specs)
-    }
+    def checked(column: str, first: int):
+        value = F.col(column)
+        late = F.lit(f"a gap in {column}, which was said to have none (gaps=False)")
+        return F.when(value.isNull() & (F.col("_rn") >= first), F.raise_error(late).cast("double")).when(
+            value.isNotNull() & (F.col("_rn") < first),
+            F.raise_error(F.lit(f"a value of {column} before row {first}")).cast("double")).otherwise(value)
+
+    def entry(s: Ewm, value):
+        return value * F.when(F.col("_rn") == s.first, 1.0).otherwise(s.alpha) * power(s, -1)
+
+    # a promise is checked once for each column, on the way to the running sums; the sums of blocks read the same rows
+    inputs = {key: f"_x{k}" for k, key in enumerate({(s.column, s.first): None for s in specs})}
     ends = (
         rows.groupBy(F.col(entity).alias("_e"), "_blk")
-        .agg(*[F.coalesce(F.sum(entry[i]), F.lit(0.0)).alias(f"v{i}") for i in range(len(specs))])
+        .agg(*[F.coalesce(F.sum(entry(s, F.col(s.column))), F.lit(0.0)).alias(f"v{i}") for i, s in enumerate(specs)])
         .groupBy("_e")
         .agg(F.array_sort(F.collect_list(F.struct("_blk", *[f"v{i}" for i in range(len(specs))]))).alias("_ends"))
         .select("_e", *[
@@ -113,7 +114,9 @@ def _without_gaps(df: DataFrame, specs: Sequence[Ewm], entity: str, time: str) -
             for i, s in enumerate(specs)
         ])
     )
-    rows = rows.withColumns({f"_acc{i}": F.sum(entry[i]).over(in_block) for i in range(len(specs))})
+    rows = rows.withColumns({x: checked(*key) for key, x in inputs.items()})
+    rows = rows.withColumns({
+        f"_acc{i}": F.sum(entry(s, F.col(inputs[s.column, s.first]))).over(in_block) for i, s in enumerate(specs)})
     joined = rows.join(ends, rows[entity] == ends["_e"], "left")
     return joined.select(*base, *[
         F.when(

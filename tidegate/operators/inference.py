@@ -204,6 +204,7 @@ def loss_difference_test(pairs: DataFrame, by: Sequence[str], a: str, b: str, *,
     sure = F.col("p_value") < ALPHA
     return s.select(
         *by, "n", F.col("mean").alias("mean_loss_diff"), "dm_stat", "p_value",
+        # fixed values: the three verdicts
         F.when(sure & (F.col("mean") < 0), "r1 BETTER").when(sure & (F.col("mean") > 0), "r2 BETTER")
         .otherwise("NOT SIG.").alias("result"),
     )
