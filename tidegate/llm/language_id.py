@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegate.llm import ngrams
+from tidegate.llm.common import written
 from tidegate.llm.words import PLAIN, blocks, text_bytes
 
 SAMPLE = 1_000
@@ -116,10 +117,16 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Machines for the languages of the learning documents (known id, text and language, not held out)."""
     known = docs.select("doc_id", "text", "lang", F.xxhash64("doc_id", "text").alias("h")).filter(
         "doc_id is not null and text is not null and lang is not null").filter(~held_out())
-    # rows that repeat count once; each task passes on no more than the sample of each language
+    # rows that repeat count once; counts of ranges of hashes tell how far the sample of each language reaches, so that
+    # hardly more than the sample of a language meets in one task
+    ids = written(known.groupBy("lang", "h").agg(F.shiftright("h", 50).alias("part")), "languages")
+    ranges = Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    reach = ids.groupBy("lang", "part").agg(F.count("*").alias("n")).withColumn(
+        "before", F.coalesce(F.sum("n").over(ranges), F.lit(0))).filter(F.col("before") < sample).groupBy("lang").agg(
+        F.max("part").alias("reach"))
+    near = ids.join(F.broadcast(reach), "lang").filter("part <= reach")
     order = Window.partitionBy("lang").orderBy("h")
-    chosen = known.groupBy("lang", "h").agg(F.lit(1)).withColumn("k", F.row_number().over(order)).filter(
-        F.col("k") <= sample).select("lang", "h")
+    chosen = near.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= sample).select("lang", "h")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
