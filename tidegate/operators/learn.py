@@ -15,7 +15,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator
 from pyspark.ml.classification import (
-    GBTClassifier, MultilayerPerceptronClassifier, RandomForestClassifier,
+    MultilayerPerceptronClassifier, RandomForestClassifier,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -28,6 +28,7 @@ from tidegate.functions.columns import stack_rows
 from tidegate.functions.draws import key_high
 from tidegate.operators import folds as fo
 from tidegate.operators.isotonic import calibrated, isotonic_blocks
+from tidegate.operators.staged import PATIENCE, StagedBoosting
 from tidegate.session import materialize
 from tidegate.sources.ledger import commit_predictions, fingerprint, unfinished
 
@@ -35,9 +36,9 @@ SEED = 42
 Factory = Callable[[int], Estimator]
 
 
-def boosted_trees(iterations: int = 500, depth: int = 6, rate: float = 0.05) -> Factory:
-    return lambda d: GBTClassifier(
-        maxIter=iterations, maxDepth=depth, stepSize=rate, validationIndicatorCol="is_val", seed=SEED)
+def boosted_trees(iterations: int = 500, depth: int = 6, rate: float = 0.05, patience: int = PATIENCE) -> Factory:
+    """Stops by the ranking of the validation tail, ``patience`` rounds after the best."""
+    return lambda d: StagedBoosting(iterations, depth, rate, SEED, patience)
 
 
 def random_forest(trees: int = 500, depth: int = 10, leaf: int = 20) -> Factory:
@@ -77,7 +78,8 @@ def probability(scored: DataFrame, out: str) -> DataFrame:
 def score_members(models: Mapping[str, object], rows: DataFrame) -> DataFrame:
     """One probability column per member and their equal-weight mean ``raw``."""
     for name, model in models.items():
-        rows = probability(model.transform(rows), f"p_{name}")
+        out = f"p_{name}"
+        rows = model.score(rows, out) if hasattr(model, "score") else probability(model.transform(rows), out)
     total = None
     for name in models:
         c = F.col(f"p_{name}")
@@ -157,7 +159,7 @@ def fold_marks(dates: DataFrame | None, folds: Sequence[int], features: Sequence
     for name, make in members.items():
         estimator = None if make is None else make(len(features))
         made[name] = None if estimator is None else [type(estimator).__name__, {
-            p.name: str(v) for p, v in estimator.extractParamMap().items()}]
+            p.name: str(v) for p, v in estimator.extractParamMap().items()} if isinstance(estimator, Estimator) else vars(estimator)]
     return {int(f): fingerprint(features=list(features), members=made, days=days.get(f)) for f in folds}
 
 
