@@ -10,7 +10,8 @@ SF = "/root/testdata/sf0.01"
 NAMES = (
     "bars_daily", "feat_sma_bollinger", "feat_rsi_macd", "quality_by_entity", "fold_checks", "fold_scaler",
     "gate_momentum", "daily_ic", "boot_fold_ci", "backtest_daily", "backtest_subperiods", "break_even",
-    "perm_sharpe", "dm_tests", "factor_regression_capm", "ece", "rank_stability_summary",
+    "perm_sharpe", "dm_tests", "factor_regression_capm", "ece", "rank_stability_summary", "calibrate_and_report",
+    "attribution_rows",
 )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.functions.columns import stack_rows
-from tidegate.operators.ranks import average_rank, safe_corr
+from tidegate.operators.ranks import average_rank, null_safe_join, safe_corr
 
 
 def with_bin(rows: DataFrame, p: str = "p", bins: int = 10) -> DataFrame:
@@ -47,6 +47,36 @@ def calibration_report(rows: DataFrame, by: Sequence[str] = ("fold", "model"), r
     return expected_calibration_error(both, [*by, "kind"], "p", y)
 
 
+def calibration_tables(rows: DataFrame, by: Sequence[str] = ("fold", "model"), raw: str = "raw",
+                       calibrated: str = "calibrated", y: str = "y", bins: int = 10) -> DataFrame:
+    """Reliability table of raw and calibrated scores with both errors beside it: ``by``, ``kind``, ``bin``, ``n``,
+    ``mean_p``, ``share_y``, ``ece``, ``rmse``.
+
+    The error is that of the whole key, the same in all its bins.  Rows without score or label play no part.
+    """
+    both = rows.select(*by, F.col(y).alias("y"), stack_rows(("kind", "p"), ("raw", F.col(raw)), ("calibrated", F.col(calibrated))))
+    both = both.filter(F.col("p").isNotNull() & F.col("y").isNotNull())
+    errors = expected_calibration_error(both, [*by, "kind"], bins=bins).drop("n")
+    return null_safe_join(reliability(both, [*by, "kind"], bins=bins), errors, [*by, "kind"])
+
+
+def calibrate_and_report(rows: DataFrame, by: Sequence[str] = ("fold", "model"), score: str = "raw", label: str = "label",
+                         day: str = "date", role: str = "role", bins: int = 10) -> DataFrame:
+    """Calibrators fitted on the ``cal`` rows of each key, judged on its ``test`` rows: ``calibration_tables`` and ``shared_days``.
+
+    ``shared_days`` counts days on which a key has rows of both roles; a figure with any is not out of sample.
+    """
+    from tidegate.operators.isotonic import calibrated, isotonic_blocks
+
+    by = list(by)
+    rows = rows.filter(F.col(role).isin("cal", "test"))
+    days = rows.groupBy(*by, day).agg(F.count_distinct(role).alias("_roles"))
+    shared = days.groupBy(*by).agg(F.count_if(F.col("_roles") > 1).alias("shared_days"))
+    steps = isotonic_blocks(rows.filter(F.col(role) == "cal"), by, score, label)
+    test = calibrated(rows.filter(F.col(role) == "test"), steps, by, score)
+    return null_safe_join(calibration_tables(test, by, score, "calibrated", label, bins), shared, by)
+
+
 def mean_importance(values: DataFrame, top: int | None = None) -> DataFrame:
     """Mean absolute importance per feature over folds, largest first."""
     per_fold = values.groupBy("fold", "feature").agg(F.avg(F.abs("value")).alias("mean_abs"))

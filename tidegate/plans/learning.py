@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
+from tidegate.operators import attribution as at
 from tidegate.operators import calibration as ca
 from tidegate.operators import learn as ml
 from tidegate.operators.book import Strategy, backtest, performance
+from tidegate.operators.features import FEATURES, model_panel
 from tidegate.operators.folds import date_index, fold_dates, scaler_stats, standardize, rows_of_role
 from tidegate.operators.inference import hac_test
 from tidegate.operators.isotonic import calibrated, isotonic_blocks
 from tidegate.operators.ranks import daily_ic
-from tidegate.plans.base import FOLDS_SQL, PANEL_SQL, folds, panel, rounded, sql, table
+from tidegate.plans.base import FOLDS_SQL, PANEL_SQL, folds, panel, rounded, series_bars, sql, table
 from tidegate.plans.registry import query
 from tidegate.session import materialize
 
@@ -84,6 +88,30 @@ def isotonic_calibration(spark, sf):
     return rounded(calibrated(scores, steps, ["fold"]), 8, "raw")
 
 
+KINDS_SQL = ISOTONIC_SQL + """,
+pair AS (SELECT near.fold, raw, n, CASE WHEN x0 IS NULL THEN b.y WHEN x1 IS NULL THEN a.y ELSE a.y + (b.y - a.y) * ((raw - x0) / (x1 - x0)) END AS calibrated
+         FROM near LEFT JOIN fit a ON a.fold = near.fold AND a.x = x0 LEFT JOIN fit b ON b.fold = near.fold AND b.x = x1),
+judged AS (SELECT sc.fold, unnest(['raw', 'calibrated']) AS kind, unnest([sc.raw, calibrated]) AS p, target AS y
+           FROM sc JOIN pair ON pair.fold = sc.fold AND pair.raw = sc.raw WHERE role = 'test'),
+binned AS (SELECT *, CASE WHEN p <= 0 THEN 0 ELSE (SELECT count(*) FROM range(0, 10) e(i) WHERE i / 10.0::DOUBLE < p) END AS bin FROM judged),
+bins AS (SELECT fold, kind, bin, count(*) AS n, avg(p) AS mean_p, avg(y) AS share_y FROM binned GROUP BY ALL),
+errors AS (SELECT fold, kind, sum(CASE WHEN bin > 0 THEN n * abs(share_y - mean_p) ELSE 0 END) / sum(n) AS ece FROM bins GROUP BY ALL),
+roots AS (SELECT fold, kind, sqrt(avg((p - y) * (p - y))) AS rmse FROM judged GROUP BY ALL),
+shared AS (SELECT fold, count(*) FILTER (roles > 1) AS shared_days FROM (
+             SELECT fold, date, count(DISTINCT role) AS roles FROM fold_dates WHERE role IN ('cal', 'test') GROUP BY ALL) GROUP BY fold)"""
+
+
+@query("calibrate_and_report", sql(KINDS_SQL, f"""
+SELECT fold, kind, bin, n, {_r('mean_p', 7, 'mean_p')}, {_r('share_y', 7, 'share_y')}, {_r('ece', 7, 'ece')}, {_r('rmse', 7, 'rmse')}, shared_days
+FROM bins JOIN errors USING (fold, kind) JOIN roots USING (fold, kind) JOIN shared USING (fold) WHERE bin > 0"""))
+def calibrate_and_report(spark, sf):
+    """Reliability tables and errors of every fold before and after calibration, and whether its days were kept apart."""
+    p = panel(spark, sf)
+    rows = rows_of_role(p, folds(spark, sf, p), "cal", "test").select(
+        "fold", "role", "date", (F.floor(F.round(F.col("prob") * 10000) / 10) / 1000).alias("raw"), F.col("target").alias("label"))
+    return rounded(ca.calibrate_and_report(rows, ["fold"]), 7)
+
+
 @query("ensemble_average", sql(PANEL_SQL, f"""
 SELECT ticker, date, {_r('(prob + coalesce(CASE WHEN close > SMA_200 THEN 0.75::DOUBLE END, 0)) / (1 + CASE WHEN close > SMA_200 THEN 1 ELSE 0 END)', 8, 'prob')}
 FROM panel"""))
@@ -137,6 +165,89 @@ def mean_importance(spark, sf):
     return rounded(ca.mean_importance(values, top=3), 8)
 
 
+# two trees given as rules: (tree, node, left, right, feature, threshold, value); covers are counted on the panel
+RULES = (
+    (0, 0, 1, 4, 0, 0.0, None), (0, 1, 2, 3, 1, -0.05, None), (0, 2, -1, -1, None, None, 0.2), (0, 3, -1, -1, None, None, 0.45),
+    (0, 4, 5, 6, 1, 0.05, None), (0, 5, -1, -1, None, None, 0.5), (0, 6, -1, -1, None, None, 0.75),
+    (1, 0, 1, 4, 1, 0.0, None), (1, 1, 2, 3, 1, -0.1, None), (1, 2, -1, -1, None, None, 0.1), (1, 3, -1, -1, None, None, 0.4),
+    (1, 4, 5, 6, 2, 1300.0, None), (1, 5, -1, -1, None, None, 0.6), (1, 6, -1, -1, None, None, 0.9))
+RULE_INPUTS = ("trend", "momentum", "level")
+
+
+def _way(known: bool, tree: int, node: int) -> str:
+    """SQL of the value below a node: of a row's own leaf, or of the features in the set ``s`` alone."""
+    rule = next(r for r in RULES if r[:2] == (tree, node))
+    if rule[2] < 0:
+        return str(rule[6]) + "::DOUBLE"
+    low, high = (_way(known, tree, c) for c in rule[2:4])
+    met = f"{RULE_INPUTS[rule[4]]} <= {rule[5]}::DOUBLE"
+    if known:
+        return f"(CASE WHEN {met} THEN {low} ELSE {high} END)"
+    a, b, n = (f"c{tree}_{x}" for x in (rule[2], rule[3], node))
+    return f"(CASE WHEN s & {1 << rule[4]} > 0 THEN CASE WHEN {met} THEN {low} ELSE {high} END ELSE coalesce(({a} * {low} + {b} * {high}) / nullif({n}, 0), 0) END)"
+
+
+def _reached(tree: int, node: int) -> str:
+    """Condition for a row to come by a node."""
+    for rule in RULES:
+        if rule[0] == tree and node in rule[2:4]:
+            met = f"{RULE_INPUTS[rule[4]]} <= CAST({rule[5]} AS DOUBLE)"
+            return f"({_reached(tree, rule[1])} AND {'' if node == rule[2] else 'NOT '}({met}))"
+    return "true"
+
+
+COVERS = {f"c{t}_{n}": _reached(t, n) for t, n, *_ in RULES}
+RULES_SQL = PANEL_SQL + f""",
+x AS (SELECT ticker, date, round(close / SMA_200 - 1, 4) AS trend, round(trailing_return_21d, 4) AS momentum, round(close, 2) AS level FROM panel),
+c AS (SELECT {', '.join(f'CAST(count(*) FILTER ({w}) AS DOUBLE) AS {n}' for n, w in COVERS.items())} FROM x),
+v AS (SELECT ticker, date, s, bit_count(s) AS k, {_way(True, 0, 0)} + {_way(True, 1, 0)} AS prediction, {_way(False, 0, 0)} + {_way(False, 1, 0)} AS v
+      FROM x, c, (SELECT CAST(unnest(range(8)) AS INTEGER) AS s))"""
+_WEIGHT = "CASE {k} WHEN 1 THEN 1.0::DOUBLE / 6 ELSE 1.0::DOUBLE / 3 END"
+
+
+@query("attribution_rows", sql(RULES_SQL, f"""
+SELECT ticker, date, {_r('any_value(prediction)', 7, 'prediction')}, {_r('max(v) FILTER (s = 0)', 7, 'base')},
+       {', '.join(_r(f"sum(CASE WHEN s & {1 << j} > 0 THEN v * {_WEIGHT.format(k='k - 1')} ELSE -v * {_WEIGHT.format(k='k')} END)", 7, f) for j, f in enumerate(RULE_INPUTS))}
+FROM v GROUP BY ticker, date"""))
+def attribution_rows(spark, sf):
+    """Shapley values of two given trees for every row of the panel; the SQL sums over all subsets of features."""
+    rows = panel(spark, sf).select(
+        "ticker", "date", F.round(F.col("close") / F.col("SMA_200") - 1, 4).alias("trend"),
+        F.round("trailing_return_21d", 4).alias("momentum"), F.round("close", 2).alias("level"))
+    count = rows.agg(*[F.count_if(F.expr(w)).alias(n) for n, w in COVERS.items()]).first()
+    nodes = spark.createDataFrame([(*r[:6], float(count[f"c{r[0]}_{r[1]}"]), r[6]) for r in RULES], at.NODES)
+    got = at.attributions(rows.withColumn("features", F.array(*RULE_INPUTS)), at.Leaves(nodes))
+    total = F.col("base") + F.aggregate("attribution", F.lit(0.0), lambda a, x: a + x)
+    return rounded(got.select("ticker", "date", total.alias("prediction"), "base", *[
+        F.get("attribution", F.lit(j)).alias(f) for j, f in enumerate(RULE_INPUTS)]), 7)
+
+
+@query("ml_attribution")
+def ml_attribution(spark, sf):
+    """Forests on all features in the last four folds, explained row by row: mean absolute value per feature.
+
+    ``largest_gap`` is the largest difference between a row's prediction and what its values add up to.
+    """
+    p = materialize(model_panel(series_bars(spark, sf), gaps=False))
+    dates = materialize(fold_dates(date_index(p), strict=False))
+    last = [r.fold for r in ca.last_folds(dates.select("fold").distinct()).orderBy("fold").collect()]
+    forest = {"forest": ml.random_forest(20, 5)}
+
+    def explained(fold):
+        models, _, test = ml.run_fold(p, dates, fold, FEATURES, forest, False)
+        return at.attributions(test, at.Leaves(at.model_nodes(models["forest"], spark))).select(
+            F.lit(fold).alias("fold"), "raw", "base", "attribution")
+
+    parts = ml.at_once(spark, explained, last)
+    if not parts:
+        return spark.createDataFrame([], "feature string, mean_across_folds double, n_folds long, largest_gap double")
+    rows = materialize(reduce(lambda a, b: a.unionByName(b), parts))
+    gap = F.abs(F.col("raw") - F.col("base") - F.aggregate("attribution", F.lit(0.0), lambda a, x: a + x))
+    checked = rows.agg(F.max(gap).alias("largest_gap"), F.count_distinct("fold").alias("n_folds")).withColumn("_one", F.lit(1))
+    return ca.mean_importance(at.by_feature(rows, FEATURES, ["fold"])).withColumn("_one", F.lit(1)).join(checked, "_one").select(
+        "feature", "mean_across_folds", "n_folds", "largest_gap")
+
+
 def learning_panel(spark, sf):
     return panel(spark, sf).withColumns({
         "score": F.col("prob"), "trend": F.col("close") / F.col("SMA_200") - 1, "momentum": F.col("trailing_return_21d")})
