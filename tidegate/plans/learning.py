@@ -102,14 +102,17 @@ shared AS (SELECT fold, count(*) FILTER (roles > 1) AS shared_days FROM (
 
 
 @query("calibrate_and_report", sql(KINDS_SQL, f"""
-SELECT fold, kind, bin, n, {_r('mean_p', 7, 'mean_p')}, {_r('share_y', 7, 'share_y')}, {_r('ece', 7, 'ece')}, {_r('rmse', 7, 'rmse')}, shared_days
+SELECT fold, kind, bin, n, {_r('mean_p', 10, 'mean_p')}, {_r('share_y', 10, 'share_y')}, {_r('ece', 10, 'ece')}, {_r('rmse', 10, 'rmse')}, shared_days
 FROM bins JOIN errors USING (fold, kind) JOIN roots USING (fold, kind) JOIN shared USING (fold) WHERE bin > 0"""))
 def calibrate_and_report(spark, sf):
-    """Reliability tables and errors of every fold before and after calibration, and whether its days were kept apart."""
+    """Reliability tables and errors of every fold before and after calibration, and whether its days were kept apart.
+
+    Scores have three digits, so that means are ties of a shorter rounding.
+    """
     p = panel(spark, sf)
     rows = rows_of_role(p, folds(spark, sf, p), "cal", "test").select(
         "fold", "role", "date", (F.floor(F.round(F.col("prob") * 10000) / 10) / 1000).alias("raw"), F.col("target").alias("label"))
-    return rounded(ca.calibrate_and_report(rows, ["fold"]), 7)
+    return rounded(ca.calibrate_and_report(rows, ["fold"]), 10)
 
 
 @query("ensemble_average", sql(PANEL_SQL, f"""
