@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.functions.columns import stack_rows
+from tidegate.operators.isotonic import calibrated as with_calibrated, isotonic_blocks
 from tidegate.operators.ranks import average_rank, null_safe_join, safe_corr
 
 
@@ -66,14 +67,12 @@ def calibrate_and_report(rows: DataFrame, by: Sequence[str] = ("fold", "model"),
 
     ``shared_days`` counts days on which a key has rows of both roles; a figure with any is not out of sample.
     """
-    from tidegate.operators.isotonic import calibrated, isotonic_blocks
-
     by = list(by)
     rows = rows.filter(F.col(role).isin("cal", "test"))
     days = rows.groupBy(*by, day).agg(F.count_distinct(role).alias("_roles"))
     shared = days.groupBy(*by).agg(F.count_if(F.col("_roles") > 1).alias("shared_days"))
     steps = isotonic_blocks(rows.filter(F.col(role) == "cal"), by, score, label)
-    test = calibrated(rows.filter(F.col(role) == "test"), steps, by, score)
+    test = with_calibrated(rows.filter(F.col(role) == "test"), steps, by, score)
     return null_safe_join(calibration_tables(test, by, score, "calibrated", label, bins), shared, by)
 
 
