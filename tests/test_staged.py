@@ -68,3 +68,10 @@ def test_patience():
 def test_auc_without_both_labels(spark):
     frame = spark.createDataFrame([([0.1, 0.2], 1.0), ([0.3, 0.1], 1.0), ([9.0, 9.0], None)], "margins array<double>, label double")
     assert {r["round"]: r.auc for r in auc_by_round(frame).collect()} == {1: None, 2: None}
+
+
+def test_fits_in_threads_without_an_active_session(spark, rows):
+    from tidegate.operators.learn import at_once
+    fit = lambda seed: StagedBoosting(3, 2, 0.5, seed).fit(rows)
+    alone = [fit(seed).rounds for seed in (1, 2)]
+    assert [f.rounds for f in at_once(spark, fit, (1, 2), in_flight=2)] == alone
