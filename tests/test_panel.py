@@ -267,3 +267,27 @@ def test_single_name_path_equals_the_general_book(spark):
     fast = {r.rep: r.null_sharpe for r in permutation_sharpes(panel, 20).collect()}
     slow = {r.rep: r.sharpe_ratio for r in replicate_metrics(permuted_top(panel, 20), panel, 20).collect()}
     assert fast == pytest.approx(slow, rel=1e-9)
+
+
+@pytest.mark.parametrize("k", [1, 2])
+def test_books_and_permutations_draw_every_row(spark, k):
+    from tidegate.operators.resample import drawn_picks, drawn_top, random_baseline, replicate_metrics
+    rnd = random.Random(11)
+    rows = [(DAY0 + dt.timedelta(d), f"n{i:02d}", (i if d % 2 else min(i, 4)) / 10, rnd.gauss(0, 0.02)) for d in range(5) for i in range(2 + 3 * d)]
+    panel = spark.createDataFrame(rows, "date date, ticker string, prob double, actual_return double")
+    reps = 4
+    drawn = panel.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn(
+        "u", draw(F.col("rep"), key_high("date", "ticker"), key_low("date", "ticker"))).collect()
+    books, tops = [], []
+    for rep in range(1, reps + 1):
+        for day in sorted({r[0] for r in rows}):
+            names = [r.ticker for r in sorted((r for r in drawn if r.rep == rep and r.date == day), key=lambda r: r.u)]
+            scores = sorted((r[2] for r in rows if r[0] == day), reverse=True)
+            books += [(rep, day, n) for n in names[:k]]
+            tops += [(rep, day, n) for _, n in sorted((-s, n) for s, n in zip(scores, names))[:k]]
+    key = lambda f: sorted((r.rep, r.date, r.ticker) for r in f.collect())
+    assert key(drawn_picks(panel, reps, k)) == sorted(books)
+    assert key(drawn_top(panel, reps, k)) == sorted(tops)
+    picks = panel.join(spark.createDataFrame(books, "rep int, date date, ticker string"), ["date", "ticker"])
+    want = replicate_metrics(picks.select("rep", "date", "ticker", "actual_return"), panel, reps, k).agg(F.avg("total_return")).first()[0]
+    assert random_baseline(panel, reps, k).first().total_return == pytest.approx(want)
