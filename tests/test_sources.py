@@ -90,3 +90,20 @@ def test_wide_blocks_of_five_thousand_names(spark, tmp_path):
     lines = wide.dense(spark, root)
     assert lines.filter(F.size("values") != 64).count() == 0 and lines.count() == 6 * 79
     assert lines.agg(F.sum(F.size(F.array_compact("values")))).first()[0] == rows.count()
+
+
+def test_wide_blocks_group_a_bounded_number_of_rows(spark, tmp_path, monkeypatch):
+    from tidegate.sources import wide
+
+    monkeypatch.setattr(wide, "PART_ROWS", 1_000)
+    seen, kept = [], wide.materialize
+    monkeypatch.setattr(wide, "materialize", lambda df: seen.append(df) or kept(df))
+    rows = spark.range(20_000).select(F.format_string("n%04d", F.col("id") % 500).alias("ticker"), F.date_add(
+        F.lit("2020-01-01").cast("date"), (F.col("id") / 1_000).cast("int")).alias("date"), F.col("id").cast("double").alias("close"))
+    root = str(tmp_path / "wide")
+    wide.write_wide(rows, root, block=64)
+    each = [r["count"] for r in seen[0].groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(each) == 10_000 and len(each) == 20 and max(each) < 1_500   # four parts of the session would hold 2,500 each
+    want = rows.groupBy("ticker", "date").agg(F.max("close").alias("close"))   # two rows of each name and day
+    assert wide.read_wide(spark, root).select(*want.columns).exceptAll(want).count() == 0
+    assert wide.read_wide(spark, root).count() == 10_000

@@ -99,8 +99,8 @@ SELECT ticker, date, round(max(p), 8) AS close FROM px GROUP BY ALL"""))
 def wide_blocks_round_trip(spark, sf):
     """Highest price of every part and day (thousands of names) through a table of one array for each date and block of names."""
     root = scratch(spark)
-    prices = table(spark, sf, "lineitem").groupBy(
-        F.col("l_partkey").cast("string").alias("ticker"), F.to_date("l_shipdate").alias("date")).agg(
-        F.max(F.col("l_extendedprice") / F.col("l_quantity")).alias("close"))
+    prices = table(spark, sf, "lineitem").select(   # the writer keeps the highest of a name and day
+        F.col("l_partkey").cast("string").alias("ticker"), F.to_date("l_shipdate").alias("date"),
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("close"))
     wide.write_wide(prices, root)
     return wide.read_wide(spark, root).select("ticker", "date", F.round("close", 8).alias("close"))

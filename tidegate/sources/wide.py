@@ -13,22 +13,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.operators.resample import numbered_rows
+from tidegate.session import materialize
 
 BLOCK = 1_024
+#: Rows that one task groups or joins.  Hardly two share a name and a date, so a table of groups before the shuffle is waste.
+PART_ROWS = 500_000
 
 
 def write_wide(bars: DataFrame, root: str, value: str = "close", block: int = BLOCK) -> None:
     """``root/names`` (ticker, pos) and ``root/values`` (date, at, values), by block.
 
     Rows without name, date or value are left out; of several rows of a name and date the largest value stays.
+    Rows are shuffled before they are grouped, into as many parts as their number asks for.
     """
     spark = bars.sparkSession
     rows = bars.select("ticker", "date", F.col(value).cast("double").alias("v")).dropna()
-    names = numbered_rows(rows.select("ticker").distinct().withColumn("_all", F.lit(0)), "_all", "ticker", "pos")
-    names.select("ticker", "pos").write.mode("overwrite").parquet(f"{root}/names")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // PART_ROWS))
+    best = materialize(rows.repartition(parts, "ticker", "date").groupBy("ticker", "date").agg(F.max("v").alias("v")))
+    named = best.repartition(parts, "ticker")
+    numbered_rows(named.select("ticker").distinct(), None, "ticker", "pos").select("ticker", "pos").write.mode(
+        "overwrite").parquet(f"{root}/names")
     places = spark.read.parquet(f"{root}/names")
-    cells = rows.join(places, "ticker").groupBy("date", "pos").agg(F.max("v").alias("v")).select(
-        "date", F.expr(f"pos div {block}").alias("block"), (F.col("pos") % block).cast("int").alias("at"), "v")
+    cells = named.join(places, "ticker").select(
+        "date", F.expr(f"pos div {block}").alias("block"), (F.col("pos") % block).cast("int").alias("at"), "v").repartition(
+        parts, "date", "block")
     line = F.array_sort(F.collect_list(F.struct("at", "v")))
     lines = cells.groupBy("date", "block").agg(line.alias("line")).select(
         "date", "block", F.transform("line", lambda c: c["at"]).alias("at"), F.transform("line", lambda c: c["v"]).alias("values"))
